@@ -325,3 +325,62 @@ fact_stage_transition AS (
 def with_base(select_sql: str, stages: StageConfig = DRIVER_TABLE_STAGES, extra_ctes: str = "") -> str:
     extra = (",\n" + extra_ctes.strip().rstrip(",")) if extra_ctes.strip() else ""
     return "WITH " + base_ctes(stages).strip() + extra + "\n" + select_sql.strip()
+
+
+def uuid5_sql(name_sql: str, namespace_hex: str = "6ba7b8119dad11d180b400c04fd430c8") -> str:
+    h = f"sha1(unhex('{namespace_hex}') || encode({name_sql}))"
+    nib = f"substr('89ab', ((position(substr({h}, 17, 1) in '0123456789abcdef') - 1) & 3) + 1, 1)"
+    return (f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {nib}"
+            f" || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))")
+
+
+def ops_ctes(as_of: str = AS_OF) -> str:
+    """Operational applications seeded from the raw tables (I4)."""
+    return f"""
+ops_job_ctx AS (
+  SELECT * FROM (
+    SELECT {long_sql('ghjb_job_id')} AS ctx_job_id, ghjb_job_name AS job_title,
+      ghjb_recruiter_name AS ctx_recruiter_name, CAST(NULL AS VARCHAR) AS recruiter_email,
+      ghjb_gh_office_name AS ctx_office_name, ghjb_gh_department_name AS ctx_department_name
+    FROM raw_jobs) WHERE ctx_job_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY ctx_job_id ORDER BY job_title DESC NULLS LAST,
+    ctx_recruiter_name DESC NULLS LAST, ctx_office_name DESC NULLS LAST, ctx_department_name DESC NULLS LAST) = 1
+),
+ops_candidate_ctx AS (
+  SELECT * FROM (
+    SELECT {long_sql('ghca_candidate_id')} AS ctx_candidate_id,
+      nullif(trim(concat_ws(' ', nullif(ghca_first_name, ''), nullif(ghca_last_name, ''))), '') AS ctx_candidate_name,
+      ghca_created_at AS ctx_created_at
+    FROM raw_candidates) WHERE ctx_candidate_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY ctx_candidate_id ORDER BY ctx_candidate_name DESC NULLS LAST,
+    ctx_created_at DESC NULLS LAST) = 1
+),
+ops_base AS (
+  SELECT * FROM (
+    SELECT {long_sql('ghap_application_id')} AS application_id, {long_sql('ghap_job_id')} AS job_id,
+      {long_sql('ghap_candidate_id')} AS candidate_id, ghap_last_activity_at AS _updated,
+      ghap_applied_at AS applied_text, coalesce(nullif(ghap_status, ''), 'active') AS status,
+      ghap_application_current_stage AS current_stage
+    FROM raw_applications) WHERE application_id IS NOT NULL
+),
+ops_applications AS (
+  SELECT a.application_id, a.candidate_id, a.job_id, c.ctx_candidate_name AS candidate_full_name,
+    c.ctx_candidate_name AS candidate_name, j.job_title, a.current_stage, a.status,
+    j.ctx_recruiter_name AS recruiter, j.ctx_recruiter_name AS recruiter_name, j.recruiter_email,
+    j.ctx_office_name AS office, j.ctx_office_name AS office_name,
+    j.ctx_department_name AS department, j.ctx_department_name AS department_name,
+    TRY_CAST(a.applied_text AS TIMESTAMP) AS applied_at,
+    TRY_CAST(coalesce(a.applied_text, c.ctx_created_at) AS TIMESTAMP) AS created_at,
+    TRY_CAST(CASE WHEN a.status = 'hired' THEN a._updated END AS TIMESTAMP) AS hired_at,
+    TRY_CAST(coalesce(a._updated, '{as_of}') AS TIMESTAMP) AS updated_at
+  FROM ops_base a
+  LEFT JOIN ops_job_ctx j ON a.job_id = j.ctx_job_id
+  LEFT JOIN ops_candidate_ctx c ON a.candidate_id = c.ctx_candidate_id
+)"""
+
+
+def with_ops(select_sql: str, extra_ctes: str = "") -> str:
+    ctes = ops_ctes().strip()
+    if extra_ctes.strip():
+        ctes += ",\n" + extra_ctes.strip().rstrip(",")
+    return with_base(select_sql, extra_ctes=ctes)

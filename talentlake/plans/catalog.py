@@ -260,3 +260,6 @@ for _key, _model, _sql in [
     register(_key, _cte_select(_sql))(
         (lambda m: (lambda spark, sf_dir: warehouse(spark, sf_dir).model(m)))(_model)
     )
+
+
+from talentlake.plans import catalog_ops  # noqa: E402,F401  (registers workflow queries)
