@@ -264,3 +264,4 @@ for _key, _model, _sql in [
 
 from talentlake.plans import catalog_ops  # noqa: E402,F401  (registers workflow queries)
 from talentlake.plans import catalog_serve  # noqa: E402,F401  (registers fractional and serving queries)
+from talentlake.plans import catalog_quality  # noqa: E402,F401  (registers data-quality queries)
