@@ -468,7 +468,7 @@ def _item_counts(items: DataFrame) -> DataFrame:
 
 def _close_request(request: DataFrame, items: DataFrame, as_of: str, outcome: bool) -> DataFrame:
     counts = _item_counts(items)
-    r = request.join(counts, "request_id", "left").na.fill(0, ["applied_count", "skipped_count", "failed_count"])
+    r = request.drop("applied_count", "skipped_count", "failed_count", "applied_at").join(counts, "request_id", "left").na.fill(0, ["applied_count", "skipped_count", "failed_count"])
     return r.withColumn(
         "status",
         request_status(F.col("applied_count"), F.col("skipped_count"), F.col("failed_count"), outcome),
