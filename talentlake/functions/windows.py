@@ -70,9 +70,12 @@ def lag_by_key(
         *[F.lag(v).over(in_bucket).alias(f"_in_{v}") for v in values],
     )
 
-    last_row = base.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(F.col(time_col), *tiebreak)).alias("_last")
-    )
+    if list(values) == [time_col]:
+        # the last row's time is the bucket's largest time: a hash-aggregable max
+        last = F.struct(F.max(F.col(time_col)).alias(time_col))
+    else:
+        last = F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(F.col(time_col), *tiebreak))
+    last_row = base.groupBy(*keys).agg(last.alias("_last"))
     across = Window.partitionBy("_pk", "_pn").orderBy("_bucket")
     boundary = last_row.select(*keys, F.lag("_last").over(across).alias("_prev"))
 

@@ -212,17 +212,25 @@ def openings_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_records(spark: SparkSession, sf_dir: str, redelivered: bool = False) -> DataFrame:
     """Webhook-shaped stage events; ``redelivered`` gives the second, partial load."""
+    loads = _event_loads(spark, sf_dir)
+    return loads.filter(F.col("_load") == (2 if redelivered else 1)).drop("_load")
+
+
+def _event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both event loads from one pass: ids ``event_id % 10 = 0`` are emitted twice (``_load`` 1 and 2)."""
     e = read_driver_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", lookup("event_type", EVENT_TYPE_STAGE).alias("stage")
     )
     e = lag_by_key(e, "user_id", "ts", [F.col("event_id")], ["stage"], prefix="prev_")
-    if redelivered:
-        e = e.filter(F.col("event_id") % 10 == 0)
-    org_name = "Acme Talent (redelivered)" if redelivered else "Acme Talent"
+    load = F.explode(
+        F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    )
+    e = e.select("*", load.alias("_load"))
     first = F.col("prev_stage").isNull()
     return e.select(
         F.lit("8020479101").alias("organization_id"),
-        F.lit(org_name).alias("organization_name"),
+        F.when(F.col("_load") == 2, F.lit("Acme Talent (redelivered)")).otherwise(F.lit("Acme Talent"))
+        .alias("organization_name"),
         F.lit("candidate_stage_change").alias("action"),
         _s(F.col("user_id")).alias("application_id"),
         F.when(first, F.lit(NULL_MARKER)).otherwise(F.lit("active")).alias("previous_status"),
@@ -233,6 +241,7 @@ def event_records(spark: SparkSession, sf_dir: str, redelivered: bool = False) -
         F.lit(NULL_MARKER).alias("rejection_details"),
         F.coalesce(F.col("prev_stage"), F.lit(NULL_MARKER)).alias("previous_stage"),
         F.coalesce(F.col("stage"), F.lit(NULL_MARKER)).alias("current_stage"),
+        "_load",
     )
 
 
@@ -248,14 +257,28 @@ _RECORD_BUILDERS = {
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One raw (all-string, metadata-stamped) table derived from the driver tables."""
     if name == "application_events":
-        first = normalise_raw(event_records(spark, sf_dir), "application_events", *FIRST_LOAD)
-        again = normalise_raw(event_records(spark, sf_dir, redelivered=True), "application_events", *REDELIVERY_LOAD)
-        return first.unionByName(again)
+        # both loads from one pass over the events, each row stamped with its own load's metadata
+        return _with_load_metadata(_event_loads(spark, sf_dir))
     records = _RECORD_BUILDERS[name](spark, sf_dir)
     assert tuple(records.columns) == RAW_COLUMNS[name], name
     return normalise_raw(records, name, *FIRST_LOAD)
 
 
+def _with_load_metadata(loads: DataFrame) -> DataFrame:
+    """Normalise both event loads, stamping each row with its own load's metadata."""
+    cols = [c for c in loads.columns if c != "_load"]
+    normal = [F.nullif(F.col(c).cast("string"), F.lit(NULL_MARKER)).alias(c) for c in cols]
+    again = F.col("_load") == 2
+    return loads.select(
+        *normal,
+        F.when(again, F.lit(REDELIVERY_LOAD[0])).otherwise(F.lit(FIRST_LOAD[0])).alias("_ingestion_batch_id"),
+        F.when(again, F.lit(REDELIVERY_LOAD[1])).otherwise(F.lit(FIRST_LOAD[1])).alias("_ingested_at"),
+        F.lit("greenhouse").alias("_source_system"),
+        F.lit("application_events").alias("_source_object"),
+        F.lit("api_sync").alias("_loaded_by"),
+    )
+
+
 class RawTables:
     """Lazily built raw tables of one scale-factor directory."""
 
