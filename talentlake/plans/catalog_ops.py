@@ -449,3 +449,68 @@ def q_ops_to_applications(spark, sf_dir):
     res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
     stage_events = res.stage_events.limit(0)
     return ingest.ops_to_applications(res.applications, res.status_events, stage_events, *LOAD)
+
+
+# -- F17: commands → webhook events -----------------------------------------------------------------
+
+COMMAND_NEXT_STAGE = {"Recruiter Interview": "Hiring Manager Review", "Final Interview": "Reference Check",
+                      "Reference Check": "Offer"}
+
+
+def _commands(apps: DataFrame) -> DataFrame:
+    """One command per active application: hire at Offer, reject at Application Review, else advance."""
+    stage = F.col("current_stage")
+    return apps.filter(F.col("status") == "active").select(
+        "application_id",
+        F.when(stage == "Offer", F.lit("hire")).when(stage == "Application Review", F.lit("reject"))
+        .otherwise(F.lit("stage_change")).alias("command"),
+        case_col(stage, COMMAND_NEXT_STAGE).alias("new_stage"),
+        F.lit("active").alias("current_status"),
+        F.when(stage == "Application Review", F.lit("Not a fit")).alias("reason"),
+        F.lit(AS_OF).cast("timestamp").alias("issued_at"),
+    )
+
+
+def case_col(col, mapping):
+    from talentlake.functions.scalar import lookup
+
+    return lookup(col, mapping)
+
+
+@register("events_from_commands", with_ops(f"""
+SELECT CAST(8020479101 AS BIGINT) AS organization_id, c.command,
+  CASE c.command WHEN 'stage_change' THEN 'candidate_stage_change' WHEN 'reject' THEN 'reject_candidate'
+    ELSE 'hire_candidate' END AS action,
+  c.application_id,
+  CASE WHEN l.application_id IS NOT NULL THEN l.ev_status ELSE a.app_status END AS previous_status,
+  CASE c.command WHEN 'stage_change' THEN c.current_status WHEN 'reject' THEN 'rejected' ELSE 'hired' END AS current_status,
+  c.issued_at AS last_activity_at,
+  CASE WHEN c.command = 'reject' THEN c.issued_at END AS rejected_at,
+  CASE WHEN c.command = 'reject' THEN c.reason END AS rejection_reason,
+  CAST(NULL AS VARCHAR) AS rejection_details,
+  CASE WHEN l.application_id IS NOT NULL THEN l.ev_stage ELSE a.app_stage END AS previous_stage,
+  CASE WHEN c.command = 'stage_change' THEN c.new_stage
+       ELSE CASE WHEN l.application_id IS NOT NULL THEN l.ev_stage ELSE a.app_stage END END AS current_stage
+FROM cmds c
+LEFT JOIN latest l USING (application_id)
+LEFT JOIN app_state a USING (application_id)""", f"""
+cmds AS (
+  SELECT application_id,
+    CASE current_stage WHEN 'Offer' THEN 'hire' WHEN 'Application Review' THEN 'reject' ELSE 'stage_change' END AS command,
+    {case_map('current_stage', COMMAND_NEXT_STAGE)} AS new_stage, 'active' AS current_status,
+    CASE WHEN current_stage = 'Application Review' THEN 'Not a fit' END AS reason,
+    TIMESTAMP '{AS_OF}' AS issued_at
+  FROM ops_applications WHERE status = 'active'),
+latest AS (
+  SELECT {long_sql('application_id')} AS application_id, current_stage AS ev_stage, current_status AS ev_status
+  FROM raw_events
+  QUALIFY row_number() OVER (PARTITION BY {long_sql('application_id')} ORDER BY coalesce(last_activity_at, '') DESC) = 1),
+app_state AS (
+  SELECT {long_sql('ghap_application_id')} AS application_id, ghap_application_current_stage AS app_stage,
+    ghap_status AS app_status
+  FROM raw_applications)"""))
+def q_events_from_commands(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    commands = _commands(ops_apps(spark, sf_dir))
+    out = changes.events_from_commands(commands, r["application_events"], r["applications"])
+    return out

@@ -67,3 +67,17 @@ def q_stream_transitions(spark, sf_dir):
     st.run_available_now(stream, st.scratch_path(spark, "t3-ckpt"), foreach_batch=updater)
     out = spark.read.parquet(updater.transitions_path)
     return out.select(*[c for c in out.columns if c != "bucket"])
+
+
+@register("read_events_json", with_base("SELECT * FROM stg_events"))
+def q_read_events_json(spark, sf_dir):
+    """Events landed as JSON (lines, splittable) read with an all-string schema, then staged."""
+    from talentlake.operators.staging import stg_events
+    from talentlake.sources.raw import read_event_json
+    from talentlake.sources.driver_tables import raw_table
+
+    path = st.scratch_path(spark, "events-json")
+    raw = raw_table(spark, sf_dir, "application_events")
+    raw.write.mode("overwrite").json(path)
+    landed = read_event_json(spark, path, multiline=False, with_metadata=True)
+    return stg_events(landed)

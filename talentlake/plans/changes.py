@@ -665,20 +665,21 @@ def events_from_commands(commands: DataFrame, events: DataFrame, applications: D
 
     from talentlake.plans.ingest import latest_event_per_application
 
-    latest = latest_event_per_application(events).select(
-        "application_id", F.col("current_stage").alias("_ev_stage"), F.col("current_status").alias("_ev_status")
+    ids = commands.select("application_id").distinct()
+    typed_events = events.withColumn("application_id", F.col("application_id").try_cast("long"))
+    latest = latest_event_per_application(typed_events.join(ids, "application_id", "left_semi")).select(
+        "application_id", F.col("current_stage").alias("_ev_stage"), F.col("current_status").alias("_ev_status"),
+        F.lit(True).alias("_has_event"),
     )
     app_state = applications.select(
         F.col("ghap_application_id").try_cast("long").alias("application_id"),
         F.col("ghap_application_current_stage").alias("_app_stage"),
         F.col("ghap_status").alias("_app_status"),
-    )
+    ).join(ids, "application_id", "left_semi")
     base = latest.join(app_state, "application_id", "full_outer").select(
         "application_id",
-        F.when(F.col("_ev_status").isNotNull() | F.col("_ev_stage").isNotNull(), F.col("_ev_stage"))
-        .otherwise(F.col("_app_stage")).alias("_start_stage"),
-        F.when(F.col("_ev_status").isNotNull() | F.col("_ev_stage").isNotNull(), F.col("_ev_status"))
-        .otherwise(F.col("_app_status")).alias("_start_status"),
+        F.when(F.col("_has_event"), F.col("_ev_stage")).otherwise(F.col("_app_stage")).alias("_start_stage"),
+        F.when(F.col("_has_event"), F.col("_ev_status")).otherwise(F.col("_app_status")).alias("_start_status"),
     )
     cmd = commands.join(base, "application_id", "left")
     is_stage = F.col("command") == COMMAND_STAGE

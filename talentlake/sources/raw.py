@@ -91,13 +91,17 @@ def normalise_raw(
 
 # -- S1-S4: readers ---------------------------------------------------------------------
 
-def read_event_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Webhook events: one top-level JSON array (``multiline``) or JSON lines (scales)."""
-    cols = list(RAW_COLUMNS["application_events"]) + ["current__stage"]
-    df = spark.read.schema(string_schema(cols)).option("multiLine", multiline).json(path)
-    # the file spells the stage column with two underscores; prefer it when present
+def read_event_json(spark: SparkSession, path: str, multiline: bool = True, with_metadata: bool = False) -> DataFrame:
+    """Webhook events: one top-level JSON array (``multiline``) or JSON lines (splittable, for scale).
+
+    The file spells the stage column ``current__stage``; it is read as ``current_stage``.
+    ``with_metadata`` also reads the five load-metadata columns of an already-landed raw table.
+    """
+    base = list(RAW_COLUMNS["application_events"])
+    extra = list(METADATA_COLUMNS) if with_metadata else []
+    df = spark.read.schema(string_schema(base + ["current__stage"] + extra)).option("multiLine", multiline).json(path)
     df = df.withColumn("current_stage", F.coalesce(F.col("current__stage"), F.col("current_stage")))
-    return df.drop("current__stage").select(*RAW_COLUMNS["application_events"])
+    return df.drop("current__stage").select(*base, *extra)
 
 
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
