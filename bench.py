@@ -55,7 +55,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
-        f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+        f"local[{cpus}]", shuffle_partitions=cpus,
         extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tl-bench-ckpt-")},
     )
     names = sorted(QUERIES) if "--all" in sys.argv else list(HEADLINE)
