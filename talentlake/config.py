@@ -115,6 +115,9 @@ UNKNOWN_OFFICE = "Unknown office"
 UNKNOWN_DEPARTMENT = "Unknown department"
 UNKNOWN_RECRUITER = "Unknown recruiter"
 
+# Operator roles in priority order (first = highest); other roles rank 99.
+ROLE_PRIORITY = ("super_admin", "dev_admin", "hr_manager", "business_manager", "analyst_readonly")
+
 # Raw NULL marker.
 NULL_MARKER = "(null)"
 

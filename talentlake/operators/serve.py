@@ -13,7 +13,16 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.config import HIRE_ELIGIBLE_STAGES, REJECT_ELIGIBLE_STAGES, STATUS_HIRED, STATUS_REJECTED
+from talentlake.config import (
+    HIRE_ELIGIBLE_STAGES,
+    REJECT_ELIGIBLE_STAGES,
+    ROLE_PRIORITY,
+    STATUS_HIRED,
+    STATUS_REJECTED,
+    UNKNOWN_DEPARTMENT,
+    UNKNOWN_OFFICE,
+    UNKNOWN_RECRUITER,
+)
 from talentlake.functions.scalar import display_fallback, safe_divide, search_text
 
 
@@ -279,3 +288,31 @@ def recent_requests(requests: DataFrame, n: int = 20, outcome: str | None = None
 def page(df: DataFrame, key: str, limit: int, offset: int) -> tuple[DataFrame, DataFrame]:
     """One page ordered by ``key`` plus the total row count."""
     return df.orderBy(F.col(key).asc()).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("count"))
+
+
+# -- W7, D10, A15 ----------------------------------------------------------------------------
+
+def current_role(user_roles: DataFrame) -> DataFrame:
+    """Each user's highest-priority active role (grouped ``min_by``; ties by role name)."""
+    from talentlake.functions.scalar import lookup
+
+    rank = lookup("role", {r: i + 1 for i, r in enumerate(ROLE_PRIORITY)}, 99)
+    active = user_roles.filter(F.col("is_active") == F.lit(True))
+    return active.groupBy("user_id").agg(F.min_by("role", F.struct(rank, F.col("role"))).alias("role"))
+
+
+def item_details(apps: DataFrame, items: DataFrame) -> DataFrame:
+    """Display rows of a request's applications with each item's apply status."""
+    status = items.select("application_id", F.col("apply_status").alias("item_apply_status"))
+    chosen = apps.join(status.select("application_id"), "application_id", "left_semi")
+    return display_rows(chosen).join(status, "application_id", "left")
+
+
+def scope_counts(apps: DataFrame) -> DataFrame:
+    """Applications per "recruiter / office / department" key (blank → "Unknown …")."""
+    def label(col: str, unknown: str) -> Column:
+        return F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(unknown))
+
+    key = F.concat_ws(" / ", label("recruiter", UNKNOWN_RECRUITER), label("office", UNKNOWN_OFFICE),
+                      label("department", UNKNOWN_DEPARTMENT))
+    return apps.groupBy(key.alias("scope")).agg(F.count(F.lit(1)).alias("applications"))

@@ -323,3 +323,21 @@ def q_expected_kpi_delta(spark, sf_dir):
     p = _plan_hire(ops_apps(spark, sf_dir))
     return serve.expected_kpi_delta(p.request, p.items)
 
+
+
+@register("item_details", with_ops("""
+SELECT d.*, i.apply_status AS item_apply_status
+FROM display d JOIN hire_items i USING (application_id)""",
+    HIRE_SQL + ",\n" + DISPLAY_CTE.format(src="ops_applications").strip()))
+def q_item_details(spark, sf_dir):
+    apps = ops_apps(spark, sf_dir)
+    return serve.item_details(apps, _plan_hire(apps).items)
+
+
+@register("scope_counts", with_ops("""
+SELECT concat_ws(' / ', coalesce(nullif(recruiter, ''), 'Unknown recruiter'), coalesce(nullif(office, ''), 'Unknown office'),
+  coalesce(nullif(department, ''), 'Unknown department')) AS scope, count(*) AS applications
+FROM ops_applications WHERE status = 'active' AND coalesce(current_stage, '') <> 'Offer'
+GROUP BY 1"""))
+def q_scope_counts(spark, sf_dir):
+    return serve.scope_counts(changes.eligible_stage_change(ops_apps(spark, sf_dir), "Offer"))

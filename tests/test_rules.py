@@ -239,3 +239,30 @@ def test_stage_apply_sequence_events(spark):
     assert ev == [("Application Review", "Recruiter Interview"), ("Recruiter Interview", "Hiring Manager Review")]
     assert res.applications.collect()[0].current_stage == "Hiring Manager Review"
     assert res.request.collect()[0].status == "applied"
+
+
+def test_current_role_and_scope_counts(spark):
+    from talentlake.operators import serve
+
+    roles = spark.createDataFrame(
+        [("u1", "analyst_readonly", True), ("u1", "hr_manager", True), ("u1", "super_admin", False),
+         ("u2", "custom", True), ("u2", "dev_admin", True), ("u3", "analyst_readonly", False)],
+        "user_id string, role string, is_active boolean",
+    )
+    got = {r.user_id: r.role for r in serve.current_role(roles).collect()}
+    assert got == {"u1": "hr_manager", "u2": "dev_admin"}
+    apps = spark.createDataFrame([("R", "", None), ("R", "", None), (None, "O", "D")],
+                                 "recruiter string, office string, department string")
+    got = {r.scope: r.applications for r in serve.scope_counts(apps).collect()}
+    assert got == {"R / Unknown office / Unknown department": 2, "Unknown recruiter / O / D": 1}
+
+
+def test_audit_and_record_status(spark):
+    req = spark.createDataFrame([("r1", 3)], "request_id string, selected_count long")
+    audit = changes.audit_rows(req, "create_stage_change_dry_run", "stage_change_request", "a@x", "2026-01-01 00:00:00",
+                               ["selected_count"]).collect()[0]
+    assert audit.object_id == "r1" and audit.payload == {"selected_count": "3"}
+    results = spark.createDataFrame([("r1", "applied"), ("r1", "failed"), ("r2", "failed"), ("r3", "applied")],
+                                    "request_id string, apply_status string")
+    got = {r.request_id: r.status for r in changes.record_apply_status(results).collect()}
+    assert got == {"r1": "partially_applied", "r2": "failed", "r3": "applied"}
