@@ -43,3 +43,17 @@ def test_lag_plan_has_no_unpartitioned_window(spark):
     df = _events(spark)
     plan = lag_by_key(df, "k", "ts", [F.col("id")], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_hot_key_is_split_by_time_bucket(spark):
+    """One key with most rows: the window exchange partitions on (key, bucket), so the hot key spans tasks."""
+    base = datetime(2024, 1, 1)
+    rows = [(1, base + timedelta(hours=i), i, "x") for i in range(2000)] + [(2, base, 0, "y")]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, id int, v string")
+    out = lag_by_key(df, "k", "ts", [F.col("id")], ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    window_exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(_pk" in line]
+    assert window_exchanges and all("_bucket" in line or "_pn" in line for line in window_exchanges)
+    buckets = df.filter("k = 1").select(F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))).distinct().count()
+    assert buckets > 80  # 2000 hourly rows → ~84 day buckets, i.e. ~84 window groups instead of one
+    assert out.filter("k = 1 AND lag_v IS NULL").count() == 1  # still exactly one first row
