@@ -1,8 +1,9 @@
 """The refresh job: raw → staging → core → data-quality gate → marts → publish.
 
-* Core models are written once and re-read from storage, so every mart
-  reads a materialised table (lineage is cut; a lost executor re-reads
-  files instead of recomputing the event windows).
+* Staged events and core models are written once, in dependency order, and
+  re-read from storage: every later model and mart reads a materialised
+  table (lineage is cut; a lost executor re-reads files instead of
+  recomputing the event windows, and no fact is computed twice).
 * Data quality runs on the written sources and core tables *before* any
   mart is built; a blocking failure stops the run and nothing is published.
 * Each run writes to a new version folder; the version becomes current only
@@ -24,6 +25,9 @@ from talentlake.plans.warehouse import CORE_MODELS, MART_MODELS, Warehouse
 # Core tables sorted by application within each write task: no extra shuffle
 # (files do not carry a partitioning to later readers anyway), but tight
 # Parquet min/max statistics, so id lookups (P12) skip most row groups.
+# De-duplicated events feed the transitions and two funnel marts: written once too.
+MATERIALISED = ("stg_events",) + CORE_MODELS
+
 SORT_HINTS = {
     "fact_application": "application_id",
     "fact_offer": "application_id",
@@ -48,13 +52,15 @@ def publish(
 ) -> dict[str, str]:
     """Run the whole refresh; returns model name → path of the published version."""
     base = f"{out_root.rstrip('/')}/version={version}"
-    w = Warehouse(raw, stages, as_of=as_of)
     paths: dict[str, str] = {}
-    for name in CORE_MODELS:
+    core: dict[str, DataFrame] = {}
+    # dependency order; each model is computed once and later models read the written table
+    for name in MATERIALISED:
+        w = Warehouse(raw, stages, as_of=as_of, overrides=core)
         path = f"{base}/core/{name}"
         _write(w.model(name), path, SORT_HINTS.get(name))
         paths[name] = path
-    core = {name: spark.read.parquet(p) for name, p in paths.items()}
+        core[name] = spark.read.parquet(path)
     wm = Warehouse(raw, stages, as_of=as_of, overrides=core)
 
     raw_names = {"raw_jobs": "jobs", "raw_candidates": "candidates", "raw_applications": "applications",
