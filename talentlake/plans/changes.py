@@ -1,7 +1,7 @@
 """Batch change workflows: validate → plan (dry run) → approve → apply.
 
-The reference runs these as row loops inside a database transaction. Here
-each step is one set-based plan over whole tables:
+Transactional row-by-row procedures become set-based plans here: each step
+is one plan over whole tables:
 
 * eligibility is a filter; the selection is a top-k (``orderBy().limit(n)``
   with n ≤ 500, planned as TakeOrderedAndProject: each task keeps n rows);
