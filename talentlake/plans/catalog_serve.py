@@ -188,7 +188,7 @@ def q_serve_overview_scoped(spark, sf_dir):
 
 
 @register("serve_status", with_base(f"""
-SELECT application_status, sum(applications_count) AS applications_count FROM k1 WHERE {DEP} GROUP BY application_status""",
+SELECT application_status, CAST(sum(applications_count) AS BIGINT) AS applications_count FROM k1 WHERE {DEP} GROUP BY application_status""",
                                     extra_ctes=_mart_cte("k1", K1_SQL)))
 def q_serve_status(spark, sf_dir):
     return serve.status_distribution(warehouse(spark, sf_dir).mart_status_by_scope, None, SCOPE_DEPARTMENTS)
@@ -203,15 +203,16 @@ def q_serve_status_table(spark, sf_dir):
 
 
 @register("serve_funnel", with_base(f"""
-SELECT stage_order, stage_name, sum(applications_reached) AS applications_reached FROM k7 WHERE {DEP}
+SELECT stage_order, stage_name, CAST(sum(applications_reached) AS BIGINT) AS applications_reached FROM k7 WHERE {DEP}
 GROUP BY stage_order, stage_name""", extra_ctes=_mart_cte("k7", K7_SQL)))
 def q_serve_funnel(spark, sf_dir):
     return serve.funnel(warehouse(spark, sf_dir).mart_funnel_by_scope, None, SCOPE_DEPARTMENTS)
 
 
 @register("serve_workload", with_base(f"""
-SELECT recruiter_name, sum(total_applications) AS total_applications, sum(active_applications) AS active_applications,
-  sum(sla_breached_cases) AS sla_breached_cases FROM k5 WHERE {DEP_REC} GROUP BY recruiter_name""",
+SELECT recruiter_name, CAST(sum(total_applications) AS BIGINT) AS total_applications,
+  CAST(sum(active_applications) AS BIGINT) AS active_applications,
+  CAST(sum(sla_breached_cases) AS BIGINT) AS sla_breached_cases FROM k5 WHERE {DEP_REC} GROUP BY recruiter_name""",
                                       extra_ctes=_mart_cte("k5", K5_SQL)))
 def q_serve_workload(spark, sf_dir):
     return serve.workload_chart(warehouse(spark, sf_dir).mart_recruiter_workload, None, SCOPE_DEPARTMENTS, SCOPE_RECRUITERS)

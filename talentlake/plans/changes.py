@@ -202,7 +202,14 @@ def _has_ids(application_ids) -> bool:
 
 def _request_row(counts: DataFrame, literals: dict[str, object], error: Column | None = None) -> DataFrame:
     """One request row from a one-row counts frame plus literal fields."""
-    cols = [F.lit(v).alias(k) if not isinstance(v, Column) else v.alias(k) for k, v in literals.items()]
+    cols = []
+    for k, v in literals.items():
+        if isinstance(v, Column):
+            cols.append(v.alias(k))
+        elif v is None or isinstance(v, str):
+            cols.append(F.lit(v).cast("string").alias(k))
+        else:
+            cols.append(F.lit(v).alias(k))
     err = error if error is not None else F.lit(None).cast("string")
     return counts.select(*cols, "eligible_count", "selected_count", err.alias("error_message"))
 
@@ -435,7 +442,7 @@ def approve_requests(requests: DataFrame, request_ids: Iterable[str], approved_b
     return requests.select(
         *others,
         F.when(can, F.lit(REQ_APPROVED)).otherwise(F.col("status")).alias("status"),
-        F.when(can, F.lit(approved_by)).alias("approved_by"),
+        F.when(can, F.lit(approved_by).cast("string")).alias("approved_by"),
         F.when(can, F.lit(as_of).cast("timestamp")).alias("approved_at"),
         F.when(chosen & ~can, F.lit("Request must exist and be in dry_run status")).alias("approval_error"),
     )

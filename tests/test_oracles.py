@@ -6,7 +6,7 @@ import pytest
 from talentlake.plans.catalog import ORACLES, QUERIES
 from talentlake.sources.driver_tables import DRIVER_TABLES
 from tests.test_plans import STREAMING, check_plan
-from tools.compare import table_hash
+from tools.compare import table_hash, type_diff
 
 
 @pytest.fixture(scope="module")
@@ -31,5 +31,6 @@ def test_query_matches_oracle(spark, sf_dir, con, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert not type_diff(df, res.description)
     assert len(rows) == len(orows)
     assert table_hash(df.columns, rows)[0] == table_hash(ocols, orows)[0]
