@@ -719,3 +719,42 @@ def events_from_commands(commands: DataFrame, events: DataFrame, applications: D
         F.col("_stage_before").alias("previous_stage"),
         F.when(is_stage, F.col("new_stage")).otherwise(F.col("_stage_before")).alias("current_stage"),
     )
+
+
+# -- frozen plans and durable apply outputs -------------------------------------------------------
+
+def freeze_plan(plan: Plan) -> Plan:
+    """Checkpoint a dry run (request and items) into the shared checkpoint folder.
+
+    A plan is a top-k over live applications; re-evaluating it after the
+    applications table changes could select other rows. Freezing it first
+    makes approve / apply / every output derive from the same selection, and
+    a lost executor re-reads the checkpoint instead of re-planning.
+    """
+    from talentlake.session import freeze
+
+    return Plan(freeze(plan.request), freeze(plan.items))
+
+
+def write_applied(result: Applied, root: str, version: str) -> dict[str, str]:
+    """Write the outputs of one apply under ``root/<output>/version=<version>``.
+
+    Events and audit-style outputs are appended per version; the new
+    applications table is a new version (never an in-place overwrite of the
+    table the apply read).
+    """
+    outputs = {
+        "stage_events": result.stage_events,
+        "status_events": result.status_events,
+        "applications": result.applications,
+        "items": result.items,
+        "requests": result.request,
+    }
+    paths = {}
+    for name, df in outputs.items():
+        if df is None:
+            continue
+        path = f"{root.rstrip('/')}/{name}/version={version}"
+        df.write.mode("overwrite").parquet(path)
+        paths[name] = path
+    return paths

@@ -266,3 +266,18 @@ def test_audit_and_record_status(spark):
                                     "request_id string, apply_status string")
     got = {r.request_id: r.status for r in changes.record_apply_status(results).collect()}
     assert got == {"r1": "partially_applied", "r2": "failed", "r3": "applied"}
+
+
+def test_frozen_plan_survives_source_changes(spark):
+    import tempfile
+
+    apps = _ops(spark, [(1, "active", "Offer", None, None, None, None), (2, "active", "Offer", None, None, None, None)])
+    plan = changes.freeze_plan(changes.plan_hire(apps, "Offer only", 1, "go", request_id="h"))
+    chosen = [r.application_id for r in plan.items.collect()]
+    assert chosen == [1]
+    now = "2026-01-01 00:00:00"
+    res = changes.apply_hire(changes.approve_requests(plan.request, ["h"], "a", now), plan.items, apps, now)
+    paths = changes.write_applied(res, tempfile.mkdtemp(prefix="tl-apply-"), "v1")
+    written = spark.read.parquet(paths["applications"])
+    assert {r.application_id: r.status for r in written.collect()} == {1: "hired", 2: "active"}
+    assert spark.read.parquet(paths["items"]).collect()[0].apply_status == "applied"
