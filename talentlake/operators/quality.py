@@ -127,17 +127,46 @@ WAREHOUSE_TESTS = (
 )
 
 
+def not_null_and_unique(df: DataFrame, not_null_cols: Sequence[str], unique_col: str, model: str = "") -> DataFrame:
+    """Q1 + Q2 for one model in a single grouped pass.
+
+    Grouping by the unique key gives, per key, its row count and its NULL
+    counts; one global aggregate then yields the duplicate-key count and
+    the NULL totals (partial aggregation on both levels).
+    """
+    per_key = df.groupBy(unique_col).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(not_null_cols)],
+    )
+    totals = per_key.agg(
+        F.count_if(F.col(unique_col).isNotNull() & (F.col("_n") > 1)).alias("_dup"),
+        *[F.coalesce(F.sum(f"_z{i}"), F.lit(0)).alias(f"_z{i}") for i in range(len(not_null_cols))],
+    )
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit("not_null").alias("test"), F.col(f"_z{i}").cast("bigint").alias("failures"))
+            for i, c in enumerate(not_null_cols)]
+    rows.append(F.struct(F.lit(unique_col).alias("column_name"), F.lit("unique").alias("test"),
+                         F.col("_dup").cast("bigint").alias("failures")))
+    return totals.select(F.explode(F.array(*rows)).alias("r")).select(
+        F.lit(model).alias("model"), "r.column_name", "r.test", "r.failures"
+    )
+
+
 def run_suite(models: Mapping[str, DataFrame] | Callable[[str], DataFrame],
               tests: Sequence[ModelTests] = WAREHOUSE_TESTS) -> DataFrame:
-    """All declared tests → one row per (model, column, test) with its failure count."""
+    """All declared tests → one row per (model, column, test) with its failure count.
+
+    A model with a unique test is read once for all its tests.
+    """
     get = models if callable(models) else models.__getitem__
     parts: list[DataFrame] = []
     for t in tests:
         df = get(t.model)
-        if t.not_null:
+        if t.unique:
+            parts.append(not_null_and_unique(df, t.not_null, t.unique[0], t.model))
+            for col in t.unique[1:]:
+                parts.append(unique(df, [col], t.model))
+        elif t.not_null:
             parts.append(not_null(df, t.not_null, t.model))
-        for col in t.unique:
-            parts.append(unique(df, [col], t.model))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
