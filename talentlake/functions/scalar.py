@@ -170,3 +170,10 @@ def surrogate_key(*parts: ColumnOrName) -> Column:
 def clamp(value: int | None, default: int, low: int, high: int) -> int:
     """``least(greatest(coalesce(value, default), low), high)`` on the driver."""
     return min(max(default if value is None else int(value), low), high)
+
+
+def clean_stage_list(col: ColumnOrName) -> Column:
+    """Trimmed, non-blank, first-occurrence-ordered distinct stages of an array."""
+    trimmed = F.transform(_c(col), lambda x: F.trim(x))
+    kept = F.filter(trimmed, lambda x: x.isNotNull() & (x != F.lit("")))
+    return F.array_distinct(kept)

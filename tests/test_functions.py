@@ -76,3 +76,9 @@ def test_limit_clamps():
     assert S.clamp(5, 100, 10, 500) == 10
     assert S.clamp(1000, 100, 10, 500) == 500
     assert S.clamp(0, 100, 1, 500) == 1
+
+
+def test_clean_stage_list_keeps_first_occurrence_order(spark):
+    df = spark.createDataFrame([([" Offer", "Reference Check", "", "Offer ", None, "Final Interview"],)], "s array<string>")
+    got = df.select(S.clean_stage_list("s").alias("v")).collect()[0].v
+    assert got == ["Offer", "Reference Check", "Final Interview"]
