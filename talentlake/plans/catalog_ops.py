@@ -514,3 +514,29 @@ def q_events_from_commands(spark, sf_dir):
     commands = _commands(ops_apps(spark, sf_dir))
     out = changes.events_from_commands(commands, r["application_events"], r["applications"])
     return out
+
+
+# -- S10/S11: merge re-ingested operational rows into the raw applications table -----------------------
+
+UPSERT_COLUMNS = ("ghap_status", "ghap_application_current_stage", "ghap_hired_at", "ghap_last_activity_at")
+
+
+@register("upsert_applications", with_ops(f"""
+SELECT e.* REPLACE (
+  CASE WHEN h.application_id IS NOT NULL THEN 'hired' ELSE e.ghap_status END AS ghap_status,
+  CASE WHEN h.application_id IS NOT NULL THEN 'Offer' ELSE e.ghap_application_current_stage END AS ghap_application_current_stage,
+  CASE WHEN h.application_id IS NOT NULL THEN '{AS_OF}' ELSE e.ghap_hired_at END AS ghap_hired_at,
+  CASE WHEN h.application_id IS NOT NULL THEN '{AS_OF}' ELSE e.ghap_last_activity_at END AS ghap_last_activity_at)
+FROM raw_applications e LEFT JOIN hire_items h ON e.ghap_application_id = CAST(h.application_id AS VARCHAR)""", HIRE_SQL))
+def q_upsert_applications(spark, sf_dir):
+    from talentlake.sources.raw import upsert
+
+    r = raw(spark, sf_dir)
+    apps = ops_apps(spark, sf_dir)
+    h = _plan_hire(apps)
+    res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
+    incoming = ingest.ops_to_applications(res.applications, res.status_events, res.stage_events.limit(0), *LOAD)
+    applied = res.items.filter(F.col("apply_status") == "applied").select(
+        F.col("application_id").cast("string").alias("ghap_application_id"))
+    changed = incoming.join(applied, "ghap_application_id", "left_semi")
+    return upsert(r["applications"], changed, ["ghap_application_id"], columns=list(UPSERT_COLUMNS))
