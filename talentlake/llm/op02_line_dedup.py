@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentlake.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 SALTS = 32  # parts of one key, by document, so that no key is held by one task
@@ -70,9 +72,12 @@ def keep_bitmaps(
     ASCII white space, A-Z lower-cased; rows of one doc_id (null is an id of
     its own, smaller than any) are one document.  Null text is one empty line.
     """
-    occ = occurrences(docs, min_chars, id_col, text_col)
+    # Written once: the range partitioner's sample, the stream and the join read hashes, not texts;
+    # and a written key table leaves a plain join, whose hot keys Spark can split.
+    occ = written(occurrences(docs, min_chars, id_col, text_col), "line-hashes")
+    common = written(common_keys(occ, min_docs), "line-keys")
     lost = (
-        occ.join(common_keys(occ, min_docs), ["h1", "h2"])
+        occ.join(common, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
         .groupBy("doc_id", "stamp")
         .agg(F.sort_array(F.collect_set("pos")).alias("lost"))
