@@ -41,7 +41,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc (null id: 0), stamp (of id and text; equal rows share one) and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc, text).alias("stamp"), text.alias("text"))
+    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc, text).alias("stamp"), text.alias("text"))
+
+
+def _id():
+    """The id of a keyed row: the stamp of a null id is that of the text alone."""
+    return F.when((F.col("doc") != 0) | (F.col("stamp") != F.xxhash64("text")), F.col("doc")).alias("doc_id")
 
 
 def _deal(h: np.ndarray, parts: int) -> np.ndarray:
@@ -245,7 +250,7 @@ def repeated_spans(
     """
     block = block or (window + 1) // 2
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col).select("doc", "stamp", "text")
+    keyed = _keyed(docs, id_col, text_col)
     parts = n_parts(docs, parts)
     probes = keyed.mapInArrow(_probes(parts, window, block), "part long, probes binary, blocks binary")
     hits = probes.groupBy("part").applyInArrow(_hits, "doc long, stamp long, b long")
@@ -262,7 +267,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, n_words, n_removed and the kept words joined by one space."""
     small_batches(docs.sparkSession)
     one = spans.groupBy("doc", "stamp").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
-    rows = _keyed(docs, id_col, text_col).join(one, ["doc", "stamp"], "left").select("doc_id", "text", "first", "last")
+    rows = _keyed(docs, id_col, text_col).join(one, ["doc", "stamp"], "left").select(_id(), "text", "first", "last")
 
     def cut(batches):
         for batch in batches:

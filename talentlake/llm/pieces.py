@@ -3,7 +3,9 @@
 A text is cut at its safe boundaries: a single space between two characters
 that are no white space.  No pre-token of the supported tokenizers reaches
 over such a place, so the ids of the pieces, joined, are the ids of the text.
-Each distinct piece is encoded once per memo by the tokenizers library; a text
+A plain piece (printable ASCII, Latin letters, line ends) is cut further into
+its pre-tokens, whose ids do not depend on their neighbours.  The tokenizers
+library encodes each distinct pre-token, or other piece, once per memo; a text
 with any other white space next to a space is encoded whole.
 """
 
@@ -11,17 +13,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
+import regex
 
 _UNSAFE = -(1 << 60)
+_PLAIN = re.compile("[\n!-~\u00c0-\u024f]+")
 
 
 class PieceEncoder:
     """Encodes with one tokenizer file; created once per Python worker."""
 
     MEMO = 250_000  # pieces kept at most
+    WORDS = 700_000  # pre-tokens kept at most
     _made: dict[str, PieceEncoder] = {}
 
     @classmethod
@@ -33,6 +39,9 @@ class PieceEncoder:
     def __init__(self, path: str):
         self.lengths_memo: dict[str, int] = {}
         self.bytes_memo: dict[str, bytes | None] = {}
+        self.lengths_of: dict[str, int] = {}
+        self.bytes_of: dict[str, bytes] = {}
+        self.words = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -47,7 +56,13 @@ class PieceEncoder:
         tok.no_truncation()
         tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.mode = boundary_mode(json.load(f))
+            spec = json.load(f)
+        self.mode = boundary_mode(spec)
+        self.special = any("<|" not in t["content"] for t in spec.get("added_tokens") or [])
+        if self.mode == "keep":  # the byte-level pre-tokenizer's own pattern
+            self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        elif self.mode == "drop":
+            self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.vocab = tok.get_vocab_size(with_added_tokens=True)
         self._encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -55,10 +70,28 @@ class PieceEncoder:
     def id_type(self) -> np.dtype:
         return np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
 
-    def _new(self, memo: dict, pieces: list[list[str]]) -> list[str]:
+    def _learn(self, memo: dict, words: dict, pieces: list[list[str]], value, joined, unsafe) -> None:
+        """Add all pieces to the memo: ``value`` of ids, ``joined`` over a piece's pre-tokens."""
         if len(memo) > self.MEMO:
             memo.clear()
-        return list(set(chain.from_iterable(pieces)).difference(memo))
+        if len(words) > self.WORDS:
+            words.clear()
+        parts = {}
+        for p in set(chain.from_iterable(pieces)).difference(memo):
+            parts[p] = self._split(p) if safe(p) else None
+        new = list(set(chain.from_iterable(x for x in parts.values() if x)).difference(words))
+        for w, ids in zip(new, self._encode(new)):
+            words[w] = value(ids)
+        for p, split in parts.items():
+            memo[p] = unsafe if split is None else joined(map(words.__getitem__, split))
+
+    def _split(self, piece: str) -> list[str]:
+        """Strings whose ids, one after the other, are the piece's."""
+        if self.words is None or self.special or "<|" in piece or not _PLAIN.fullmatch(piece):
+            return [self._spaced(piece)]
+        if self.mode == "drop":
+            return self.words.findall(piece.lower())  # the normaliser lowers by character, as here
+        return self.words.findall(self._spaced(piece))
 
     def _spaced(self, piece: str) -> str:
         return " " + piece if self.mode == "keep" else piece
@@ -68,9 +101,7 @@ class PieceEncoder:
         if self.mode == "whole":
             return [len(x) for x in self._encode(texts)]
         split, memo = [t.split(" ") for t in texts], self.lengths_memo
-        new = self._new(memo, split)
-        for p, ids in zip(new, self._encode([self._spaced(p) for p in new])):
-            memo[p] = len(ids) if safe(p) else _UNSAFE
+        self._learn(memo, self.lengths_of, split, len, sum, _UNSAFE)
         first = [len(x) for x in self._encode([s[0] for s in split])] if self.mode == "keep" else None
         out = []
         for k, pieces in enumerate(split):
@@ -87,9 +118,7 @@ class PieceEncoder:
         if self.mode == "whole":
             return [pack(x) for x in self._encode(texts)]
         split, memo = [t.split(" ") for t in texts], self.bytes_memo
-        new = self._new(memo, split)
-        for p, ids in zip(new, self._encode([self._spaced(p) for p in new])):
-            memo[p] = pack(ids) if safe(p) else None
+        self._learn(memo, self.bytes_of, split, pack, b"".join, None)
         first = [pack(x) for x in self._encode([s[0] for s in split])] if self.mode == "keep" else None
         out = []
         for k, pieces in enumerate(split):
