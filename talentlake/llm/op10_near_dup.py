@@ -35,12 +35,12 @@ def shingle_set(text: bytes, words: WordHash, size: int) -> np.ndarray:
 def _signature(shingles: np.ndarray, rows: int, halves: int) -> np.ndarray:
     """Half-band hashes: ``halves`` of each of the two collections."""
     n = 2 * halves * rows
-    low = np.empty(n, np.uint64)
+    k = np.arange(1, n + 1, dtype=np.uint64)[:, None]
+    low = np.full(n, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            a = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1)
-            x = (shingles ^ (shingles >> np.uint64(29)) ^ np.uint64((0xD1B54A32D192ED03 * (k + 1)) & (2**64 - 1))) * a
-            low[k] = (x ^ (x >> np.uint64(32))).min()
+        flip, mult = mix64(k), mix64(k + np.uint64(1 << 32)) | np.uint64(1)
+        for at in range(0, len(shingles), 4096):
+            np.minimum(low, ((shingles[None, at : at + 4096] ^ flip) * mult).min(axis=1), out=low)
         out = mix64(low[0::rows] + np.arange(2 * halves, dtype=np.uint64))
         for r in range(1, rows):
             out = mix64(out * np.uint64(0xC2B2AE3D27D4EB4F) + low[r::rows])

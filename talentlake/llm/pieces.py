@@ -1,12 +1,13 @@
-"""Token ids and token counts of whole texts, piece by piece.
-
-A text is cut at its safe boundaries: a single space between two characters
-that are no white space.  No pre-token of the supported tokenizers reaches
-over such a place, so the ids of the pieces, joined, are the ids of the text.
-A plain piece (printable ASCII, Latin letters, line ends) is cut further into
-its pre-tokens, whose ids do not depend on their neighbours.  The tokenizers
-library encodes each distinct pre-token, or other piece, once per memo; a text
-with any other white space next to a space is encoded whole.
+"""Token ids and token counts of whole texts, pre-token by pre-token.
+
+Byte-pair tokenizers cut a text into pre-tokens whose ids do not depend on
+their neighbours, so the ids of a text are those of its pre-tokens joined, and
+each distinct pre-token is encoded by the tokenizers library once per memo.
+A plain text (printable ASCII, Latin-1 letters, usual white space) is cut by the
+tokenizer's own pattern, with its letter and number classes spelled out.  Any other text is cut only at safe boundaries, single
+spaces between two characters that are no white space, which no pre-token
+reaches over; where a space has other white space beside it, and for
+tokenizers of an unknown kind, the text is encoded whole.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ import re
 from itertools import chain
 
 import numpy as np
-import regex
 
-_UNSAFE = -(1 << 60)
-_PLAIN = re.compile("[\n!-~\u00c0-\u024f]+")
+_PLAIN = re.compile("[\t\n\r -~À-ÿ]*")
+_LETTERS, _NUMBERS = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"  # \p{L} and \p{N} among the characters of a plain text
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _plain_pattern(pattern: str) -> re.Pattern:
+    """The pattern for plain texts: classes in brackets lose theirs around the ranges."""
+    for name, chars in ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS)):
+        pattern = pattern.replace(f"[{name}]", f"[{chars}]").replace(f"?{name}", f"?[{chars}]").replace(name, chars)
+    return re.compile(pattern)
 
 
 class PieceEncoder:
     """Encodes with one tokenizer file; created once per Python worker."""
 
-    MEMO = 250_000  # pieces kept at most
-    WORDS = 700_000  # pre-tokens kept at most
+    MEMO = 700_000  # pre-tokens kept at most
     _made: dict[str, PieceEncoder] = {}
 
     @classmethod
@@ -37,11 +44,8 @@ class PieceEncoder:
         return cls._made[path]
 
     def __init__(self, path: str):
-        self.lengths_memo: dict[str, int] = {}
-        self.bytes_memo: dict[str, bytes | None] = {}
-        self.lengths_of: dict[str, int] = {}
-        self.bytes_of: dict[str, bytes] = {}
-        self.words = None
+        self._lengths: dict[str, int] = {}
+        self._bytes: dict[str, bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -58,11 +62,11 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.mode = boundary_mode(spec)
-        self.special = any("<|" not in t["content"] for t in spec.get("added_tokens") or [])
-        if self.mode == "keep":  # the byte-level pre-tokenizer's own pattern
-            self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        if self.mode == "keep":
+            self.words = _plain_pattern(_BYTE_LEVEL)
         elif self.mode == "drop":
-            self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.words = _plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.vocab = tok.get_vocab_size(with_added_tokens=True)
         self._encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -70,75 +74,46 @@ class PieceEncoder:
     def id_type(self) -> np.dtype:
         return np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
 
-    def _learn(self, memo: dict, words: dict, pieces: list[list[str]], value, joined, unsafe) -> None:
-        """Add all pieces to the memo: ``value`` of ids, ``joined`` over a piece's pre-tokens."""
-        if len(memo) > self.MEMO:
-            memo.clear()
-        if len(words) > self.WORDS:
-            words.clear()
-        parts = {}
-        for p in set(chain.from_iterable(pieces)).difference(memo):
-            parts[p] = self._split(p) if safe(p) else None
-        new = list(set(chain.from_iterable(x for x in parts.values() if x)).difference(words))
-        for w, ids in zip(new, self._encode(new)):
-            words[w] = value(ids)
-        for p, split in parts.items():
-            memo[p] = unsafe if split is None else joined(map(words.__getitem__, split))
-
-    def _split(self, piece: str) -> list[str]:
-        """Strings whose ids, one after the other, are the piece's."""
-        if self.words is None or self.special or "<|" in piece or not _PLAIN.fullmatch(piece):
-            return [self._spaced(piece)]
-        if self.mode == "drop":
-            return self.words.findall(piece.lower())  # the normaliser lowers by character, as here
-        return self.words.findall(self._spaced(piece))
-
-    def _spaced(self, piece: str) -> str:
-        return " " + piece if self.mode == "keep" else piece
-
     def lengths(self, texts: list[str]) -> list[int]:
         """Number of ids of each text."""
-        if self.mode == "whole":
-            return [len(x) for x in self._encode(texts)]
-        split, memo = [t.split(" ") for t in texts], self.lengths_memo
-        self._learn(memo, self.lengths_of, split, len, sum, _UNSAFE)
-        first = [len(x) for x in self._encode([s[0] for s in split])] if self.mode == "keep" else None
-        out = []
-        for k, pieces in enumerate(split):
-            n = sum(map(memo.__getitem__, pieces))
-            if first is not None and n >= 0:
-                n += first[k] - memo[pieces[0]]
-            out.append(n if n >= 0 else len(self._encode([texts[k]])[0]))
-        return out
+        return self._each(texts, self._lengths, len, sum)
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text in ``id_type``."""
-        kind = self.id_type
-        pack = lambda ids: np.asarray(ids, kind).tobytes()
-        if self.mode == "whole":
-            return [pack(x) for x in self._encode(texts)]
-        split, memo = [t.split(" ") for t in texts], self.bytes_memo
-        self._learn(memo, self.bytes_of, split, pack, b"".join, None)
-        first = [pack(x) for x in self._encode([s[0] for s in split])] if self.mode == "keep" else None
-        out = []
-        for k, pieces in enumerate(split):
-            parts = list(map(memo.__getitem__, pieces))
-            if None in parts:
-                out.append(pack(self._encode([texts[k]])[0]))
-                continue
-            if first is not None:
-                parts[0] = first[k]
-            out.append(b"".join(parts))
+        return self._each(texts, self._bytes, lambda ids: np.asarray(ids, self.id_type).tobytes(), b"".join)
+
+    def _each(self, texts: list[str], memo: dict, value, joined) -> list:
+        cuts = [self.cut(t) for t in texts]
+        if len(memo) > self.MEMO:
+            memo.clear()
+        new = list(set(chain.from_iterable(cuts)).difference(memo))
+        whole = {w for w in new if len(w) > 200}  # used once, not kept
+        memo.update(zip(new, map(value, self._encode(new))))
+        out = [joined(map(memo.__getitem__, c)) for c in cuts]
+        for w in whole:
+            del memo[w]
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """Strings whose ids, one after the other, are the ids of the text."""
+        if self.mode == "whole":
+            return [text]
+        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            # the word normaliser lowers character by character, as lower() does for these
+            return self.words.findall(text.lower() if self.mode == "drop" else text)
+        pieces = text.split(" ")
+        if not all(map(_safe, pieces)):
+            return [text]
+        return pieces if self.mode == "drop" else [pieces[0], *(" " + p for p in pieces[1:])]
+
 
-def safe(piece: str) -> bool:
+def _safe(piece: str) -> bool:
     """Whether the spaces around this piece are safe boundaries."""
     return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
 
 
 def boundary_mode(spec: dict) -> str:
-    """``keep``: a piece takes its leading space (byte-level pre-tokens, no normaliser);
+    """``keep``: a pre-token takes its leading space (byte-level, no normaliser);
     ``drop``: white space is dropped; ``whole``: no boundary is known to be safe."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     plain = not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens") or [])
@@ -149,7 +124,7 @@ def boundary_mode(spec: dict) -> str:
     first = steps[0] if steps else {}
     if (
         plain
-        and kinds <= {"NFC", "Replace", "Lowercase"}
+        and {"Lowercase"} <= kinds <= {"NFC", "Replace", "Lowercase"}
         and first.get("type") == "Split"
         and first.get("behavior") == "Removed"
         and first.get("invert")
