@@ -5,6 +5,11 @@ stand for halves * halves tables: the key of table (i, j) combines half-band i
 of the first with half-band j of the second.  So 2 * halves * rows minhashes
 serve halves ** 2 tables of 2 * rows minhashes.  A pair of similarity s is
 missed with a chance of about 2 * (1 - s ** rows) ** halves, under 1e-4 at 0.8.
+
+A bucket's sets are compared with its centre only (a star, never all pairs).
+Sets of buckets that still hold several components are then joined exactly
+between components, by prefix, length and positional filters over shingles in
+a global order (``residual_pairs``), which finds every pair that stars left.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +25,10 @@ from talentlake.llm.common import WordHash, as_bytes, mix64, small_batches, wind
 from talentlake.llm.components import connected_components
 
 ROWS, HALVES = 3, 14
-STARS = 2  # rounds of star pairs before the pairs that remain
+FLUSH = 1_000_000  # shingles a map task holds before it deals them out
+BIN = 1.05  # width of the set-size classes of the residual join
+
+_OWNER_TYPE = np.dtype([("node", "<i8"), ("comp", "<i8"), ("size", "<u4"), ("n", "<u4")])
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -123,11 +132,8 @@ def near_duplicates(
     as one, without words empty and linked with nothing.  Two documents are
     linked at 100 * intersection >= percent * union; component_id is the
     smallest doc_id reachable.  Equal sets are one class, of which only the
-    smallest doc_id is compared.  A bucket's classes are compared with its
-    centre (a star, not all pairs); where a bucket still holds several
-    components, with another centre, and then the pairs between components
-    that remain.  Rows with a null id are linked with nothing (component_id
-    null, kept).  Repeated rows give repeated results.  Null text counts as
+    smallest doc_id is compared; a doc_id is expected to name one text.  Rows
+    with a null id are linked with nothing (component_id null, kept).  Repeated rows give repeated results.  Null text counts as
     empty; other columns are ignored; an empty table gives an empty result.
     """
     signed = written(signatures(docs, size, rows, halves, id_col, text_col), "signatures")
@@ -142,22 +148,16 @@ def near_duplicates(
     texts = _texts(docs, members, id_col, text_col)
 
     sizes = members.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    labels = tested = links = None
-    for turn in range(STARS + 1):
-        pairs = _star(members) if turn == 0 else _cross(members, labels, turn, last=turn == STARS)
-        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = _sizes_fit(pairs, sizes, percent)
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = written(verified(pairs, texts, size, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+    stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = written(_sizes_fit(stars, sizes, percent), "stars")
+    links = written(verified(stars, texts, size, percent), "links")
+    labels = connected_components(links)
+    rest = residual_pairs(_mixed(members, labels), texts, size, percent)
+    rest = written(rest.join(stars.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(written(verified(rest, texts, size, percent), "links"))
         labels = connected_components(links)
-    comps = labels if labels is not None else classes.select("node", F.col("node").alias("component")).limit(0)
-    linked = classes.join(comps, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    linked = classes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     own = marks.select("doc_id", "n_shingles", "s1", "s2").join(linked, ["s1", "s2"])
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = own.select("doc_id", "n_shingles", "component_id").unionByName(rest)
@@ -171,25 +171,138 @@ def _texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> D
     return written(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
 
-def _star(members: DataFrame) -> DataFrame:
-    return members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, comp of the members of buckets that hold more than one component."""
+    own = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    span = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return own.join(span.select("key"), "key").select("node", "comp").distinct()
+
+
+def _deal_shingles(parts: int, size: int):
+    """Map step: the shingles of every set, dealt by value into parts, with their owners."""
+
+    def flush(held):
+        h = np.concatenate([x[2] for x in held])
+        owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        h, owner = h[order].astype("<u8"), owner[order]
+        who = np.array([(x[0], x[1], len(x[2]), 0) for x in held], _OWNER_TYPE)
+        chunk = TaskContext.get().partitionId()
+        rows = []
+        for p in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[p], cuts[p + 1]
+            mine, n = np.unique(owner[a:b], return_counts=True)
+            owners = who[mine]
+            owners["n"] = n
+            rows.append((int(p), chunk, owners.tobytes(), h[a:b].tobytes()))
+        for a in range(0, len(rows), 64):
+            cols = list(zip(*rows[a : a + 64]))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "chunk", "owners", "h"])
+
+    def run(batches):
+        words, held, total = WordHash(), [], 0
+        for batch in batches:
+            for node, comp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+                held.append((node, comp, shingle_set(text, words, size)))
+                total += len(held[-1][2])
+                if total >= FLUSH:
+                    yield from flush(held)
+                    held, total = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+_SHARED = pa.schema([("chunk", pa.int64()), ("owners", pa.binary()), ("h", pa.binary()), ("n", pa.binary())])
+
+
+def _shared_shingles(table: pa.Table) -> pa.Table:
+    """Reduce step: of each row, the shingles that stand in sets of two components or more, with their counts."""
+    owners = [np.frombuffer(x, _OWNER_TYPE) for x in table["owners"].to_pylist()]
+    h = np.frombuffer(b"".join(table["h"].to_pylist()), "<u8")
+    comp = np.concatenate([np.repeat(o["comp"], o["n"]) for o in owners])
+    order = np.argsort(h, kind="stable")
+    s, c = h[order], comp[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    count = np.diff(np.append(first, len(s)))
+    both = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    hit, n = np.zeros(len(h), bool), np.zeros(len(h), "<u4")
+    hit[order], n[order] = np.repeat(both, count), np.repeat(count, count)
+    out, at = [], 0
+    for chunk, o in zip(table["chunk"].to_pylist(), owners):
+        mine = slice(at, at + int(o["n"].sum()))
+        at = mine.stop
+        own = hit[mine]
+        if not own.any():
+            continue
+        left, k = np.unique(np.repeat(np.arange(len(o)), o["n"])[own], return_counts=True)
+        kept = o[left].copy()
+        kept["n"] = k
+        out.append((chunk, kept.tobytes(), h[mine][own].tobytes(), n[mine][own].tobytes()))
+    cols = list(zip(*out)) or [(), (), (), ()]
+    return pa.table([pa.array(x, f.type) for x, f in zip(cols, _SHARED)], schema=_SHARED)
 
 
-def _cross(members: DataFrame, labels: DataFrame, turn: int, last: bool) -> DataFrame:
-    """Pairs of one bucket that are not in one component yet: with a centre drawn anew by hash,
-    in the last turn all that remain."""
-    own = members.select("key", "node").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
+def _prefixes(percent: int):
+    """Merge step: the shared shingles within each set's prefix, with their position.
+
+    Order: shingles of one component first (they match nothing that is asked
+    for), then by count, then by value.
+    """
+    names = ("node", "comp", "size", "h", "i")
+    schema = pa.schema([(x, pa.int64()) for x in names])
+
+    def run(table: pa.Table) -> pa.Table:
+        owners = np.concatenate([np.frombuffer(x, _OWNER_TYPE) for x in table["owners"].to_pylist()])
+        h = np.frombuffer(b"".join(table["h"].to_pylist()), "<u8")
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), "<u4")
+        node, comp, size = (np.repeat(owners[x], owners["n"]).astype(np.int64) for x in ("node", "comp", "size"))
+        order = np.lexsort((h, n, node))
+        node, comp, size, h = node[order], comp[order], size[order], h[order]
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        m = np.diff(np.append(first, len(node)))
+        i = np.arange(len(node)) - np.repeat(first, m) + size - np.repeat(m, m)
+        keep = i < size - -(-percent * size // 100) + 1
+        cols = (node, comp, size, h.view(np.int64), i)
+        return pa.table([pa.array(x[keep]) for x in cols], schema=schema)
+
+    return run, ", ".join(f"{x} long" for x in names)
+
+
+def residual_pairs(mixed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that may reach the similarity: none that does is missing.
+
+    Two sets that reach it share a shingle of both prefixes; at the first such
+    one the shingles that follow must suffice.  That bounds the other set's
+    size on either side, so the join's key holds both sets' size classes, and
+    only pairs near both bounds meet.
+    """
+    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = texts.join(mixed, "node").select("node", "comp", "text")
+    dealt = rows.mapInArrow(_deal_shingles(parts, size), "part long, chunk long, owners binary, h binary")
+    shared = dealt.groupBy("part").applyInArrow(_shared_shingles, "chunk long, owners binary, h binary, n binary")
+    merge, schema = _prefixes(percent)
+    tokens = written(shared.groupBy("chunk").applyInArrow(merge, schema), "prefixes")
+    size_, left = F.col("size"), F.col("size") - F.col("i")
+    limit = F.floor(((100 + percent) * left - percent * size_) / percent)  # largest partner by position
+    bin_ = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(BIN)))
+    lo, hi = F.ceil(percent * size_ / 100), F.least(limit, size_)
+    large = tokens.where(lo <= hi).select(
+        "h", bin_(size_).alias("u"), F.explode(F.sequence(bin_(lo), bin_(hi))).alias("v"),
+        F.col("node").alias("a"), F.col("comp").alias("ca"), size_.alias("na"), limit.alias("la"),
+    )
+    top = F.least(limit, F.floor(100 * size_ / percent))
+    small = tokens.where(size_ <= top).select(
+        "h", F.explode(F.sequence(bin_(size_), bin_(top))).alias("u"), bin_(size_).alias("v"),
+        F.col("node").alias("b"), F.col("comp").alias("cb"), size_.alias("nb"), limit.alias("lb"),
     )
-    span = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    mixed = own.join(span.select("key"), "key")
-    if last:
-        other = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-        return mixed.withColumnRenamed("node", "a").join(other, "key").where("a > b and component <> other").select("a", "b")
-    centre = mixed.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("c")
-    ).select("key", F.col("c.node").alias("b"), F.col("c.component").alias("other"))
-    return mixed.withColumnRenamed("node", "a").join(centre, "key").where("component <> other").select("a", "b")
+    fits = "ca <> cb and nb <= na and nb <= la and na <= lb and 100 * nb >= {} * na".format(percent)
+    found = large.join(small, ["h", "u", "v"]).where(fits)
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _sizes_fit(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
