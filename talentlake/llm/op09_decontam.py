@@ -6,7 +6,9 @@
    A'(A G) for a Gaussian G; its orthogonal basis Q spans the latent space.
    Singular values come from the Nystrom form (A'A G)(G'A'A G)^-1(A'A G)'.
 4. Every passage (overlapping runs of about an item's length) is a whitened
-   latent vector; cosine with the items gives candidates.
+   latent vector; cosine with the items gives candidates.  Words of no item
+   are dimensions orthogonal to all items: a passage with too small a share of
+   its weight in the items' words is far from each and needs no vector.
 5. A candidate counts when the longest common subsequence of words covers
    enough of the item, or a smaller share and the item's answer.
 """
@@ -36,7 +38,8 @@ def words_of(text: bytes) -> list[bytes]:
 @dataclass(frozen=True)
 class Settings:
     rank: int = 48            # latent dimensions
-    cosine: float = 0.45      # candidates
+    cosine: float = 0.5       # candidates: latent cosine,
+    share: float = 0.4        # and share of a passage's squared weight in words of the items
     covered: float = 0.75     # share of the item in the longest common subsequence
     with_answer: float = 0.55 # the same if the answer stands in the passage too
     answer_words: int = 5     # an item's last words stand for its answer if it has none of its own
@@ -120,8 +123,7 @@ def _idf(terms: DataFrame, items: Items, size: int) -> np.ndarray:
     sums = {r.term: r.c0 for r in _sum_rows(terms, run, 1).collect()}
     n = max(sums.get(none, 0.0), 1.0)
     df = np.array([sums.get(k, 0.0) for k in range(none)])
-    # Words of no item weigh like a rare word in a passage's length; they have no latent part.
-    return np.append(np.log((1 + n) / (1 + df)) + 0.1, 0.0)
+    return np.log((1 + n) / (1 + df)) + 0.1
 
 
 def _latent(terms: DataFrame, items: Items, idf: np.ndarray, size: int, settings: Settings) -> np.ndarray:
@@ -131,7 +133,7 @@ def _latent(terms: DataFrame, items: Items, idf: np.ndarray, size: int, settings
 
     def run(batches):
         total = np.zeros((none, rank))
-        weighted = gauss * idf[:none, None].astype(np.float32)
+        weighted = gauss * idf[:, None].astype(np.float32)
 
         def add(seqs):
             t = np.concatenate([s[0] for s in seqs])
@@ -181,7 +183,9 @@ def _latent(terms: DataFrame, items: Items, idf: np.ndarray, size: int, settings
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     values = np.maximum(values, values.max() * 1e-3 if values.max() > 0 else 1.0)
     white = q @ vectors / np.sqrt(values)
-    return (white * idf[:none, None]).astype(np.float32)
+    # directions of the terms, so that a passage is not the sum of its most frequent words alone
+    white /= np.maximum(np.linalg.norm(white, axis=1, keepdims=True), 1e-12)
+    return (white * idf[:, None]).astype(np.float32)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -197,8 +201,10 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(terms: DataFrame, items: Items, projection: np.ndarray, settings: Settings) -> DataFrame:
+def _search(terms: DataFrame, items: Items, idf: np.ndarray, projection: np.ndarray, settings: Settings) -> DataFrame:
     none, kind = items.none, items.kind
+    inside = np.append(idf**2, 0.0)
+    weight = np.append(idf**2, np.median(idf) ** 2)  # a word of no item weighs like the items' median word
     table = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
     scales = sorted(set(items.scale))
     groups = {n: [k for k, s in enumerate(items.scale) if s == n] for n in scales}
@@ -210,35 +216,39 @@ def _search(terms: DataFrame, items: Items, projection: np.ndarray, settings: Se
     sets = [np.unique(s) for s in items.seqs]
 
     def matches(t: np.ndarray) -> list[tuple[int, float, int]]:
-        known = t < none
-        if not known.any():
+        known = np.concatenate([[0.0], np.cumsum(inside[t])])
+        if not known[-1]:
             return []
-        total = np.zeros((len(t) + 1, table.shape[1]), np.float64)
-        np.cumsum(table[t], axis=0, out=total[1:])
-        share = np.concatenate([[0], np.cumsum(known)])
+        total = np.concatenate([[0.0], np.cumsum(weight[t])])
         best: dict[int, tuple[float, int]] = {}
         for n in scales:
             step = max(1, n // 4)
             begin = np.arange(0, max(len(t) - n + step, 1), step)
             end = np.minimum(begin + n, len(t))
-            # a passage with too few of the items' words cannot cover one of this scale
-            enough = share[end] - share[begin] >= settings.with_answer * 0.5 * min(n, len(t))
-            begin, end = begin[enough], end[enough]
+            near = known[end] - known[begin] >= settings.share * (total[end] - total[begin])
+            begin, end = begin[near], end[near]
             if not len(begin):
                 continue
+            edge = np.zeros(len(t) + 1, np.int64)  # vectors of the words of these passages only
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, end, -1)
+            used = np.cumsum(edge[:-1]) > 0
+            at = np.concatenate([[0], np.cumsum(used)])
+            sums = np.zeros((at[-1] + 1, table.shape[1]))
+            np.cumsum(table[t[used]], axis=0, out=sums[1:])
             for a in range(0, len(begin), 8192):
-                x = unit((total[end[a : a + 8192]] - total[begin[a : a + 8192]]).astype(np.float32))
+                x = unit((sums[at[end[a : a + 8192]]] - sums[at[begin[a : a + 8192]]]).astype(np.float32))
                 p, q = np.nonzero(x @ targets[n] >= settings.cosine)
                 for i, j in zip(p.tolist(), q.tolist()):
                     k = groups[n][j]
                     seq = items.seqs[k]
                     if k in best and best[k][0] >= 1:
                         continue
-                    reach = len(seq) + step  # the item may begin before or end after the passage
+                    reach = step + max(0, len(seq) - n)  # the item may begin before or end after the passage
                     part = t[max(0, begin[a + i] - reach) : end[a + i] + reach]
                     if len(np.intersect1d(part, sets[k])) < settings.with_answer * 0.8 * len(sets[k]):
                         continue
-                    covered = lcs(seq, _densest(part, sets[k], len(seq) + len(seq) // 2)) / len(seq)
+                    covered = lcs(seq, part) / len(seq)
                     if covered > best.get(k, (0.0, 0))[0]:
                         answer = items.answers[k]
                         best[k] = (covered, int(lcs(answer, part) == len(answer)))
@@ -263,15 +273,6 @@ def _search(terms: DataFrame, items: Items, projection: np.ndarray, settings: Se
     return terms.mapInArrow(run, "doc_id long, n_items long, item_id long, covered double, answer boolean")
 
 
-def _densest(part: np.ndarray, members: np.ndarray, size: int) -> np.ndarray:
-    """The run of ``size`` words of a passage that holds most words of the item."""
-    if len(part) <= size:
-        return part
-    inside = np.concatenate([[0], np.cumsum(np.isin(part, members))])
-    at = int(np.argmax(inside[size:] - inside[:-size]))
-    return part[at : at + size]
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
@@ -300,7 +301,7 @@ def decontaminate(
         else:
             terms = written(terms, "terms")
             idf = _idf(terms, items, SCALES[1])
-            part = _search(terms, items, _latent(terms, items, idf, SCALES[1], settings), settings)
+            part = _search(terms, items, idf, _latent(terms, items, idf, SCALES[1], settings), settings)
         found = part if found is None else found.unionByName(part)
     if len(all_items) > ITEMS_A_BLOCK:
         found = found.groupBy("doc_id").agg(

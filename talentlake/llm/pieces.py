@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -80,12 +82,15 @@ class PieceEncoder:
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text in ``id_type``."""
-        return self._each(texts, self._bytes, lambda ids: np.asarray(ids, self.id_type).tobytes(), b"".join)
+        return self._each(texts, self._bytes, _packer(self.id_type), b"".join)
 
     def _each(self, texts: list[str], memo: dict, value, joined) -> list:
         cuts = [self.cut(t) for t in texts]
-        if len(memo) > self.MEMO:
+        if len(memo) > self.MEMO:  # short pre-tokens are the frequent ones
+            short = {w: v for w, v in memo.items() if len(w) <= 9}
             memo.clear()
+            if len(short) <= self.MEMO // 2:
+                memo.update(short)
         new = list(set(chain.from_iterable(cuts)).difference(memo))
         whole = {w for w in new if len(w) > 200}  # used once, not kept
         memo.update(zip(new, map(value, self._encode(new))))
@@ -107,6 +112,14 @@ class PieceEncoder:
         return pieces if self.mode == "drop" else [pieces[0], *(" " + p for p in pieces[1:])]
 
 
+def _packer(kind: np.dtype):
+    """Ids to little-endian bytes."""
+    code = "H" if kind.itemsize == 2 else "I"
+    if sys.byteorder == "little":
+        return lambda ids: array(code, ids).tobytes()
+    return lambda ids: np.asarray(ids, kind).tobytes()
+
+
 def _safe(piece: str) -> bool:
     """Whether the spaces around this piece are safe boundaries."""
     return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
