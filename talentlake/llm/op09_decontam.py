@@ -22,17 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.llm.common import as_bytes, small_batches, written
+from talentlake.llm.common import as_texts, small_batches, written
 
-_TABLE = bytes(
-    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
-)
+_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCALES = (16, 32, 64)  # passage lengths; an item is compared with its nearest
 ITEMS_A_BLOCK = 2_000  # items that go with the tasks at once; more make further rounds
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words; ASCII characters but letters and digits separate them."""
+    return text.lower().encode().translate(_TABLE).split()
 
 
 @dataclass(frozen=True)
@@ -50,7 +49,7 @@ class Items:
     """A block of benchmark items: vocabulary, term sequences and answers."""
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]], settings: Settings):
-        seqs = [(i, words_of((t or "").encode()), words_of((a or "").encode())) for i, t, a in rows]
+        seqs = [(i, words_of(t or ""), words_of(a or "")) for i, t, a in rows]
         seqs = [x for x in seqs if x[1]]
         vocab = sorted({w for _, s, a in seqs for w in (*s, *a)})
         self.rank = {w: k for k, w in enumerate(vocab)}
@@ -72,7 +71,7 @@ def _terms(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFra
         get = rank.get
         for batch in batches:
             out = []
-            for text in as_bytes(batch.column(1)):
+            for text in as_texts(batch.column(1)):
                 words = words_of(text)
                 out.append(np.fromiter((get(w, none) for w in words), kind, len(words)).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "terms"])

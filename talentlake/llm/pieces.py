@@ -48,6 +48,7 @@ class PieceEncoder:
     def __init__(self, path: str):
         self._lengths: dict[str, int] = {}
         self._bytes: dict[str, bytes] = {}
+        self._word_bytes = _Memo(self._pack_word)
         if path.endswith(".model"):
             import sentencepiece
 
@@ -69,7 +70,9 @@ class PieceEncoder:
         elif self.mode == "drop":
             self.words = _plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self._model = tok.model
         self.vocab = tok.get_vocab_size(with_added_tokens=True)
+        self._pack = _packer(self.id_type)
         self._encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     @property
@@ -81,16 +84,40 @@ class PieceEncoder:
         return self._each(texts, self._lengths, len, sum)
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text in ``id_type``."""
-        return self._each(texts, self._bytes, _packer(self.id_type), b"".join)
+        """Little-endian ids of each text in ``id_type``.
+
+        A plain text's pre-tokens go one by one, on their first use, to the
+        library's model, which saves gathering the new ones of every batch.
+        """
+        out: list = [None] * len(texts)
+        words, rest = self._word_bytes, []
+        if len(words) > self.MEMO:
+            _shrink(words, self.MEMO)
+        for k, text in enumerate(texts):
+            if self.mode != "whole" and self._is_plain(text):
+                out[k] = b"".join(map(words.__getitem__, self._words(text)))
+            else:
+                rest.append(k)
+        if rest:
+            for k, raw in zip(rest, self._each([texts[k] for k in rest], self._bytes, _packer(self.id_type), b"".join)):
+                out[k] = raw
+        return out
+
+    def _pack_word(self, word: str) -> bytes:
+        """Ids of one pre-token; byte-level models read its bytes as printable characters."""
+        return self._pack([t.id for t in self._model.tokenize("".join(map(_BYTE_CHARS.__getitem__, word.encode())))])
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _words(self, text: str) -> list[str]:
+        # the word normaliser lowers character by character, as lower() does for these
+        return self.words.findall(text.lower() if self.mode == "drop" else text)
 
     def _each(self, texts: list[str], memo: dict, value, joined) -> list:
         cuts = [self.cut(t) for t in texts]
-        if len(memo) > self.MEMO:  # short pre-tokens are the frequent ones
-            short = {w: v for w, v in memo.items() if len(w) <= 9}
-            memo.clear()
-            if len(short) <= self.MEMO // 2:
-                memo.update(short)
+        if len(memo) > self.MEMO:
+            _shrink(memo, self.MEMO)
         new = list(set(chain.from_iterable(cuts)).difference(memo))
         whole = {w for w in new if len(w) > 200}  # used once, not kept
         memo.update(zip(new, map(value, self._encode(new))))
@@ -103,15 +130,45 @@ class PieceEncoder:
         """Strings whose ids, one after the other, are the ids of the text."""
         if self.mode == "whole":
             return [text]
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            # the word normaliser lowers character by character, as lower() does for these
-            return self.words.findall(text.lower() if self.mode == "drop" else text)
+        if self._is_plain(text):
+            return self._words(text)
         pieces = text.split(" ")
         if not all(map(_safe, pieces)):
             return [text]
         return pieces if self.mode == "drop" else [pieces[0], *(" " + p for p in pieces[1:])]
 
 
+class _Memo(dict):
+    """Values by key, made on first use."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):
+        value = self[key] = self.make(key)
+        return value
+
+
+def _shrink(memo: dict, limit: int) -> None:
+    """Keep the short pre-tokens, which are the frequent ones."""
+    short = {w: v for w, v in memo.items() if len(w) <= 9}
+    memo.clear()
+    if len(short) <= limit // 2:
+        memo.update(short)
+
+
+def _byte_chars() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable
+    Latin-1 characters for themselves, the others in order from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in own else next(other)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 def _packer(kind: np.dtype):
     """Ids to little-endian bytes."""
     code = "H" if kind.itemsize == 2 else "I"
