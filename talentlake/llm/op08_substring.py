@@ -54,17 +54,27 @@ def _deal(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(ascending: np.ndarray) -> bytes:
+    """Sorted 32-bit hashes as differences, byte plane by byte plane: the upper planes are mostly
+    zeros, which the shuffle's compression removes."""
+    return np.diff(ascending, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64).astype("<u4")
+
+
 def _probes(parts: int, window: int, block: int):
     """Map step 1: per part, the rolling runs' hashes (lower 32 bits; two copies if repeated in the
     batch) and the blocks with their document."""
 
     def flush(rolls, blocks):
-        h, n = np.unique(np.concatenate(rolls), return_counts=True)
-        h = np.concatenate([h, h[n > 1]])
-        part = _deal(h, parts)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        low = h[order].astype("<u4")
+        h = np.concatenate(rolls)
+        key, n = np.unique((_deal(h, parts).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(2**32 - 1)), return_counts=True)
+        key = np.repeat(key, np.minimum(n, 2))
+        cuts = np.searchsorted(key >> np.uint64(32), np.arange(parts + 1))
+        low = key.astype("<u4")
         bh = np.concatenate([b[0] for b in blocks])
         rows = np.empty(len(bh), _BLOCK_TYPE)
         rows["h"] = bh.astype(np.uint32)
@@ -79,7 +89,7 @@ def _probes(parts: int, window: int, block: int):
             some = [p for p in range(a, min(a + 64, parts)) if cuts[p] < cuts[p + 1]]
             yield pa.record_batch(
                 [pa.array(some, pa.int64()),
-                 pa.array([low[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()),
+                 pa.array([_packed(low[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()),
                  pa.array([rows[bcuts[p] : bcuts[p + 1]].tobytes() for p in some], pa.binary())],
                 names=["part", "probes", "blocks"],
             )
@@ -110,8 +120,7 @@ _HITS = pa.schema([("doc", pa.int64()), ("stamp", pa.int64()), ("b", pa.int64())
 
 def _hits(table: pa.Table) -> pa.Table:
     """Reduce step 1: blocks whose hash has two or more rolling runs in the whole part."""
-    probes = np.frombuffer(b"".join(table["probes"].to_pylist()), "<u4")
-    probes = np.sort(probes)
+    probes = np.sort(np.concatenate([_unpacked(x) for x in table["probes"].to_pylist()]))
     twice = np.unique(probes[1:][probes[1:] == probes[:-1]])
     blocks = np.concatenate([np.frombuffer(x, _BLOCK_TYPE) for x in table["blocks"].to_pylist()])
     if len(twice) and len(blocks):
