@@ -1,10 +1,9 @@
 """Independent ANSI-SQL (DuckDB) formulations used as correctness oracles.
 
 ``BASE_CTES`` re-derives the raw tables from the driver tables with the same
-rules as ``sources.driver_tables`` and then follows the warehouse SQL models
-literally (window dedup, a single lag window, count-distinct marts, joins of
-pre-aggregates), so it checks the restructured Spark plans rather than
-repeating them.
+rules as ``sources.driver_tables`` and computes the models from their formulas
+by other means than the Spark plans: numbered events joined with the one
+before, dimensions as groups, marts as filtered counts of long tables.
 
 Engine-parity rules: text → bigint casts accept only an integer literal
 (Spark's ``try_cast``); whole-unit differences use ``date_sub``; averages are
@@ -46,9 +45,7 @@ def _in(values) -> str:
 
 def base_ctes(stages: StageConfig = DRIVER_TABLE_STAGES) -> str:
     owned = _in(stages.owned)
-    sla = case_map("previous_stage", {k: f"CAST({float(v)} AS DOUBLE)" for k, v in stages.sla_days.items()})
-    # SLA values are already SQL text; case_map would quote them, so build explicitly
-    sla = "(CASE previous_stage " + " ".join(
+    sla = "(CASE e.previous_stage " + " ".join(
         f"WHEN {_q(k)} THEN CAST({float(v)} AS DOUBLE)" for k, v in stages.sla_days.items()
     ) + " ELSE NULL END)"
     rank_prev = rank_sql("previous_stage", stages.order)
@@ -158,7 +155,7 @@ event_base AS (
   FROM events
 ),
 raw_events AS (
-  SELECT '8020479101' AS organization_id, 'Acme Talent' AS organization_name, 'candidate_stage_change' AS action,
+  SELECT '7000001' AS organization_id, 'Acme Talent' AS organization_name, 'candidate_stage_change' AS action,
     CAST(user_id AS VARCHAR) AS application_id,
     CASE WHEN prev_stage IS NULL THEN NULL ELSE 'active' END AS previous_status, 'active' AS current_status,
     CAST(ts AS VARCHAR) AS last_activity_at, CAST(NULL AS VARCHAR) AS rejected_at,
@@ -168,7 +165,7 @@ raw_events AS (
     'application_events' AS _source_object, 'api_sync' AS _loaded_by
   FROM event_base
   UNION ALL
-  SELECT '8020479101', 'Acme Talent (redelivered)', 'candidate_stage_change', CAST(user_id AS VARCHAR),
+  SELECT '7000001', 'Acme Talent (redelivered)', 'candidate_stage_change', CAST(user_id AS VARCHAR),
     CASE WHEN prev_stage IS NULL THEN NULL ELSE 'active' END, 'active', CAST(ts AS VARCHAR),
     NULL, NULL, NULL, prev_stage, stage,
     'batch-0002', '2024-02-02 06:00:00', 'greenhouse', 'application_events', 'api_sync'
@@ -241,84 +238,64 @@ stg_openings AS (
   FROM raw_openings
 ),
 dim_candidate AS (
-  SELECT DISTINCT candidate_id, first_name, last_name, candidate_full_name, recruiter_id, recruiter_name,
-    created_at, updated_at
-  FROM stg_candidates WHERE candidate_id IS NOT NULL
+  SELECT candidate_id, first_name, last_name, candidate_full_name, recruiter_id, recruiter_name, created_at, updated_at
+  FROM stg_candidates WHERE candidate_id IS NOT NULL GROUP BY ALL
 ),
 dim_job AS (
-  SELECT DISTINCT job_id, job_name, requisition_id, job_status, department_id, department_name, office_id,
-    office_name, hiring_manager_id, hiring_manager_name, recruiter_id, recruiter_name, employment_type,
-    budget_owner, executive, fte, job_type, created_at, opened_at, closed_at
-  FROM stg_jobs WHERE job_id IS NOT NULL
+  SELECT * EXCLUDE (_ingestion_batch_id, ingested_at, _source_system, _source_object, _loaded_by)
+  FROM stg_jobs WHERE job_id IS NOT NULL GROUP BY ALL
 ),
-dim_office AS (SELECT DISTINCT office_id, office_name FROM stg_jobs WHERE office_id IS NOT NULL),
+dim_office AS (SELECT office_id, office_name FROM dim_job GROUP BY ALL HAVING office_id IS NOT NULL
+  UNION SELECT office_id, office_name FROM stg_jobs WHERE office_id IS NOT NULL),
 dim_department AS (
-  SELECT department_id,
-    (array_agg(department_name ORDER BY department_name) FILTER (WHERE department_name IS NOT NULL))[1] AS department_name
-  FROM stg_jobs WHERE department_id IS NOT NULL GROUP BY department_id
+  SELECT department_id, min(department_name) AS department_name FROM stg_jobs GROUP BY department_id HAVING department_id IS NOT NULL
 ),
-dim_recruiter AS (
-  SELECT DISTINCT recruiter_id, recruiter_name FROM (
-    SELECT DISTINCT recruiter_id, recruiter_name FROM stg_jobs WHERE recruiter_id IS NOT NULL
-    UNION
-    SELECT DISTINCT recruiter_id, recruiter_name FROM stg_candidates WHERE recruiter_id IS NOT NULL
-  ) WHERE recruiter_id IS NOT NULL
+people AS (SELECT recruiter_id, recruiter_name FROM stg_candidates UNION ALL SELECT recruiter_id, recruiter_name FROM stg_jobs),
+dim_recruiter AS (SELECT * FROM people WHERE recruiter_id IS NOT NULL GROUP BY ALL),
+outcome AS (
+  SELECT *, coalesce(application_status = 'hired', false) AS is_hired,
+    CASE application_status WHEN 'hired' THEN ifnull(hired_at, last_activity_at) END AS hire_time
+  FROM stg_applications WHERE application_id IS NOT NULL
 ),
 fact_application AS (
-  SELECT a.application_id, a.candidate_id, a.job_id,
-    coalesce(j.recruiter_id, c.recruiter_id) AS recruiter_id, j.department_id, j.office_id,
-    a.application_status, a.current_stage, a.application_source, a.rejection_reason,
-    a.applied_at, a.rejected_at, a.last_activity_at,
-    CASE WHEN a.application_status = 'hired' THEN coalesce(a.hired_at, a.last_activity_at) END AS hired_at,
-    CASE WHEN a.application_status = 'hired' AND a.applied_at IS NOT NULL
-          AND coalesce(a.hired_at, a.last_activity_at) IS NOT NULL
-          AND date_sub('day', a.applied_at, coalesce(a.hired_at, a.last_activity_at)) >= 0
-         THEN date_sub('day', a.applied_at, coalesce(a.hired_at, a.last_activity_at)) END AS time_to_hire_days,
-    a.jobs_count,
-    CASE WHEN a.application_status = 'active' THEN true ELSE false END AS is_active,
-    CASE WHEN a.application_status = 'rejected' THEN true ELSE false END AS is_rejected,
-    CASE WHEN a.application_status = 'hired' THEN true ELSE false END AS is_hired
-  FROM stg_applications a
-  LEFT JOIN stg_jobs j ON a.job_id = j.job_id
-  LEFT JOIN stg_candidates c ON a.candidate_id = c.candidate_id
-  WHERE a.application_id IS NOT NULL
+  SELECT f.application_id, f.candidate_id, f.job_id, ifnull(j.recruiter_id, p.recruiter_id) AS recruiter_id, j.department_id,
+    j.office_id, f.application_status, f.current_stage, f.application_source, f.rejection_reason, f.applied_at, f.rejected_at,
+    f.last_activity_at, f.hire_time AS hired_at,
+    CASE WHEN date_sub('day', f.applied_at, f.hire_time) >= 0 THEN date_sub('day', f.applied_at, f.hire_time) END AS time_to_hire_days,
+    f.jobs_count, coalesce(f.application_status = 'active', false) AS is_active,
+    coalesce(f.application_status = 'rejected', false) AS is_rejected, f.is_hired
+  FROM outcome f
+  LEFT JOIN stg_candidates p ON p.candidate_id = f.candidate_id
+  LEFT JOIN stg_jobs j ON j.job_id = f.job_id
 ),
 fact_offer AS (
-  SELECT o.offer_id, o.application_id, a.candidate_id, a.job_id, a.recruiter_id, a.department_id, a.office_id,
-    o.offer_status, o.created_at, o.updated_at, o.resolved_at, o.starts_at,
-    CASE WHEN o.offer_status = 'accepted' THEN true ELSE false END AS is_accepted
-  FROM stg_offers o LEFT JOIN fact_application a ON o.application_id = a.application_id
-  WHERE o.offer_id IS NOT NULL
+  SELECT offer_id, application_id, f.candidate_id, f.job_id, f.recruiter_id, f.department_id, f.office_id, offer_status,
+    created_at, updated_at, resolved_at, starts_at, coalesce(offer_status = 'accepted', false) AS is_accepted
+  FROM (SELECT * FROM stg_offers WHERE offer_id IS NOT NULL) LEFT JOIN fact_application f USING (application_id)
 ),
-fst_ordered AS (
-  SELECT application_id, action, previous_status, current_status, previous_stage, current_stage, event_at,
-    lag(event_at) OVER (PARTITION BY application_id ORDER BY event_at ASC NULLS FIRST,
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY event_at ASC NULLS FIRST,
       {rank_prev} ASC NULLS FIRST, {rank_cur} ASC NULLS FIRST, action ASC NULLS FIRST,
       previous_stage ASC NULLS FIRST, current_stage ASC NULLS FIRST, previous_status ASC NULLS FIRST,
-      current_status ASC NULLS FIRST) AS previous_event_at,
-    ingested_at
+      current_status ASC NULLS FIRST) AS k
   FROM stg_events
 ),
-fst_durations AS (
-  SELECT application_id, action, previous_status, current_status, previous_stage AS stage_name, previous_stage,
-    current_stage, previous_event_at AS stage_started_at, event_at AS stage_ended_at,
-    date_sub('hour', previous_event_at, event_at) AS duration_hours,
-    CAST(date_sub('hour', previous_event_at, event_at) AS DOUBLE) / 24.0 AS duration_days,
-    CASE WHEN previous_stage IN {owned} THEN true ELSE false END AS is_recruiter_owned_stage,
-    {sla} AS sla_target_days,
-    ingested_at
-  FROM fst_ordered
-  WHERE previous_event_at IS NOT NULL AND previous_stage IS NOT NULL
+stay AS (
+  SELECT e.*, before.event_at AS began, date_sub('hour', before.event_at, e.event_at) AS hours, {sla} AS target
+  FROM numbered e JOIN numbered before ON before.k + 1 = e.k AND before.application_id IS NOT DISTINCT FROM e.application_id
+  WHERE e.previous_stage IS NOT NULL AND before.event_at IS NOT NULL
 ),
 fact_stage_transition AS (
   SELECT
-    md5(concat_ws('|', CAST(d.application_id AS VARCHAR), coalesce(d.stage_name, ''),
-        coalesce(CAST(epoch_us(d.stage_started_at) AS VARCHAR), ''),
-        coalesce(CAST(epoch_us(d.stage_ended_at) AS VARCHAR), ''))) AS stage_transition_id,
-    d.*,
-    a.candidate_id, a.job_id, a.recruiter_id, a.department_id, a.office_id,
-    CASE WHEN d.sla_target_days IS NULL THEN NULL WHEN d.duration_days <= d.sla_target_days THEN true ELSE false END AS sla_met
-  FROM fst_durations d LEFT JOIN fact_application a ON d.application_id = a.application_id
+    md5(concat_ws('|', CAST(application_id AS VARCHAR), previous_stage, CAST(epoch_us(began) AS VARCHAR),
+        coalesce(CAST(epoch_us(event_at) AS VARCHAR), ''))) AS stage_transition_id,
+    application_id, action, previous_status, stay.current_status, previous_stage AS stage_name, previous_stage,
+    stay.current_stage, began AS stage_started_at, event_at AS stage_ended_at, hours AS duration_hours,
+    hours / 24.0::DOUBLE AS duration_days, coalesce(previous_stage IN {owned}, false) AS is_recruiter_owned_stage,
+    target AS sla_target_days, stay.ingested_at,
+    f.candidate_id, f.job_id, f.recruiter_id, f.department_id, f.office_id,
+    CASE WHEN target IS NOT NULL THEN coalesce(hours / 24.0::DOUBLE <= target, false) END AS sla_met
+  FROM stay LEFT JOIN fact_application f USING (application_id)
 )"""
 
 

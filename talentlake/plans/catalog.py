@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentlake.config import DRIVER_TABLE_STAGES
+from talentlake.config import DRIVER_TABLE_STAGES, OPERATIONAL_SOURCE_MARKER
 from talentlake.oracle import AS_OF, with_base
 from talentlake.plans.warehouse import Warehouse
 from talentlake.session import ensure_session_defaults
@@ -61,131 +61,128 @@ for _key, _model in [
     _model_query(_key, _model, f"SELECT * FROM {_model}")
 
 
-# -- marts (K1-K9), oracles written as the warehouse models are ---------------------------
+# -- marts (K1-K9) -----------------------------------------------------------------------
+# The oracles count rows of long tables (one row per fact, tagged), not joined pre-aggregates.
+
+_OPERATIONAL = f"'{OPERATIONAL_SOURCE_MARKER}'"
 
 K1_SQL = """
-, status_counts AS (
-  SELECT a.office_id, coalesce(j.office_name, 'Unknown office') AS office_name,
-    a.department_id, coalesce(j.department_name, 'Unknown department') AS department_name,
-    a.application_status, count(DISTINCT a.application_id) AS applications_count
-  FROM fact_application a LEFT JOIN dim_job j ON a.job_id = j.job_id
-  GROUP BY 1, 2, 3, 4, 5
+, seen AS (
+  SELECT office_id, department_id, application_status, application_id,
+    ifnull((SELECT min(j.office_name) FROM dim_job j WHERE j.job_id = f.job_id), 'Unknown office') AS office_name,
+    ifnull((SELECT min(j.department_name) FROM dim_job j WHERE j.job_id = f.job_id), 'Unknown department') AS department_name
+  FROM fact_application f
+), sized AS (
+  SELECT office_id, office_name, department_id, department_name, application_status, count(*) AS applications_count
+  FROM (SELECT DISTINCT * FROM seen) GROUP BY ALL
 )
-SELECT office_id, office_name, department_id, department_name, application_status, applications_count,
-  CAST(applications_count AS DOUBLE) / nullif(CAST(sum(applications_count) OVER (PARTITION BY office_id, department_id) AS DOUBLE), 0) AS status_share
-FROM status_counts
+SELECT g.*, CAST(g.applications_count AS DOUBLE) / CAST((SELECT sum(o.applications_count) FROM sized o
+    WHERE o.office_id IS NOT DISTINCT FROM g.office_id AND o.department_id IS NOT DISTINCT FROM g.department_id) AS DOUBLE) AS status_share
+FROM sized g
 """
 
-_APP_MEASURES = """
-    count(*) AS total_applications,
-    count(*) FILTER (WHERE is_active) AS active_applications,
-    count(*) FILTER (WHERE is_rejected) AS rejected_applications,
-    count(*) FILTER (WHERE is_hired) AS hired_applications,
-    count(*) FILTER (WHERE is_hired AND time_to_hire_days IS NOT NULL) AS hired_applications_with_valid_time_to_hire,
-    count(*) FILTER (WHERE is_hired AND application_source = 'supabase_operational_source' AND time_to_hire_days IS NOT NULL) AS supabase_outcome_hired_applications_with_valid_time_to_hire,
-    count(*) FILTER (WHERE is_hired AND coalesce(application_source, '') != 'supabase_operational_source' AND time_to_hire_days IS NOT NULL) AS historical_hired_applications_with_valid_time_to_hire,
-    CAST(sum(CASE WHEN is_hired THEN time_to_hire_days END) AS DOUBLE) / count(CASE WHEN is_hired THEN time_to_hire_days END) AS avg_time_to_hire_days
-"""
-_SLA_MEASURES = """
-    count(*) FILTER (WHERE is_recruiter_owned_stage) AS recruiter_owned_stage_cases,
-    count(*) FILTER (WHERE is_recruiter_owned_stage AND sla_met) AS recruiter_sla_met_cases,
-    count(*) FILTER (WHERE is_recruiter_owned_stage AND sla_met = false) AS recruiter_sla_breached_cases,
-    CAST(count(*) FILTER (WHERE is_recruiter_owned_stage AND sla_met) AS DOUBLE)
-      / nullif(CAST(count(*) FILTER (WHERE is_recruiter_owned_stage) AS DOUBLE), 0) AS recruiter_sla_compliance_rate
+# One row per job, application, offer and owned stage of a scope.
+_TALLY = f"""
+, tally AS (
+  SELECT 'job' AS kind, office_id AS o, department_id AS d, job_status AS tag, NULL::BIGINT AS days, NULL::BOOLEAN AS operational FROM dim_job
+  UNION ALL
+  SELECT 'application', office_id, department_id,
+    CASE WHEN is_hired THEN 'hired' WHEN is_rejected THEN 'rejected' WHEN is_active THEN 'active' END,
+    CASE WHEN is_hired THEN time_to_hire_days END, application_source IS NOT DISTINCT FROM {_OPERATIONAL}
+  FROM fact_application
+  UNION ALL
+  SELECT 'offer', office_id, department_id, CASE WHEN is_accepted THEN 'accepted' END, NULL, NULL FROM fact_offer
+  UNION ALL
+  SELECT 'owned', office_id, department_id, CASE sla_met WHEN true THEN 'met' WHEN false THEN 'breached' END, NULL, NULL
+  FROM fact_stage_transition WHERE is_recruiter_owned_stage
+)"""
+
+
+def _tally_columns() -> str:
+    """Each measure as a filtered count of the tally."""
+    tagged = {
+        "total_jobs": ("job", None), "open_jobs": ("job", "open"), "closed_jobs": ("job", "closed"),
+        "total_applications": ("application", None), "active_applications": ("application", "active"),
+        "rejected_applications": ("application", "rejected"), "hired_applications": ("application", "hired"),
+        "total_offers": ("offer", None), "accepted_offers": ("offer", "accepted"),
+        "recruiter_owned_stage_cases": ("owned", None), "recruiter_sla_met_cases": ("owned", "met"),
+        "recruiter_sla_breached_cases": ("owned", "breached"),
+    }
+    cols = [
+        f"count(*) FILTER (kind = '{kind}'{f" AND tag = '{tag}'" if tag else ''}) AS {name}" for name, (kind, tag) in tagged.items()
+    ]
+    cols += [
+        "count(days) AS hired_applications_with_valid_time_to_hire",
+        "count(days) FILTER (NOT operational) AS historical_hired_applications_with_valid_time_to_hire",
+        "count(days) FILTER (operational) AS supabase_outcome_hired_applications_with_valid_time_to_hire",
+        "CAST(sum(days) AS DOUBLE) / nullif(count(days), 0) AS avg_time_to_hire_days",
+        "CAST(count(*) FILTER (kind = 'owned' AND tag = 'met') AS DOUBLE) / nullif(count(*) FILTER (kind = 'owned'), 0)"
+        " AS recruiter_sla_compliance_rate",
+    ]
+    return ",\n  ".join(cols)
+
+
+K2_SQL = f"""{_TALLY}
+SELECT TIMESTAMP '{AS_OF}' AS generated_at, {_tally_columns()}
+FROM tally
 """
 
-K2_SQL = f"""
-, application_metrics AS (SELECT {_APP_MEASURES} FROM fact_application),
-job_metrics AS (SELECT count(*) FILTER (WHERE job_status = 'open') AS open_jobs,
-  count(*) FILTER (WHERE job_status = 'closed') AS closed_jobs, count(*) AS total_jobs FROM dim_job),
-offer_metrics AS (SELECT count(*) AS total_offers, count(*) FILTER (WHERE is_accepted) AS accepted_offers FROM fact_offer),
-sla_metrics AS (SELECT {_SLA_MEASURES} FROM fact_stage_transition)
-SELECT TIMESTAMP '{AS_OF}' AS generated_at, total_jobs, open_jobs, closed_jobs, total_applications,
-  active_applications, rejected_applications, hired_applications, hired_applications_with_valid_time_to_hire,
-  historical_hired_applications_with_valid_time_to_hire, supabase_outcome_hired_applications_with_valid_time_to_hire,
-  avg_time_to_hire_days, total_offers, accepted_offers, recruiter_owned_stage_cases, recruiter_sla_met_cases,
-  recruiter_sla_breached_cases, recruiter_sla_compliance_rate
-FROM application_metrics CROSS JOIN job_metrics CROSS JOIN offer_metrics CROSS JOIN sla_metrics
-"""
-
-K3_SQL = f"""
-, scope AS (SELECT DISTINCT office_id, office_name, department_id, department_name FROM dim_job
-  WHERE office_id IS NOT NULL AND department_id IS NOT NULL),
-job_metrics AS (SELECT office_id, department_id, count(*) AS total_jobs,
-  count(*) FILTER (WHERE job_status = 'open') AS open_jobs, count(*) FILTER (WHERE job_status = 'closed') AS closed_jobs
-  FROM dim_job GROUP BY office_id, department_id),
-application_metrics AS (SELECT office_id, department_id, {_APP_MEASURES} FROM fact_application GROUP BY office_id, department_id),
-offer_metrics AS (SELECT office_id, department_id, count(*) AS total_offers,
-  count(*) FILTER (WHERE is_accepted) AS accepted_offers FROM fact_offer GROUP BY office_id, department_id),
-sla_metrics AS (SELECT office_id, department_id, {_SLA_MEASURES} FROM fact_stage_transition GROUP BY office_id, department_id)
-SELECT TIMESTAMP '{AS_OF}' AS generated_at, s.office_id, coalesce(s.office_name, 'Unknown office') AS office_name,
-  s.department_id, coalesce(s.department_name, 'Unknown department') AS department_name,
-  coalesce(jm.total_jobs, 0) AS total_jobs, coalesce(jm.open_jobs, 0) AS open_jobs, coalesce(jm.closed_jobs, 0) AS closed_jobs,
-  coalesce(am.total_applications, 0) AS total_applications, coalesce(am.active_applications, 0) AS active_applications,
-  coalesce(am.rejected_applications, 0) AS rejected_applications, coalesce(am.hired_applications, 0) AS hired_applications,
-  coalesce(am.hired_applications_with_valid_time_to_hire, 0) AS hired_applications_with_valid_time_to_hire,
-  coalesce(am.historical_hired_applications_with_valid_time_to_hire, 0) AS historical_hired_applications_with_valid_time_to_hire,
-  coalesce(am.supabase_outcome_hired_applications_with_valid_time_to_hire, 0) AS supabase_outcome_hired_applications_with_valid_time_to_hire,
-  am.avg_time_to_hire_days,
-  coalesce(om.total_offers, 0) AS total_offers, coalesce(om.accepted_offers, 0) AS accepted_offers,
-  coalesce(sm.recruiter_owned_stage_cases, 0) AS recruiter_owned_stage_cases,
-  coalesce(sm.recruiter_sla_met_cases, 0) AS recruiter_sla_met_cases,
-  coalesce(sm.recruiter_sla_breached_cases, 0) AS recruiter_sla_breached_cases,
-  sm.recruiter_sla_compliance_rate
-FROM scope s
-LEFT JOIN job_metrics jm ON s.office_id = jm.office_id AND s.department_id = jm.department_id
-LEFT JOIN application_metrics am ON s.office_id = am.office_id AND s.department_id = am.department_id
-LEFT JOIN offer_metrics om ON s.office_id = om.office_id AND s.department_id = om.department_id
-LEFT JOIN sla_metrics sm ON s.office_id = sm.office_id AND s.department_id = sm.department_id
+K3_SQL = f"""{_TALLY}
+SELECT TIMESTAMP '{AS_OF}' AS generated_at, office_id, ifnull(office_name, 'Unknown office') AS office_name,
+  department_id, ifnull(department_name, 'Unknown department') AS department_name,
+  {_tally_columns()}
+FROM (SELECT office_id, office_name, department_id, department_name FROM dim_job GROUP BY ALL) AS place
+JOIN tally ON tally.o = place.office_id AND tally.d = place.department_id
+GROUP BY place.office_id, place.office_name, place.department_id, place.department_name
 """
 
 K4_SQL = """
-SELECT t.recruiter_id, r.recruiter_name, t.department_id, j.department_name, t.office_id, j.office_name,
-  t.stage_name, t.sla_target_days, count(*) AS total_cases,
-  CAST(sum(t.duration_hours) AS DOUBLE) / count(t.duration_hours) / 24.0 AS avg_duration_days,
-  count(*) FILTER (WHERE t.sla_met) AS sla_met_cases,
-  count(*) FILTER (WHERE t.sla_met = false) AS sla_breached_cases,
-  CAST(count(*) FILTER (WHERE t.sla_met) AS DOUBLE) / count(*) AS sla_compliance_rate
-FROM fact_stage_transition t
-LEFT JOIN dim_recruiter r ON t.recruiter_id = r.recruiter_id
-LEFT JOIN dim_job j ON t.job_id = j.job_id
-WHERE t.is_recruiter_owned_stage
-GROUP BY 1, 2, 3, 4, 5, 6, 7, 8
+, owned AS (
+  SELECT recruiter_id, department_id, office_id, job_id, stage_name, sla_target_days, duration_hours AS h,
+    CASE sla_met WHEN true THEN 1 WHEN false THEN 0 END AS met
+  FROM fact_stage_transition WHERE is_recruiter_owned_stage
+), named AS (
+  SELECT owned.* EXCLUDE (job_id), dim_recruiter.recruiter_name, dim_job.department_name, dim_job.office_name
+  FROM owned LEFT JOIN dim_recruiter USING (recruiter_id) LEFT JOIN dim_job ON dim_job.job_id = owned.job_id
+)
+SELECT * EXCLUDE (h, met), count(*) AS total_cases, CAST(sum(h) AS DOUBLE) / count(h) / 24.0 AS avg_duration_days,
+  count(*) FILTER (met = 1) AS sla_met_cases, count(*) FILTER (met = 0) AS sla_breached_cases,
+  CAST(count(*) FILTER (met = 1) AS DOUBLE) / count(*) AS sla_compliance_rate
+FROM named GROUP BY ALL
 """
 
+# Rows that a recruiter's scope holds; scopes without a key hold applications and jobs only.
 K5_SQL = """
-, application_metrics AS (
+, work AS (
+  SELECT DISTINCT 'application' AS kind, application_id AS id, recruiter_id, office_id, department_id,
+    CASE WHEN is_hired THEN 'hired' WHEN is_rejected THEN 'rejected' WHEN is_active THEN 'active' END AS tag, NULL::BIGINT AS h
+  FROM fact_application
+  UNION ALL
+  SELECT DISTINCT 'job', job_id, recruiter_id, office_id, department_id, NULL, NULL FROM fact_application WHERE job_id IS NOT NULL
+  UNION ALL
+  SELECT 'owned', application_id, recruiter_id, office_id, department_id,
+    CASE sla_met WHEN true THEN 'met' WHEN false THEN 'breached' END, duration_hours
+  FROM fact_stage_transition
+  WHERE is_recruiter_owned_stage AND recruiter_id + office_id + department_id IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'offer', offer_id, recruiter_id, office_id, department_id, CASE WHEN is_accepted THEN 'accepted' END, NULL
+  FROM fact_offer WHERE recruiter_id + office_id + department_id IS NOT NULL
+), scopes AS (
   SELECT recruiter_id, office_id, department_id,
-    count(DISTINCT application_id) AS total_applications,
-    count(DISTINCT CASE WHEN is_active THEN application_id END) AS active_applications,
-    count(DISTINCT CASE WHEN is_rejected THEN application_id END) AS rejected_applications,
-    count(DISTINCT CASE WHEN is_hired THEN application_id END) AS hired_applications,
-    count(DISTINCT job_id) AS jobs_touched
-  FROM fact_application GROUP BY 1, 2, 3),
-stage_metrics AS (
-  SELECT recruiter_id, office_id, department_id, count(*) AS recruiter_owned_stage_cases,
-    count(*) FILTER (WHERE sla_met) AS sla_met_cases, count(*) FILTER (WHERE sla_met = false) AS sla_breached_cases,
-    CAST(sum(duration_hours) AS DOUBLE) / count(duration_hours) / 24.0 AS avg_recruiter_stage_duration_days,
-    CAST(count(*) FILTER (WHERE sla_met) AS DOUBLE) / count(*) AS sla_compliance_rate
-  FROM fact_stage_transition WHERE is_recruiter_owned_stage GROUP BY 1, 2, 3),
-offer_metrics AS (
-  SELECT recruiter_id, office_id, department_id, count(DISTINCT offer_id) AS total_offers,
-    count(DISTINCT CASE WHEN is_accepted THEN offer_id END) AS accepted_offers
-  FROM fact_offer GROUP BY 1, 2, 3)
-SELECT am.recruiter_id, coalesce(r.recruiter_name, 'Unknown recruiter') AS recruiter_name,
-  am.office_id, coalesce(o.office_name, 'Unknown office') AS office_name,
-  am.department_id, coalesce(d.department_name, 'Unknown department') AS department_name,
-  am.total_applications, am.active_applications, am.rejected_applications, am.hired_applications, am.jobs_touched,
-  coalesce(sm.recruiter_owned_stage_cases, 0) AS recruiter_owned_stage_cases,
-  coalesce(sm.sla_met_cases, 0) AS sla_met_cases, coalesce(sm.sla_breached_cases, 0) AS sla_breached_cases,
-  sm.avg_recruiter_stage_duration_days, sm.sla_compliance_rate,
-  coalesce(om.total_offers, 0) AS total_offers, coalesce(om.accepted_offers, 0) AS accepted_offers
-FROM application_metrics am
-LEFT JOIN stage_metrics sm ON am.recruiter_id = sm.recruiter_id AND am.office_id = sm.office_id AND am.department_id = sm.department_id
-LEFT JOIN offer_metrics om ON am.recruiter_id = om.recruiter_id AND am.office_id = om.office_id AND am.department_id = om.department_id
-LEFT JOIN dim_recruiter r ON am.recruiter_id = r.recruiter_id
-LEFT JOIN dim_office o ON am.office_id = o.office_id
-LEFT JOIN dim_department d ON am.department_id = d.department_id
+    count(*) FILTER (kind = 'application') AS total_applications, count(*) FILTER (tag = 'active') AS active_applications,
+    count(*) FILTER (tag = 'rejected') AS rejected_applications, count(*) FILTER (tag = 'hired') AS hired_applications,
+    count(*) FILTER (kind = 'job') AS jobs_touched, count(*) FILTER (kind = 'owned') AS recruiter_owned_stage_cases,
+    count(*) FILTER (tag = 'met') AS sla_met_cases, count(*) FILTER (tag = 'breached') AS sla_breached_cases,
+    CAST(sum(h) AS DOUBLE) / nullif(count(h), 0) / 24.0 AS avg_recruiter_stage_duration_days,
+    CAST(count(*) FILTER (tag = 'met') AS DOUBLE) / nullif(count(*) FILTER (kind = 'owned'), 0) AS sla_compliance_rate,
+    count(DISTINCT id) FILTER (kind = 'offer') AS total_offers, count(DISTINCT id) FILTER (tag = 'accepted') AS accepted_offers
+  FROM work GROUP BY recruiter_id, office_id, department_id HAVING bool_or(kind = 'application')
+)
+SELECT scopes.*,
+  ifnull((SELECT min(recruiter_name) FROM dim_recruiter r WHERE r.recruiter_id = scopes.recruiter_id), 'Unknown recruiter') AS recruiter_name,
+  ifnull((SELECT min(office_name) FROM dim_office p WHERE p.office_id = scopes.office_id), 'Unknown office') AS office_name,
+  ifnull((SELECT min(department_name) FROM dim_department p WHERE p.department_id = scopes.department_id), 'Unknown department') AS department_name
+FROM scopes
 """
 
 
@@ -196,44 +193,49 @@ def _stage_order_sql(col: str) -> str:
 
 
 K6_SQL = f"""
-SELECT {_stage_order_sql('stage_name')} AS stage_order, stage_name, applications_reached
-FROM (SELECT current_stage AS stage_name, count(DISTINCT application_id) AS applications_reached
-      FROM stg_events WHERE current_stage IS NOT NULL GROUP BY current_stage)
+SELECT {_stage_order_sql('stage_name')} AS stage_order, stage_name, count(application_id) AS applications_reached
+FROM (SELECT DISTINCT application_id, current_stage AS stage_name FROM stg_events) WHERE stage_name IS NOT NULL GROUP BY stage_name
 """
 
 K7_SQL = f"""
-SELECT a.office_id, coalesce(j.office_name, 'Unknown office') AS office_name,
-  a.department_id, coalesce(j.department_name, 'Unknown department') AS department_name,
-  {_stage_order_sql('e.current_stage')} AS stage_order, e.current_stage AS stage_name,
-  count(DISTINCT e.application_id) AS applications_reached
-FROM stg_events e
-JOIN fact_application a ON e.application_id = a.application_id
-LEFT JOIN dim_job j ON a.job_id = j.job_id
-WHERE e.current_stage IS NOT NULL
-GROUP BY 1, 2, 3, 4, 5, 6
+, reached AS (
+  SELECT DISTINCT f.office_id, f.department_id, f.job_id, application_id, e.current_stage AS stage_name
+  FROM fact_application f JOIN stg_events e USING (application_id)
+), named AS (
+  SELECT DISTINCT r.office_id, ifnull(j.office_name, 'Unknown office') AS office_name, r.department_id,
+    ifnull(j.department_name, 'Unknown department') AS department_name, stage_name, application_id
+  FROM reached r LEFT JOIN dim_job j ON j.job_id = r.job_id WHERE stage_name IS NOT NULL
+)
+SELECT office_id, office_name, department_id, department_name, {_stage_order_sql('stage_name')} AS stage_order, stage_name,
+  count(*) AS applications_reached
+FROM named GROUP BY ALL
 """
 
 K8_SQL = """
-SELECT t.application_id, a.candidate_id, c.candidate_full_name, a.job_id, j.job_name, t.recruiter_id,
-  r.recruiter_name, t.department_id, j.department_name, t.office_id, j.office_name, t.stage_name,
-  t.stage_started_at, t.stage_ended_at, t.duration_days, t.sla_target_days, a.application_status, a.current_stage
-FROM fact_stage_transition t
-LEFT JOIN fact_application a ON t.application_id = a.application_id
-LEFT JOIN dim_candidate c ON a.candidate_id = c.candidate_id
-LEFT JOIN dim_job j ON a.job_id = j.job_id
-LEFT JOIN dim_recruiter r ON t.recruiter_id = r.recruiter_id
-WHERE t.is_recruiter_owned_stage AND t.sla_met = false
+, late AS (SELECT * FROM fact_stage_transition WHERE NOT sla_met AND is_recruiter_owned_stage),
+subject AS (
+  SELECT f.application_id, f.candidate_id, f.job_id, f.application_status, f.current_stage, p.candidate_full_name,
+    j.job_name, j.department_name, j.office_name
+  FROM fact_application f
+  LEFT JOIN dim_candidate p ON p.candidate_id = f.candidate_id
+  LEFT JOIN dim_job j ON j.job_id = f.job_id
+)
+SELECT application_id, s.candidate_id, candidate_full_name, s.job_id, job_name, recruiter_id, recruiter_name, late.department_id,
+  department_name, late.office_id, office_name, stage_name, stage_started_at, stage_ended_at, duration_days, sla_target_days,
+  application_status, s.current_stage
+FROM late LEFT JOIN subject s USING (application_id) LEFT JOIN dim_recruiter USING (recruiter_id)
 """
 
 K9_SQL = f"""
-SELECT TIMESTAMP '{AS_OF}' AS generated_at,
-  count(*) FILTER (WHERE is_hired) AS total_hired_applications,
-  count(*) FILTER (WHERE is_hired AND time_to_hire_days IS NOT NULL) AS hired_applications_with_valid_time_to_hire,
-  CAST(sum(CASE WHEN is_hired THEN time_to_hire_days END) AS DOUBLE) / count(CASE WHEN is_hired THEN time_to_hire_days END) AS avg_time_to_hire_days,
-  count(*) FILTER (WHERE is_hired AND coalesce(application_source, '') != 'supabase_operational_source' AND time_to_hire_days IS NOT NULL) AS historical_hired_applications_included,
-  count(*) FILTER (WHERE is_hired AND application_source = 'supabase_operational_source' AND time_to_hire_days IS NOT NULL) AS supabase_outcome_hired_applications_included,
-  count(*) FILTER (WHERE is_hired AND time_to_hire_days IS NULL) AS hired_applications_excluded_from_avg
-FROM fact_application
+, hire AS (SELECT time_to_hire_days AS days, application_source IS NOT DISTINCT FROM {_OPERATIONAL} AS operational
+  FROM fact_application WHERE is_hired)
+SELECT TIMESTAMP '{AS_OF}' AS generated_at, count(*) AS total_hired_applications,
+  count(days) AS hired_applications_with_valid_time_to_hire,
+  CAST(sum(days) AS DOUBLE) / nullif(count(days), 0) AS avg_time_to_hire_days,
+  count(days) FILTER (NOT operational) AS historical_hired_applications_included,
+  count(days) FILTER (operational) AS supabase_outcome_hired_applications_included,
+  count(*) - count(days) AS hired_applications_excluded_from_avg
+FROM hire
 """
 
 
@@ -246,18 +248,19 @@ def _cte_select(sql: str) -> str:
     return with_base(sql)
 
 
-for _key, _model, _sql in [
-    ("mart_status_by_scope", "mart_status_by_scope", K1_SQL),
-    ("mart_exec_overview", "mart_exec_overview", K2_SQL),
-    ("mart_exec_overview_by_scope", "mart_exec_overview_by_scope", K3_SQL),
-    ("mart_recruiter_performance", "mart_recruiter_performance", K4_SQL),
-    ("mart_recruiter_workload", "mart_recruiter_workload", K5_SQL),
-    ("mart_funnel", "mart_funnel", K6_SQL),
-    ("mart_funnel_by_scope", "mart_funnel_by_scope", K7_SQL),
-    ("mart_sla_breaches", "mart_sla_breaches", K8_SQL),
-    ("mart_tth_diagnostics", "mart_tth_diagnostics", K9_SQL),
-]:
-    register(_key, _cte_select(_sql))(
+MART_SQL = {
+    "mart_status_by_scope": K1_SQL,
+    "mart_exec_overview": K2_SQL,
+    "mart_exec_overview_by_scope": K3_SQL,
+    "mart_recruiter_performance": K4_SQL,
+    "mart_recruiter_workload": K5_SQL,
+    "mart_funnel": K6_SQL,
+    "mart_funnel_by_scope": K7_SQL,
+    "mart_sla_breaches": K8_SQL,
+    "mart_tth_diagnostics": K9_SQL,
+}
+for _model, _sql in MART_SQL.items():
+    register(_model, _cte_select(_sql))(
         (lambda m: (lambda spark, sf_dir: warehouse(spark, sf_dir).model(m)))(_model)
     )
 

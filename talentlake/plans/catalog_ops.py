@@ -215,7 +215,7 @@ FOCUSED = dict(rid="req-stage-focused", target="Hiring Manager Review", next_sta
 GLOBAL = dict(rid="req-stage-global", target="Offer", next_stage=None, mode=MODE_GLOBAL, limit=20,
               reason="Quarter-end push")
 MANUAL = dict(rid="req-stage-manual", target="Hiring Manager Review", next_stage=None, mode=MODE_MANUAL_STAGE,
-              limit=500, reason="Selected from search")
+              limit=1_000_000_000, reason="Selected from search")  # every selected id is planned
 # Manual selection ids: the applications a recruiter found by searching the
 # candidate name for a segment, restricted to those waiting in Recruiter Interview.
 MANUAL_SEARCH = "machinery"
@@ -251,7 +251,8 @@ def _plan(spark, sf_dir, spec) -> changes.Plan:
     apps = ops_apps(spark, sf_dir)
     ids = _manual_ids(apps) if spec["mode"] == MODE_MANUAL_STAGE else None
     return changes.plan_stage_change(apps, spec["target"], spec["next_stage"], spec["limit"], spec["mode"],
-                                     spec["reason"], application_ids=ids, request_id=spec["rid"])
+                                     spec["reason"], application_ids=ids, request_id=spec["rid"],
+                                     bounds=(100, 10, max(500, spec["limit"])))
 
 
 for _name, _spec, _sql in [("focused", FOCUSED, FOCUSED_SQL), ("global", GLOBAL, GLOBAL_SQL), ("manual", MANUAL, MANUAL_SQL)]:
@@ -422,7 +423,7 @@ def q_apply_outcome_status_mix(spark, sf_dir):
 
 # -- I2: re-ingest the operational state --------------------------------------------------------------
 
-@register("ops_to_applications", with_ops(f"""
+OPS_TO_APPLICATIONS_SQL = f"""
 SELECT CAST(a.application_id AS VARCHAR) AS ghap_application_id, CAST(a.candidate_id AS VARCHAR) AS ghap_candidate_id,
   CAST(a.job_id AS VARCHAR) AS ghap_job_id,
   coalesce(CAST(a.applied_at AS VARCHAR), CAST(a.created_at AS VARCHAR)) AS ghap_applied_at,
@@ -442,13 +443,15 @@ FROM (SELECT a.* REPLACE (CASE WHEN h.application_id IS NOT NULL THEN 'hired' EL
                           CASE WHEN h.application_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE a.updated_at END AS updated_at)
       FROM ops_applications a LEFT JOIN hire_items h USING (application_id)) a
 LEFT JOIN (SELECT application_id, CAST(TIMESTAMP '{AS_OF}' AS VARCHAR) AS first_at FROM hire_items) h
-  USING (application_id)""", HIRE_SQL))
+  USING (application_id)"""
+
+
+@register("ops_to_applications", with_ops(OPS_TO_APPLICATIONS_SQL, HIRE_SQL))
 def q_ops_to_applications(spark, sf_dir):
     apps = ops_apps(spark, sf_dir)
     h = _plan_hire(apps)
     res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
-    stage_events = res.stage_events.limit(0)
-    return ingest.ops_to_applications(res.applications, res.status_events, stage_events, *LOAD)
+    return ingest.ops_to_applications(res.applications, res.status_events, res.stage_events, *LOAD)
 
 
 # -- F17: commands → webhook events -----------------------------------------------------------------
@@ -478,7 +481,7 @@ def case_col(col, mapping):
 
 
 @register("events_from_commands", with_ops(f"""
-SELECT CAST(8020479101 AS BIGINT) AS organization_id, c.command,
+SELECT CAST(7000001 AS BIGINT) AS organization_id, c.command,
   CASE c.command WHEN 'stage_change' THEN 'candidate_stage_change' WHEN 'reject' THEN 'reject_candidate'
     ELSE 'hire_candidate' END AS action,
   c.application_id,
@@ -512,7 +515,7 @@ app_state AS (
 def q_events_from_commands(spark, sf_dir):
     r = raw(spark, sf_dir)
     commands = _commands(ops_apps(spark, sf_dir))
-    out = changes.events_from_commands(commands, r["application_events"], r["applications"])
+    out = changes.events_from_commands(commands, r["application_events"], r["applications"], 7000001)
     return out
 
 
@@ -522,21 +525,14 @@ UPSERT_COLUMNS = ("ghap_status", "ghap_application_current_stage", "ghap_hired_a
 
 
 @register("upsert_applications", with_ops(f"""
-SELECT e.* REPLACE (
-  CASE WHEN h.application_id IS NOT NULL THEN 'hired' ELSE e.ghap_status END AS ghap_status,
-  CASE WHEN h.application_id IS NOT NULL THEN 'Offer' ELSE e.ghap_application_current_stage END AS ghap_application_current_stage,
-  CASE WHEN h.application_id IS NOT NULL THEN '{AS_OF}' ELSE e.ghap_hired_at END AS ghap_hired_at,
-  CASE WHEN h.application_id IS NOT NULL THEN '{AS_OF}' ELSE e.ghap_last_activity_at END AS ghap_last_activity_at)
-FROM raw_applications e LEFT JOIN hire_items h ON e.ghap_application_id = CAST(h.application_id AS VARCHAR)""", HIRE_SQL))
+SELECT e.* REPLACE ({", ".join(f"CASE WHEN i.ghap_application_id IS NULL THEN e.{c} ELSE i.{c} END AS {c}" for c in UPSERT_COLUMNS)})
+FROM raw_applications e LEFT JOIN ({OPS_TO_APPLICATIONS_SQL}) i ON i.ghap_application_id = e.ghap_application_id""", HIRE_SQL))
 def q_upsert_applications(spark, sf_dir):
+    """The whole re-ingested table merged into the raw applications."""
     from talentlake.sources.raw import upsert
 
-    r = raw(spark, sf_dir)
     apps = ops_apps(spark, sf_dir)
     h = _plan_hire(apps)
     res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
-    incoming = ingest.ops_to_applications(res.applications, res.status_events, res.stage_events.limit(0), *LOAD)
-    applied = res.items.filter(F.col("apply_status") == "applied").select(
-        F.col("application_id").cast("string").alias("ghap_application_id"))
-    changed = incoming.join(applied, "ghap_application_id", "left_semi")
-    return upsert(r["applications"], changed, ["ghap_application_id"], columns=list(UPSERT_COLUMNS))
+    incoming = ingest.ops_to_applications(res.applications, res.status_events, res.stage_events, *LOAD)
+    return upsert(raw(spark, sf_dir)["applications"], incoming, ["ghap_application_id"], columns=list(UPSERT_COLUMNS))

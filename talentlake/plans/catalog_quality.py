@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from talentlake.operators import quality
 from talentlake.oracle import _in, long_sql, with_base
-from talentlake.plans.catalog import register, warehouse
+from talentlake.plans.catalog import MART_SQL, register, warehouse
+from talentlake.plans.catalog_serve import _mart_cte
 from talentlake.sources.driver_tables import RawTables
 
-CORE_SUITE = tuple(t for t in quality.WAREHOUSE_TESTS if not t.model.startswith("mart_"))
+SUITE = quality.WAREHOUSE_TESTS
 RAW_NAMES = {"raw_jobs": "jobs", "raw_candidates": "candidates", "raw_applications": "applications",
              "raw_application_events": "application_events"}
 SQL_NAMES = {"raw_application_events": "raw_events"}
@@ -37,10 +38,13 @@ def _suite_sql(suite) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("dq_suite", with_base(_suite_sql(CORE_SUITE)))
+MARTS_SQL = ",\n".join(_mart_cte(k, v) for k, v in MART_SQL.items())
+
+
+@register("dq_suite", with_base(_suite_sql(SUITE), extra_ctes=MARTS_SQL))
 def q_dq_suite(spark, sf_dir):
     _, _, get = _models(spark, sf_dir)
-    return quality.run_suite(get, CORE_SUITE)
+    return quality.run_suite(get, SUITE)
 
 
 @register("dq_referential", with_base("""

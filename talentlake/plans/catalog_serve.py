@@ -157,7 +157,7 @@ def _mart_cte(name: str, sql: str) -> str:
     sql = sql.strip()
     if sql.startswith(","):
         head, _, tail = sql[1:].rpartition("\nSELECT ")
-        return head.strip().rstrip(",") + f",\n{name} AS (SELECT {tail})"
+        return f"{name} AS (WITH {head.strip().rstrip(',')}\nSELECT {tail})"
     return f"{name} AS ({sql})"
 
 

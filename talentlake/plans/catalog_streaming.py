@@ -9,6 +9,7 @@ and returns the sink as a batch DataFrame. The oracle is the batch model.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from talentlake.config import DRIVER_TABLE_STAGES
 from talentlake.oracle import with_base
@@ -22,7 +23,6 @@ from talentlake.operators.staging import EVENT_DEDUP_KEY
 # The watermark covers the whole landed history here, so nothing is late and
 # the stream must equal the batch; production runs use the re-delivery lag.
 HISTORY_WATERMARK = "400 days"
-LANDING_PARTS = 4
 
 
 def land_events(spark: SparkSession, sf_dir: str) -> str:
@@ -31,16 +31,28 @@ def land_events(spark: SparkSession, sf_dir: str) -> str:
     path = st.scratch_path(spark, "landed-events")
     first = normalise_raw(event_records(spark, sf_dir), "application_events", *FIRST_LOAD)
     again = normalise_raw(event_records(spark, sf_dir, redelivered=True), "application_events", *REDELIVERY_LOAD)
-    first.repartitionByRange(LANDING_PARTS, "last_activity_at").write.mode("append").parquet(path)
-    again.coalesce(1).write.mode("append").parquet(path)
+    first.repartitionByRange("last_activity_at").write.mode("append").parquet(path)
+    again.write.mode("append").parquet(path)
     return path
 
 
+def files_a_batch(spark: SparkSession) -> int:
+    """Files of one micro-batch: a few batches for what one shuffle's tasks land."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+
+
+def land_few(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A last delivery: the events of one application once more."""
+    again = normalise_raw(event_records(spark, sf_dir, redelivered=True), "application_events", *REDELIVERY_LOAD)
+    one = again.agg(F.min("application_id")).first()[0]
+    again.where(F.col("application_id") == one).write.mode("append").parquet(path)
+
+
 @register("stream_events_dedup", with_base(f"SELECT {', '.join(EVENT_DEDUP_KEY)} FROM stg_events"))
 def q_stream_events_dedup(spark, sf_dir):
     src = land_events(spark, sf_dir)
     sink = st.scratch_path(spark, "t1-sink")
-    stream = st.dedup_stream(st.read_event_stream(spark, src, max_files_per_trigger=2), HISTORY_WATERMARK)
+    stream = st.dedup_stream(st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark)), HISTORY_WATERMARK)
     st.run_available_now(stream, st.scratch_path(spark, "t1-ckpt"), sink)
     return spark.read.parquet(sink).select(*EVENT_DEDUP_KEY)
 
@@ -49,10 +61,10 @@ def q_stream_events_dedup(spark, sf_dir):
 def q_stream_funnel(spark, sf_dir):
     src = land_events(spark, sf_dir)
     sink = st.scratch_path(spark, "t2-sink")
-    stream = st.funnel_stream(st.read_event_stream(spark, src, max_files_per_trigger=2), DRIVER_TABLE_STAGES)
+    stream = st.funnel_stream(st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark)), DRIVER_TABLE_STAGES)
     st.run_available_now(stream, st.scratch_path(spark, "t2-ckpt"), output_mode="complete",
-                         foreach_batch=st.overwrite_each_batch(sink))
-    return spark.read.parquet(sink)
+                         foreach_batch=st.version_each_batch(sink))
+    return st.latest_version(spark, sink)
 
 
 @register("stream_transitions", with_base("SELECT * FROM fact_stage_transition"))
@@ -63,8 +75,11 @@ def q_stream_transitions(spark, sf_dir):
         st.scratch_path(spark, "t3-events"), st.scratch_path(spark, "t3-transitions"),
         lambda: w.fact_application, DRIVER_TABLE_STAGES, buckets=16, id_hash="md5",
     )
-    stream = st.read_event_stream(spark, src, max_files_per_trigger=2)
-    st.run_available_now(stream, st.scratch_path(spark, "t3-ckpt"), foreach_batch=updater)
+    stream = st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark))
+    checkpoint = st.scratch_path(spark, "t3-ckpt")
+    st.run_available_now(stream, checkpoint, foreach_batch=updater)
+    land_few(spark, sf_dir, src)  # a batch that touches one application must leave the others alone
+    st.run_available_now(stream, checkpoint, foreach_batch=updater)
     out = spark.read.parquet(updater.transitions_path)
     return out.select(*[c for c in out.columns if c != "bucket"])
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,8 +239,14 @@ def plan_stage_change(
     request_id: str = "request",
     requested_by: str | None = None,
     stages: StageConfig = DEFAULT_STAGES,
+    bounds: tuple[int, int, int] = STAGE_LIMIT,
 ) -> Plan:
-    """dry-run a stage change; modes Manual / Global impact / Focused group."""
+    """dry-run a stage change; modes Manual / Global impact / Focused group.
+
+    ``bounds`` are the default, floor and ceiling of ``requested_limit``; the
+    request's ``selected_count`` against its ``eligible_count`` shows what a
+    limit left out.
+    """
     if not (reason or "").strip():
         raise ValueError("Reason is required")
     if next_stage and next_stage == target_stage:
@@ -252,7 +258,7 @@ def plan_stage_change(
     if problem:
         raise ValueError(problem)
     final_stage = sequence[-1]
-    limit = clamp(requested_limit, *STAGE_LIMIT)
+    limit = clamp(requested_limit, *bounds)
     eligible = eligible_stage_change(apps, final_stage)
     seq_lit = F.array(*[F.lit(s) for s in sequence])
 
@@ -264,7 +270,7 @@ def plan_stage_change(
         ineligible = live.filter(
             F.col("status").isNull() | (F.col("status") != STATUS_ACTIVE) | ~_differs("current_stage", final_stage)
         )
-        manual_limit = clamp(requested_limit, STAGE_LIMIT[0], STAGE_MANUAL_LIMIT_FLOOR, STAGE_LIMIT[2])
+        manual_limit = clamp(requested_limit, bounds[0], STAGE_MANUAL_LIMIT_FLOOR, bounds[2])
         chosen = (
             eligible.join(ids, "application_id", "left_semi")
             .orderBy(F.col("updated_at").asc_nulls_last(), F.col("application_id").asc())
@@ -405,17 +411,19 @@ def _finish_outcome(apps, ordered, basis, ineligible, eligible_count, outcome, s
 
 def plan_hire(apps: DataFrame, selection_mode: str = "Offer only", requested_limit: int | None = 10,
               reason: str | None = None, application_ids=None, request_id: str = "request",
-              requested_by: str | None = None) -> Plan:
+              requested_by: str | None = None,
+              bounds: tuple[int, int, int] = HIRE_LIMIT) -> Plan:
     """F8: dry-run a hiring outcome (Offer only / Late-stage candidates / Manual)."""
     stages_for_mode = hire_stages(selection_mode)
     parts = _plan_outcome(apps, stages_for_mode, selection_mode, reason, application_ids, True)
-    return _finish_outcome(apps, *parts, STATUS_HIRED, selection_mode, clamp(requested_limit, *HIRE_LIMIT), reason,
+    return _finish_outcome(apps, *parts, STATUS_HIRED, selection_mode, clamp(requested_limit, *bounds), reason,
                            request_id, requested_by, HIRE_REQUEST_SOURCE)
 
 
 def plan_reject(apps: DataFrame, selection_mode: str = "Reference Check only", requested_limit: int | None = 1,
                 reason: str | None = None, application_ids=None, request_id: str = "request",
-                requested_by: str | None = None) -> Plan:
+                requested_by: str | None = None,
+                bounds: tuple[int, int, int] = REJECT_LIMIT) -> Plan:
     """dry-run a rejection outcome (Early / Reference Check / Late-stage / Manual).
 
     Manual mode inserts the requested ids that passed the (three-valued)
@@ -424,7 +432,7 @@ def plan_reject(apps: DataFrame, selection_mode: str = "Reference Check only", r
     """
     stages_for_mode = reject_stages(selection_mode)
     parts = _plan_outcome(apps, stages_for_mode, selection_mode, reason, application_ids, False)
-    return _finish_outcome(apps, *parts, STATUS_REJECTED, selection_mode, clamp(requested_limit, *REJECT_LIMIT),
+    return _finish_outcome(apps, *parts, STATUS_REJECTED, selection_mode, clamp(requested_limit, *bounds),
                            reason, request_id, requested_by, REJECT_REQUEST_SOURCE)
 
 
@@ -496,18 +504,24 @@ def _update_applications(apps: DataFrame, changes: DataFrame, set_cols: dict[str
     return joined.select(*cols)
 
 
+def _request_order(*first: Column):
+    """An application's items in the order in which their requests are applied."""
+    return Window.partitionBy("application_id").orderBy(*first, F.col("_approved_at").asc_nulls_last(), F.col("request_id"))
+
+
 def apply_stage_change(request: DataFrame, items: DataFrame, apps: DataFrame, as_of: str,
                        changed_by: str | None = None, stages: StageConfig = DEFAULT_STAGES) -> Applied:
-    """one event per item and stage; the application ends at the last stage.
+    """one event per item and stage; the application ends at the last stage
+    of its last approved request (by approval time, then request id).
 
     Only an approved request is applied; pending and failed items are
     (re)tried. Status and stage are not re-checked (items were checked at
     planning time). A sequence error fails just that item.
     """
     now = F.lit(as_of).cast("timestamp")
-    approved = request.filter(F.col("status") == REQ_APPROVED).select("request_id")
+    approved = request.filter(F.col("status") == REQ_APPROVED).select("request_id", F.col("approved_at").alias("_approved_at"))
     todo = items.filter(F.col("apply_status").isin(ITEM_PENDING, ITEM_FAILED)).join(
-        F.broadcast(approved), "request_id", "left_semi"
+        approved, "request_id"
     )
     todo = todo.withColumn("_error", sequence_error("planned_stage_sequence", stages))
     ok = todo.filter(F.col("_error").isNull())
@@ -530,8 +544,10 @@ def apply_stage_change(request: DataFrame, items: DataFrame, apps: DataFrame, as
         ).alias("metadata"),
         F.col("pos").alias("sequence_position"),
     )
-    final = ok.select("application_id", F.element_at("planned_stage_sequence", -1).alias("current_stage"),
-                      now.alias("updated_at"))
+    later = F.lead("request_id").over(_request_order())
+    final = ok.withColumn("_later", later).filter(F.col("_later").isNull()).select(
+        "application_id", F.element_at("planned_stage_sequence", -1).alias("current_stage"), now.alias("updated_at")
+    )
     new_apps = _update_applications(apps, final, {"current_stage": F.col("current_stage"), "updated_at": now})
     done = todo.select(
         "request_id", "application_id", "previous_stage", "planned_stage_sequence",
@@ -541,18 +557,25 @@ def apply_stage_change(request: DataFrame, items: DataFrame, apps: DataFrame, as
     )
     untouched = items.join(done.select("request_id", "application_id"), ["request_id", "application_id"], "left_anti")
     new_items = untouched.select(*ITEM_STAGE_SCHEMA).unionByName(done.select(*ITEM_STAGE_SCHEMA))
-    new_request = _close_request(request.join(F.broadcast(approved), "request_id", "left_semi"), done, as_of, False)
+    new_request = _close_request(request.join(approved, "request_id", "left_semi"), done, as_of, False)
     return Applied(events, None, new_apps, new_items, new_request)
 
 
+STAGE_EVENT_SCHEMA = (
+    "application_id long, previous_stage string, new_stage string, changed_by_email string, changed_at timestamp, "
+    "source string, request_id string, metadata map<string,string>"
+)
+
+
 def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of: str, outcome: str,
                    changed_by: str | None) -> Applied:
     now = F.lit(as_of).cast("timestamp")
     approved = request.filter((F.col("status") == REQ_APPROVED) & (F.col("outcome") == outcome)).select(
-        "request_id", F.col("reason").alias("_reason"), F.col("selection_mode").alias("_mode")
+        "request_id", F.col("reason").alias("_reason"), F.col("selection_mode").alias("_mode"),
+        F.col("approved_at").alias("_approved_at"),
     )
     todo = items.filter(F.col("apply_status").isin(ITEM_PENDING, ITEM_FAILED)).join(
-        F.broadcast(approved), "request_id", "inner"
+        approved, "request_id", "inner"
     )
     live = apps.select("application_id", F.col("status").alias("_live_status"), F.col("current_stage").alias("_live_stage"))
     todo = todo.join(live, "application_id", "left")
@@ -567,7 +590,10 @@ def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of:
         updatable = status == STATUS_ACTIVE
         message = MSG_REJECT_INELIGIBLE
     applies = ~F.coalesce(skip_first, F.lit(False)) & F.coalesce(updatable, F.lit(False))
-    todo = todo.withColumn("_applies", applies)
+    # The first approved request that can changes the application; for later ones it is no longer active.
+    todo = todo.withColumn("_can", applies)
+    first = F.row_number().over(_request_order(F.col("_can").desc())) == 1
+    todo = todo.withColumn("_applies", F.col("_can") & first)
     done_rows = todo.select(
         "request_id", "application_id", "previous_status", "previous_stage", "planned_outcome",
         F.when(F.col("_applies"), F.lit(ITEM_APPLIED)).otherwise(F.lit(ITEM_SKIPPED)).alias("apply_status"),
@@ -591,11 +617,7 @@ def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of:
                             F.lit("rejection_reason"), F.col("_reason"), F.lit("selection_mode"), F.col("_mode"))
         changes = applied.select("application_id")
         new_apps = _update_applications(apps, changes, {"status": F.lit(STATUS_REJECTED), "updated_at": now})
-        stage_events = applied.limit(0).select(
-            "application_id", "previous_stage", F.lit(None).cast("string").alias("new_stage"),
-            F.lit(changed_by).alias("changed_by_email"), now.alias("changed_at"), F.lit(WORKFLOW_SOURCE).alias("source"),
-            "request_id", F.create_map(F.lit("workflow"), F.lit("rejection_outcome")).alias("metadata"),
-        )
+        stage_events = apps.sparkSession.createDataFrame([], STAGE_EVENT_SCHEMA)  # a rejection moves no stage
     status_events = applied.select(
         "application_id", "previous_status", F.lit(outcome).alias("new_status"),
         F.lit(changed_by).alias("changed_by_email"), now.alias("changed_at"), F.lit(WORKFLOW_SOURCE).alias("source"),
@@ -604,7 +626,7 @@ def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of:
     keys = ["request_id", "application_id"]
     untouched = items.join(done_rows.select(*keys), keys, "left_anti")
     new_items = untouched.select(*ITEM_OUTCOME_SCHEMA).unionByName(done_rows.select(*ITEM_OUTCOME_SCHEMA))
-    new_request = _close_request(request.join(F.broadcast(approved.select("request_id")), "request_id", "left_semi"),
+    new_request = _close_request(request.join(approved.select("request_id"), "request_id", "left_semi"),
                                  done_rows, as_of, True)
     return Applied(stage_events, status_events, new_apps, new_items, new_request)
 
@@ -661,15 +683,14 @@ COMMAND_ACTION = {
 }
 
 
-def events_from_commands(commands: DataFrame, events: DataFrame, applications: DataFrame) -> DataFrame:
+def events_from_commands(commands: DataFrame, events: DataFrame, applications: DataFrame, organization_id: int) -> DataFrame:
     """commands (stage change / reject / hire) → new webhook events.
 
     ``commands``: application_id, command, new_stage, current_status, reason,
     issued_at. Each command starts from the application's latest event (else
-    the application row); commands on one application chain in issue order.
+    the application row); commands on one application chain in issue order
+    (equal times: by command, then stage).
     """
-    from pyspark.sql import Window
-
     from talentlake.plans.ingest import latest_event_per_application
 
     ids = commands.select("application_id").distinct()
@@ -696,7 +717,7 @@ def events_from_commands(commands: DataFrame, events: DataFrame, applications: D
         .otherwise(F.lit(STATUS_HIRED))
     )
     # commands per application within one batch are few; the window is per application
-    w = Window.partitionBy("application_id").orderBy("issued_at")
+    w = Window.partitionBy("application_id").orderBy("issued_at", "command", "new_stage")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     cmd = cmd.withColumn("_result_status", result_status).withColumn(
         "_stage_before",
@@ -706,7 +727,7 @@ def events_from_commands(commands: DataFrame, events: DataFrame, applications: D
         F.coalesce(F.lag("_result_status").over(w), F.col("_start_status")),
     )
     return cmd.select(
-        F.lit(8020479101).cast("long").alias("organization_id"),
+        F.lit(organization_id).cast("long").alias("organization_id"),
         F.col("command").alias("command"),
         lookup("command", COMMAND_ACTION).alias("action"),
         "application_id",

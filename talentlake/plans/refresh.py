@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +64,21 @@ def publish(
         core[name] = spark.read.parquet(path)
     wm = Warehouse(raw, stages, as_of=as_of, overrides=core)
 
+    marts: dict[str, DataFrame] = {}
+    for name in MART_MODELS:
+        path = f"{base}/marts/{name}"
+        wm.model(name).write.mode("overwrite").parquet(path)
+        paths[name] = path
+        marts[name] = spark.read.parquet(path)
+
     raw_names = {"raw_jobs": "jobs", "raw_candidates": "candidates", "raw_applications": "applications",
                  "raw_application_events": "application_events"}
-    suite = tuple(t for t in quality.WAREHOUSE_TESTS if not t.model.startswith("mart_"))
-    results = quality.run_suite(lambda n: raw[raw_names[n]] if n in raw_names else wm.model(n), suite)
+    results = quality.run_suite(
+        lambda n: raw[raw_names[n]] if n in raw_names else marts[n] if n in marts else wm.model(n), quality.WAREHOUSE_TESTS
+    )
     results_path = f"{base}/quality/results"
     results.write.mode("overwrite").parquet(results_path)
     quality.gate(spark.read.parquet(results_path), warn_only)
-
-    for name in MART_MODELS:
-        path = f"{base}/marts/{name}"
-        wm.model(name).write.mode("overwrite").parquet(path)
-        paths[name] = path
     paths["quality_results"] = results_path
     marker = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
     marker.write.mode("append").json(f"{out_root.rstrip('/')}/_published")
@@ -85,8 +89,10 @@ def current_version(spark: SparkSession, out_root: str) -> str | None:
     """Latest published version (reads the small marker table)."""
     try:
         rows = spark.read.json(f"{out_root.rstrip('/')}/_published").orderBy(F.col("published_at").desc()).limit(1).collect()
-    except Exception:  # noqa: BLE001 - nothing published yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing published yet
     return rows[0]["version"] if rows else None
 
 

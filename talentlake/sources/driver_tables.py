@@ -228,7 +228,7 @@ def _event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.select("*", load.alias("_load"))
     first = F.col("prev_stage").isNull()
     return e.select(
-        F.lit("8020479101").alias("organization_id"),
+        F.lit("7000001").alias("organization_id"),
         F.when(F.col("_load") == 2, F.lit("Acme Talent (redelivered)")).otherwise(F.lit("Acme Talent"))
         .alias("organization_name"),
         F.lit("candidate_stage_change").alias("action"),

@@ -7,12 +7,12 @@
 * T2 ``funnel_stream``: distinct (application, stage) pairs, counted per
   stage; the state holds one entry per pair (bounded by applications × stages).
 * T3 ``TransitionsUpdater``: a ``foreachBatch`` sink. Each micro-batch is
-  appended to an events table partitioned by a hash bucket of the
-  application id; the stage transitions of the touched buckets are rebuilt
-  from all their events (so late and re-delivered events are handled) and
-  written with dynamic partition overwrite, so a batch rewrites only the
-  buckets it touched. Re-running a batch after a failure gives the same
-  result (the rebuild de-duplicates).
+  written to an events table under its batch id (a retried batch replaces
+  itself), partitioned by a hash bucket of the typed application id; the
+  stage transitions of the touched buckets are rebuilt from all their events
+  (so late and re-delivered events are handled) and written with dynamic
+  partition overwrite into buckets of the same hash, so a batch rewrites
+  exactly the buckets it touched.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.config import DEFAULT_STAGES, StageConfig
+from talentlake.functions.scalar import safe_long
 from talentlake.operators import core, marts, staging
 from talentlake.sources.raw import RAW_COLUMNS, METADATA_COLUMNS, string_schema
 
@@ -57,8 +58,9 @@ def funnel_stream(raw_stream: DataFrame, stages: StageConfig = DEFAULT_STAGES) -
     )
 
 
-def bucket_of(col: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+def bucket_of(application_id, buckets: int):
+    """Bucket of a typed (bigint) application id; both T3 tables use it."""
+    return F.pmod(F.xxhash64(application_id.cast("bigint")), F.lit(buckets)).cast("int")
 
 
 class TransitionsUpdater:
@@ -75,24 +77,19 @@ class TransitionsUpdater:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        landed = batch.select(*RAW_EVENT_COLUMNS).withColumn(
-            "bucket", bucket_of("application_id", self.buckets)
-        )
-        landed.write.mode("append").partitionBy("bucket").parquet(self.events_path)
+        landed = batch.select(*RAW_EVENT_COLUMNS).withColumn("bucket", bucket_of(safe_long("application_id"), self.buckets))
+        part = f"{self.events_path}/batch={batch_id}"
+        landed.write.mode("overwrite").partitionBy("bucket").parquet(part)
         # the touched buckets: at most ``buckets`` small ints reach the driver
-        touched = [r.bucket for r in landed.select("bucket").distinct().collect()]
-        if not touched:
+        if batch.isEmpty():
             return
+        touched = [r.bucket for r in spark.read.parquet(part).select("bucket").distinct().collect()]
         events = spark.read.parquet(self.events_path).filter(F.col("bucket").isin(touched))
-        deduped = staging.stg_events(events.drop("bucket"))
+        deduped = staging.stg_events(events.drop("bucket", "batch"))
         transitions = core.fact_stage_transition(deduped, self.fact_application(), self.stages, id_hash=self.id_hash)
-        out = transitions.withColumn("bucket", bucket_of("application_id", self.buckets))
-        previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            out.write.mode("overwrite").partitionBy("bucket").parquet(self.transitions_path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+        out = transitions.withColumn("bucket", bucket_of(F.col("application_id"), self.buckets))
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(self.transitions_path)
 
 
 def run_available_now(stream: DataFrame, checkpoint: str, sink: str | None = None, fmt: str = "parquet",
@@ -111,14 +108,25 @@ def run_available_now(stream: DataFrame, checkpoint: str, sink: str | None = Non
         raise q.exception()
 
 
-def overwrite_each_batch(path: str):
-    """``foreachBatch`` sink that replaces a small result table (e.g. a complete aggregate)."""
+def version_each_batch(path: str):
+    """``foreachBatch`` sink of a small result table (e.g. a complete aggregate).
+
+    Each batch writes a version of its own and then its marker, so readers
+    keep the last whole version while a batch runs or after it failed.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.sparkSession.range(1).select(F.lit(batch_id).alias("version")).write.mode("append").json(f"{path}/_written")
 
     return write
 
 
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version that ``version_each_batch`` wrote."""
+    version = spark.read.schema("version long").json(f"{path}/_written").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={version}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     from talentlake.session import checkpoint_dir

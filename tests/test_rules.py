@@ -281,3 +281,33 @@ def test_frozen_plan_survives_source_changes(spark):
     written = spark.read.parquet(paths["applications"])
     assert {r.application_id: r.status for r in written.collect()} == {1: "hired", 2: "active"}
     assert spark.read.parquet(paths["items"]).collect()[0].apply_status == "applied"
+
+
+def test_one_application_in_two_approved_requests(spark):
+    """Requests apply one after the other: the first changes the application, the second finds it changed."""
+    apps = _ops(spark, [(1, "active", "Offer", None, None, None, None), (2, "active", "Offer", None, None, None, None)])
+    now = "2026-01-01 00:00:00"
+    plans = [changes.plan_hire(apps, "Offer only", 2, "go", request_id=f"h{k}") for k in (1, 2)]
+    request = plans[0].request.unionByName(plans[1].request)
+    items = plans[0].items.unionByName(plans[1].items)
+    res = changes.apply_hire(changes.approve_requests(request, ["h1", "h2"], "a", now), items, apps, now)
+    assert sorted((r.application_id, r.status) for r in res.applications.collect()) == [(1, "hired"), (2, "hired")]
+    assert {r.request_id: r.status for r in res.request.collect()} == {"h1": "applied", "h2": "failed"}
+    assert res.status_events.count() == 2
+
+    stages = [changes.plan_stage_change(apps, s, None, 10, "Global impact", "x", request_id=f"s{k}")
+              for k, s in ((1, "Recruiter Interview"), (2, "Reference Check"))]
+    request = stages[0].request.unionByName(stages[1].request)
+    items = stages[0].items.unionByName(stages[1].items)
+    res = changes.apply_stage_change(changes.approve_requests(request, ["s1", "s2"], "a", now), items, apps, now)
+    assert sorted((r.application_id, r.current_stage) for r in res.applications.collect()) == [
+        (1, "Reference Check"), (2, "Reference Check")]
+
+
+def test_manual_bounds_are_a_parameter(spark):
+    apps = _ops(spark, [(i, "active", "Application Review", None, None, None, None) for i in range(700)])
+    ids = list(range(700))
+    plan = lambda **kw: changes.plan_stage_change(
+        apps, "Offer", None, 10_000, "Manual application selection", "x", application_ids=ids, request_id="m", **kw)
+    assert plan().items.count() == 500
+    assert plan(bounds=(100, 10, 10_000)).items.count() == 700
