@@ -140,7 +140,6 @@ def near_duplicates(
     known = signed.where("doc_id is not null and n_shingles > 0")
     # Written, so that the joins below are plain ones, whose hot keys Spark can split.
     classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    marks = signed.drop("bands").join(classes, ["s1", "s2"], "left").where("n_shingles > 0 and doc_id is not null")
     heads = known.join(classes, ["s1", "s2"]).where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "bands")
     keys = tensored_keys(heads, halves)
     # Buckets of two classes or more; the smallest node is the first centre.
@@ -161,7 +160,7 @@ def near_duplicates(
     linked = written(
         classes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "linked"
     )
-    own = marks.select("doc_id", "n_shingles", "s1", "s2").join(linked, ["s1", "s2"])
+    own = known.select("doc_id", "n_shingles", "s1", "s2").join(linked, ["s1", "s2"])
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = own.select("doc_id", "n_shingles", "component_id").unionByName(rest)
     return out.withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
