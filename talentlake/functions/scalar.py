@@ -167,6 +167,61 @@ def surrogate_key(*parts: ColumnOrName) -> Column:
     return F.xxhash64(text)
 
 
+def event_id(application_id: ColumnOrName, action: ColumnOrName, last_activity_at: ColumnOrName) -> Column:
+    """``application_action_time``; a missing part reads ``None``."""
+    return F.concat_ws("_", *[F.coalesce(_c(p).cast("string"), F.lit("None"))
+                              for p in (application_id, action, last_activity_at)])
+
+
+# -- display texts (X20) ------------------------------------------------------------
+
+def format_count(value: ColumnOrName) -> Column:
+    """Whole number with blanks between thousands; NULL reads ``0``."""
+    return F.coalesce(F.replace(F.format_number(_c(value).cast("bigint"), 0), F.lit(","), F.lit(" ")), F.lit("0"))
+
+
+def format_decimal(value: ColumnOrName, digits: int = 1) -> Column:
+    """Fixed number of decimals, half-even; NULL reads ``0``."""
+    c = _c(value).cast("double")
+    return F.when(c.isNull(), F.lit("0")).otherwise(F.format_string(f"%.{digits}f", F.bround(c, digits)))
+
+
+def format_days(value: ColumnOrName) -> Column:
+    """``3.5 days``; NULL reads ``N/A``."""
+    c = _c(value)
+    return F.when(c.isNull(), F.lit("N/A")).otherwise(F.concat(format_decimal(c), F.lit(" days")))
+
+
+def format_percentage(value: ColumnOrName) -> Column:
+    """A share as ``12.5%``; NULL reads ``N/A``."""
+    c = _c(value)
+    return F.when(c.isNull(), F.lit("N/A")).otherwise(F.concat(format_decimal(c * F.lit(100.0)), F.lit("%")))
+
+
+# -- JSON objects (X19) ---------------------------------------------------------------
+
+def merge_json(base: ColumnOrName, added: ColumnOrName) -> Column:
+    """Shallow merge of two JSON objects held as text: the keys of ``added`` win, values keep their types.
+
+    NULL counts as the empty object, as does text that is no object. Keys come out sorted.
+    """
+    def members(col: ColumnOrName) -> Column:
+        value = F.try_parse_json(F.coalesce(_c(col), F.lit("{}")))
+        return F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"),
+                          F.variant_get(F.parse_json(F.lit("{}")), "$", "map<string,variant>"))
+
+    old, new = members(base), members(added)
+    keys = F.array_sort(F.array_distinct(F.concat(F.map_keys(old), F.map_keys(new))))
+    merged = F.map_from_arrays(keys, F.transform(
+        keys, lambda k: F.when(F.map_contains_key(new, k), F.element_at(new, k)).otherwise(F.element_at(old, k))))
+    return F.to_json(merged)
+
+
+def json_field(col: ColumnOrName, name: str) -> Column:
+    """Text of a top-level member; NULL where it is missing or the text is no object."""
+    return F.get_json_object(_c(col), f"$.{name}")
+
+
 def clamp(value: int | None, default: int, low: int, high: int) -> int:
     """``least(greatest(coalesce(value, default), low), high)`` on the driver."""
     return min(max(default if value is None else int(value), low), high)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.config import (
@@ -23,7 +23,7 @@ from talentlake.config import (
     UNKNOWN_OFFICE,
     UNKNOWN_RECRUITER,
 )
-from talentlake.functions.scalar import display_fallback, safe_divide, search_text
+from talentlake.functions.scalar import format_count, format_days, format_percentage, safe_divide, search_text
 
 
 # -- P6-P8, P11, P12 -------------------------------------------------------------
@@ -61,8 +61,8 @@ def lookup_ids(df: DataFrame, ids: DataFrame, key: str = "application_id") -> Da
 
 
 def options(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-NULL values of a column (sort when serving)."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct()
+    """Distinct non-NULL values of a column, sorted."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
 # -- D1-D6 ------------------------------------------------------------------------
@@ -169,7 +169,8 @@ def display_rows(apps: DataFrame) -> DataFrame:
         return F.when(F.trim(c.cast("string")) == "", F.lit(None)).otherwise(c)
 
     def first_truthy(*cols: Column) -> Column:
-        return F.coalesce(*[blank_to_null(c) for c in cols])
+        # the first value that is not empty; one of blanks only counts as present and is then dropped
+        return blank_to_null(F.coalesce(*[F.nullif(c, F.lit("")) for c in cols]))
 
     cand = first_truthy(F.col("candidate_full_name"), F.col("candidate_name"),
                         F.when(F.col("candidate_id").isNotNull(), F.concat(F.lit("Candidate "), F.col("candidate_id").cast("string"))))
@@ -200,16 +201,15 @@ def _search_blob(display: DataFrame) -> Column:
     return search_text(*parts)
 
 
-def candidate_search(apps: DataFrame, eligible: DataFrame, stages: Sequence[str] | None = None,
+def candidate_search(eligible: DataFrame, stages: Sequence[str] | None = None,
                      text: str = "", job: str | None = None, offices: Sequence[str] | None = None,
                      departments: Sequence[str] | None = None, recruiters: Sequence[str] | None = None,
                      cap: int = 50) -> tuple[DataFrame, DataFrame]:
     """Stage → text → job / office / department / recruiter; counts after each step and a capped list.
 
-    One pass computes all step counts (``count_if`` of the cumulative
+    ``eligible`` are the applications that can be chosen. One pass computes all step counts (``count_if`` of the cumulative
     predicates); the list is a top-``cap`` by (updated_at, application_id).
     """
-    del apps
     d = display_rows(eligible)
     stage_ok = F.lit(True) if not stages else F.col("current_stage").isin(list(stages))
     needle = (text or "").strip().lower()
@@ -290,6 +290,58 @@ def page(df: DataFrame, key: str, limit: int, offset: int) -> tuple[DataFrame, D
     return df.orderBy(F.col(key).asc()).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("count"))
 
 
+def page_after(df: DataFrame, key: str, limit: int, after: object = None) -> DataFrame:
+    """O7 at scale: the next ``limit`` rows past the last seen ``key`` (each task keeps ``limit`` rows)."""
+    rest = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return rest.orderBy(F.col(key).asc()).limit(limit)
+
+
+# -- O1: order of served results ------------------------------------------------------------
+
+# Fixed values: (column, descending) per served result.
+SERVING_ORDER = {
+    "performance": (("sla_compliance_rate", False), ("avg_duration_days", True)),
+    "workload": (("active_applications", True), ("sla_breached_cases", True), ("recruiter_name", False)),
+    "status": (("applications_count", True),),
+    "funnel": (("stage_order", False),),
+    "funnel_by_scope": (("office_name", False), ("department_name", False), ("stage_order", False)),
+    "delayed": (("duration_days", True),),
+    "applications_by": (("applications", True),),
+}
+
+
+def _order_keys(df: DataFrame, name: str) -> list[Column]:
+    """The result's order, then its other columns, so that ties are in a fixed order."""
+    listed = SERVING_ORDER[name]
+    keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in listed]
+    return keys + [F.col(c).asc_nulls_first() for c in df.columns if c not in {c for c, _ in listed}]
+
+
+def ordered(df: DataFrame, name: str) -> DataFrame:
+    """O1: a served result in its order (NULLs first ascending, last descending; ties by the other columns)."""
+    return df.orderBy(*_order_keys(df, name))
+
+
+def positioned(df: DataFrame, name: str, within: Sequence[str]) -> DataFrame:
+    """O1: ``position`` (from 1) of each row in the result's order within its scope."""
+    order = Window.partitionBy(*within).orderBy(*_order_keys(df, name))
+    return df.withColumn("position", F.row_number().over(order))
+
+
+# -- display texts (X20) -------------------------------------------------------------------
+
+def kpi_texts(overview_by_scope: DataFrame) -> DataFrame:
+    """KPI cards of each scope as display texts."""
+    d = overview_by_scope
+    return d.select(
+        "office_name", "department_name",
+        *[format_count(c).alias(c) for c in SUMMED],
+        format_days("avg_time_to_hire_days").alias("avg_time_to_hire"),
+        format_percentage(safe_divide(F.col("recruiter_sla_met_cases"), F.col("recruiter_owned_stage_cases")))
+        .alias("recruiter_sla_compliance"),
+    )
+
+
 # -- W7, D10, A15 ----------------------------------------------------------------------------
 
 def current_role(user_roles: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from talentlake.config import (
 from talentlake.oracle import AS_OF, _in, case_map, long_sql, rank_sql, uuid5_sql, with_base, with_ops
 from talentlake.plans import changes, ingest
 from talentlake.plans.catalog import _cte_select, register
-from talentlake.session import ensure_session_defaults
+from talentlake.session import ensure_session_defaults, freeze
 from talentlake.sources.driver_tables import RawTables
 
 APPROVER = "approver@example.com"
@@ -39,6 +39,11 @@ def ops_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.seed_applications(r["applications"], r["jobs"], r["candidates"], AS_OF)
 
 
+def frozen_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operational table as written once; a plan and its apply both read this state."""
+    return freeze(ops_apps(spark, sf_dir))
+
+
 # -- I1, I3, I4, I5 ------------------------------------------------------------------
 
 @register("derive_hired_at", with_base("""
@@ -334,9 +339,10 @@ FROM plan_items i,
   LATERAL (SELECT unnest(i.planned_stage_sequence) AS new_stage, unnest(generate_series(1, len(i.planned_stage_sequence))) AS pos) u
 """, FOCUSED_SQL))
 def q_apply_stage_change(spark, sf_dir):
-    apps = ops_apps(spark, sf_dir)
-    p = changes.plan_stage_change(apps, FOCUSED["target"], FOCUSED["next_stage"], FOCUSED["limit"], FOCUSED["mode"],
-                                  FOCUSED["reason"], request_id=FOCUSED["rid"])
+    apps = frozen_apps(spark, sf_dir)
+    p = changes.freeze_plan(changes.plan_stage_change(
+        apps, FOCUSED["target"], FOCUSED["next_stage"], FOCUSED["limit"], FOCUSED["mode"], FOCUSED["reason"],
+        request_id=FOCUSED["rid"]))
     approved = changes.approve_requests(p.request, [FOCUSED["rid"]], APPROVER, AS_OF)
     res = changes.apply_stage_change(approved, p.items, apps, AS_OF, changed_by=APPROVER)
     ev = res.stage_events
@@ -348,11 +354,11 @@ def q_apply_stage_change(spark, sf_dir):
 # -- F12 / F13: reject first, then hire against the changed applications ------------------------------------
 
 def _reject_then_hire(spark, sf_dir):
-    apps = ops_apps(spark, sf_dir)
-    rj = _plan_reject(apps)
+    apps = frozen_apps(spark, sf_dir)
+    rj = changes.freeze_plan(_plan_reject(apps))
     rj_res = changes.apply_reject(changes.approve_requests(rj.request, [REJECT["rid"]], APPROVER, AS_OF),
                                   rj.items, apps, AS_OF, changed_by=APPROVER)
-    h = _plan_hire(apps)
+    h = changes.freeze_plan(_plan_hire(apps))
     h_res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF),
                                h.items, rj_res.applications, AS_OF, changed_by=APPROVER)
     return rj_res, h_res
@@ -422,36 +428,64 @@ def q_apply_outcome_status_mix(spark, sf_dir):
 
 
 # -- I2: re-ingest the operational state --------------------------------------------------------------
-
-OPS_TO_APPLICATIONS_SQL = f"""
-SELECT CAST(a.application_id AS VARCHAR) AS ghap_application_id, CAST(a.candidate_id AS VARCHAR) AS ghap_candidate_id,
-  CAST(a.job_id AS VARCHAR) AS ghap_job_id,
-  coalesce(CAST(a.applied_at AS VARCHAR), CAST(a.created_at AS VARCHAR)) AS ghap_applied_at,
+# Rejected applications arrive without their dates, so their first stage event dates them.
+
+REINGEST_CTE = f"""
+{HIRE_SQL},
+{SEED_EVENTS_CTE.strip()},
+hired_now AS (SELECT application_id FROM hire_items),
+live AS (
+  SELECT a.* REPLACE (CASE WHEN a.status = 'rejected' THEN NULL ELSE a.applied_at END AS applied_at,
+                      CASE WHEN a.status = 'rejected' THEN NULL ELSE a.created_at END AS created_at)
+  FROM ops_applications a),
+live_after AS (
+  SELECT a.* REPLACE ('hired' AS status, 'Offer' AS current_stage, TIMESTAMP '{AS_OF}' AS hired_at, TIMESTAMP '{AS_OF}' AS updated_at)
+  FROM live a WHERE application_id IN (SELECT * FROM hired_now)
+  UNION ALL
+  SELECT * FROM live WHERE application_id NOT IN (SELECT * FROM hired_now)),
+staged AS (
+  SELECT application_id, min(CAST(changed_at AS VARCHAR)) AS staged_at FROM (
+    SELECT application_id, changed_at FROM seed_events
+    UNION ALL SELECT application_id, TIMESTAMP '{AS_OF}' FROM hired_now) GROUP BY application_id)"""
+
+
+def _reingest_sql(table: str, batch: tuple[str, str]) -> str:
+    return f"""
+SELECT CAST(application_id AS VARCHAR) AS ghap_application_id, CAST(candidate_id AS VARCHAR) AS ghap_candidate_id,
+  CAST(job_id AS VARCHAR) AS ghap_job_id,
+  CASE WHEN applied_at IS NOT NULL THEN CAST(applied_at AS VARCHAR)
+       WHEN created_at IS NOT NULL THEN CAST(created_at AS VARCHAR)
+       ELSE (SELECT staged_at FROM staged s WHERE s.application_id = {table}.application_id) END AS ghap_applied_at,
   CAST(NULL AS VARCHAR) AS ghap_rejected_at,
-  CASE WHEN lower(coalesce(a.status, '')) = 'hired' AND coalesce(CAST(a.hired_at AS VARCHAR), h.first_at, CAST(a.updated_at AS VARCHAR)) IS NOT NULL
-       THEN coalesce(CAST(a.hired_at AS VARCHAR), h.first_at, CAST(a.updated_at AS VARCHAR))
-       ELSE CAST(a.updated_at AS VARCHAR) END AS ghap_last_activity_at,
-  CASE WHEN lower(coalesce(a.status, '')) = 'hired' THEN coalesce(CAST(a.hired_at AS VARCHAR), h.first_at, CAST(a.updated_at AS VARCHAR))
-       ELSE coalesce(CAST(a.hired_at AS VARCHAR), h.first_at) END AS ghap_hired_at,
+  CAST(if(lower(status) = 'hired' AND hired_at IS NOT NULL, hired_at, updated_at) AS VARCHAR) AS ghap_last_activity_at,
+  CAST(if(hired_at IS NULL AND lower(status) = 'hired', updated_at, hired_at) AS VARCHAR) AS ghap_hired_at,
   'supabase_operational_source' AS ghap_source, CAST(NULL AS VARCHAR) AS ghap_rejection_reason,
-  a.status AS ghap_status, a.current_stage AS ghap_application_current_stage, CAST(NULL AS VARCHAR) AS ghap_jobs_count,
-  '{LOAD[0]}' AS _ingestion_batch_id, '{LOAD[1]}' AS _ingested_at, 'supabase_operational_source' AS _source_system,
+  status AS ghap_status, current_stage AS ghap_application_current_stage, CAST(NULL AS VARCHAR) AS ghap_jobs_count,
+  '{batch[0]}' AS _ingestion_batch_id, '{batch[1]}' AS _ingested_at, 'supabase_operational_source' AS _source_system,
   'applications' AS _source_object, 'operational_sync' AS _loaded_by
-FROM (SELECT a.* REPLACE (CASE WHEN h.application_id IS NOT NULL THEN 'hired' ELSE a.status END AS status,
-                          CASE WHEN h.application_id IS NOT NULL THEN 'Offer' ELSE a.current_stage END AS current_stage,
-                          CASE WHEN h.application_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE a.hired_at END AS hired_at,
-                          CASE WHEN h.application_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE a.updated_at END AS updated_at)
-      FROM ops_applications a LEFT JOIN hire_items h USING (application_id)) a
-LEFT JOIN (SELECT application_id, CAST(TIMESTAMP '{AS_OF}' AS VARCHAR) AS first_at FROM hire_items) h
-  USING (application_id)"""
+FROM {table}"""
 
 
-@register("ops_to_applications", with_ops(OPS_TO_APPLICATIONS_SQL, HIRE_SQL))
-def q_ops_to_applications(spark, sf_dir):
-    apps = ops_apps(spark, sf_dir)
-    h = _plan_hire(apps)
+def _undated(apps: DataFrame) -> DataFrame:
+    """Rejected applications without their dates."""
+    rejected = F.col("status") == "rejected"
+    return apps.withColumns({c: F.when(~F.coalesce(rejected, F.lit(False)), F.col(c)) for c in ("applied_at", "created_at")})
+
+
+def _hired_state(spark, sf_dir):
+    """Operational table before and after a hire, with all its status and stage events."""
+    apps = freeze(_undated(ops_apps(spark, sf_dir)))
+    h = changes.freeze_plan(_plan_hire(apps))
     res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
-    return ingest.ops_to_applications(res.applications, res.status_events, res.stage_events, *LOAD)
+    cols = ("application_id", "changed_at")
+    stages = _seed_events(spark, sf_dir).select(*cols).unionByName(res.stage_events.select(*cols))
+    return apps, res.applications, res.status_events, stages
+
+
+@register("ops_to_applications", with_ops(_reingest_sql("live_after", LOAD), REINGEST_CTE))
+def q_ops_to_applications(spark, sf_dir):
+    _, apps, status_events, stage_events = _hired_state(spark, sf_dir)
+    return ingest.ops_to_applications(apps, status_events, stage_events, *LOAD)
 
 
 # -- F17: commands → webhook events -----------------------------------------------------------------
@@ -461,17 +495,33 @@ COMMAND_NEXT_STAGE = {"Recruiter Interview": "Hiring Manager Review", "Final Int
 
 
 def _commands(apps: DataFrame) -> DataFrame:
-    """One command per active application: hire at Offer, reject at Application Review, else advance."""
+    """Per active application: hire at Offer, reject at Application Review, else advance (without a
+    target where no next stage is set), then reject a day later. Those at Offer are also hired under
+    an unknown id."""
     stage = F.col("current_stage")
-    return apps.filter(F.col("status") == "active").select(
+    active = apps.filter(F.col("status") == "active")
+    issued = F.lit(AS_OF).cast("timestamp")
+    first = active.select(
         "application_id",
         F.when(stage == "Offer", F.lit("hire")).when(stage == "Application Review", F.lit("reject"))
         .otherwise(F.lit("stage_change")).alias("command"),
         case_col(stage, COMMAND_NEXT_STAGE).alias("new_stage"),
         F.lit("active").alias("current_status"),
         F.when(stage == "Application Review", F.lit("Not a fit")).alias("reason"),
-        F.lit(AS_OF).cast("timestamp").alias("issued_at"),
+        issued.alias("issued_at"),
     )
+    nothing = F.lit(None).cast("string")
+    second = active.select(
+        "application_id", F.lit("reject").alias("command"), nothing.alias("new_stage"),
+        F.lit("active").alias("current_status"), F.lit("Position closed").alias("reason"),
+        (issued + F.expr("INTERVAL 1 DAY")).alias("issued_at"),
+    )
+    unknown = active.filter(stage == "Offer").select(
+        (-F.col("application_id") - 1).alias("application_id"), F.lit("hire").alias("command"),
+        nothing.alias("new_stage"), F.lit("active").alias("current_status"), nothing.alias("reason"),
+        issued.alias("issued_at"),
+    )
+    return first.unionByName(second).unionByName(unknown)
 
 
 def case_col(col, mapping):
@@ -481,37 +531,53 @@ def case_col(col, mapping):
 
 
 @register("events_from_commands", with_ops(f"""
-SELECT CAST(7000001 AS BIGINT) AS organization_id, c.command,
-  CASE c.command WHEN 'stage_change' THEN 'candidate_stage_change' WHEN 'reject' THEN 'reject_candidate'
-    ELSE 'hire_candidate' END AS action,
-  c.application_id,
-  CASE WHEN l.application_id IS NOT NULL THEN l.ev_status ELSE a.app_status END AS previous_status,
-  CASE c.command WHEN 'stage_change' THEN c.current_status WHEN 'reject' THEN 'rejected' ELSE 'hired' END AS current_status,
-  c.issued_at AS last_activity_at,
-  CASE WHEN c.command = 'reject' THEN c.issued_at END AS rejected_at,
-  CASE WHEN c.command = 'reject' THEN c.reason END AS rejection_reason,
+SELECT CAST(7000001 AS BIGINT) AS organization_id, command,
+  CASE WHEN error IS NULL THEN CASE command WHEN 'stage_change' THEN 'candidate_stage_change'
+    WHEN 'reject' THEN 'reject_candidate' ELSE 'hire_candidate' END END AS action,
+  application_id,
+  CASE WHEN error IS NULL THEN CASE WHEN step = 2 AND first_error IS NULL THEN first_status ELSE start_status END END AS previous_status,
+  CASE WHEN error IS NULL THEN result_status END AS current_status,
+  issued_at AS last_activity_at,
+  CASE WHEN error IS NULL AND command = 'reject' THEN issued_at END AS rejected_at,
+  CASE WHEN error IS NULL AND command = 'reject' THEN reason END AS rejection_reason,
   CAST(NULL AS VARCHAR) AS rejection_details,
-  CASE WHEN l.application_id IS NOT NULL THEN l.ev_stage ELSE a.app_stage END AS previous_stage,
-  CASE WHEN c.command = 'stage_change' THEN c.new_stage
-       ELSE CASE WHEN l.application_id IS NOT NULL THEN l.ev_stage ELSE a.app_stage END END AS current_stage
-FROM cmds c
-LEFT JOIN latest l USING (application_id)
-LEFT JOIN app_state a USING (application_id)""", f"""
+  CASE WHEN error IS NULL THEN coalesce(moved, start_stage) END AS previous_stage,
+  CASE WHEN error IS NULL THEN CASE WHEN command = 'stage_change' THEN new_stage ELSE coalesce(moved, start_stage) END END AS current_stage,
+  error AS error_message
+FROM judged""", f"""
+active_apps AS (SELECT application_id, current_stage FROM ops_applications WHERE status = 'active'),
 cmds AS (
-  SELECT application_id,
+  SELECT application_id, 1 AS step,
     CASE current_stage WHEN 'Offer' THEN 'hire' WHEN 'Application Review' THEN 'reject' ELSE 'stage_change' END AS command,
-    {case_map('current_stage', COMMAND_NEXT_STAGE)} AS new_stage, 'active' AS current_status,
-    CASE WHEN current_stage = 'Application Review' THEN 'Not a fit' END AS reason,
-    TIMESTAMP '{AS_OF}' AS issued_at
-  FROM ops_applications WHERE status = 'active'),
-latest AS (
-  SELECT {long_sql('application_id')} AS application_id, current_stage AS ev_stage, current_status AS ev_status
+    {case_map('current_stage', COMMAND_NEXT_STAGE)} AS new_stage,
+    CASE WHEN current_stage = 'Application Review' THEN 'Not a fit' END AS reason, TIMESTAMP '{AS_OF}' AS issued_at
+  FROM active_apps
+  UNION ALL
+  SELECT application_id, 2, 'reject', NULL, 'Position closed', TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY FROM active_apps
+  UNION ALL
+  SELECT -application_id - 1, 1, 'hire', NULL, NULL, TIMESTAMP '{AS_OF}' FROM active_apps WHERE current_stage = 'Offer'),
+starts AS (
+  SELECT {long_sql('application_id')} AS application_id, current_stage AS start_stage, current_status AS start_status,
+    0 AS origin, coalesce(last_activity_at, '') AS t, _ingested_at AS loaded, _ingestion_batch_id AS batch
   FROM raw_events
-  QUALIFY row_number() OVER (PARTITION BY {long_sql('application_id')} ORDER BY coalesce(last_activity_at, '') DESC) = 1),
-app_state AS (
-  SELECT {long_sql('ghap_application_id')} AS application_id, ghap_application_current_stage AS app_stage,
-    ghap_status AS app_status
-  FROM raw_applications)"""))
+  UNION ALL
+  SELECT {long_sql('ghap_application_id')}, ghap_application_current_stage, ghap_status, 1, '', NULL, NULL
+  FROM raw_applications
+  QUALIFY row_number() OVER (PARTITION BY {long_sql('ghap_application_id')}) = 1),
+start AS (
+  SELECT * FROM starts
+  QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY origin, t DESC, loaded DESC NULLS LAST, batch DESC NULLS LAST,
+    start_stage DESC NULLS LAST, start_status DESC NULLS LAST) = 1),
+checked AS (
+  SELECT c.*, s.start_stage, s.start_status,
+    CASE c.command WHEN 'stage_change' THEN 'active' WHEN 'reject' THEN 'rejected' ELSE 'hired' END AS result_status,
+    CASE WHEN s.application_id IS NULL THEN 'Application not found'
+         WHEN c.command = 'stage_change' AND c.new_stage IS NULL THEN 'Stage change requires new_stage or current_stage.' END AS error
+  FROM cmds c LEFT JOIN start s ON s.application_id = c.application_id),
+judged AS (
+  SELECT b.*, a.error AS first_error, a.result_status AS first_status,
+    CASE WHEN b.step = 2 AND a.error IS NULL AND a.command = 'stage_change' THEN a.new_stage END AS moved
+  FROM checked b LEFT JOIN checked a ON a.application_id = b.application_id AND a.step = 1 AND b.step = 2)"""))
 def q_events_from_commands(spark, sf_dir):
     r = raw(spark, sf_dir)
     commands = _commands(ops_apps(spark, sf_dir))
@@ -520,19 +586,32 @@ def q_events_from_commands(spark, sf_dir):
 
 
 # -- S10/S11: merge re-ingested operational rows into the raw applications table -----------------------
+# The raw table was landed before the rejected applications came in, so those keys are new. The table is
+# re-ingested twice, before and after a hire; the later load wins.
 
-UPSERT_COLUMNS = ("ghap_status", "ghap_application_current_stage", "ghap_hired_at", "ghap_last_activity_at")
+UPSERT_COLUMNS = ("ghap_status", "ghap_application_current_stage", "ghap_hired_at", "ghap_last_activity_at",
+                  "ghap_applied_at")
+EARLIER_LOAD = ("batch-ops-0000", "2025-12-31 06:00:00")
 
 
 @register("upsert_applications", with_ops(f"""
-SELECT e.* REPLACE ({", ".join(f"CASE WHEN i.ghap_application_id IS NULL THEN e.{c} ELSE i.{c} END AS {c}" for c in UPSERT_COLUMNS)})
-FROM raw_applications e LEFT JOIN ({OPS_TO_APPLICATIONS_SQL}) i ON i.ghap_application_id = e.ghap_application_id""", HIRE_SQL))
+SELECT e.* REPLACE ({", ".join(f"i.{c} AS {c}" for c in UPSERT_COLUMNS)})
+FROM landed e JOIN incoming i USING (ghap_application_id)
+UNION ALL
+SELECT * FROM landed e WHERE NOT EXISTS (FROM incoming i WHERE i.ghap_application_id = e.ghap_application_id)
+UNION ALL BY NAME
+SELECT i.ghap_application_id, {", ".join(f"i.{c}" for c in UPSERT_COLUMNS)}
+FROM incoming i WHERE NOT EXISTS (FROM landed e WHERE i.ghap_application_id = e.ghap_application_id)""",
+    REINGEST_CTE + f""",
+landed AS (SELECT * FROM raw_applications WHERE coalesce(ghap_status, '') <> 'rejected'),
+incoming AS ({_reingest_sql("live_after", LOAD)})"""))
 def q_upsert_applications(spark, sf_dir):
-    """The whole re-ingested table merged into the raw applications."""
+    """Both re-ingested loads merged into the raw applications as they were landed."""
     from talentlake.sources.raw import upsert
 
-    apps = ops_apps(spark, sf_dir)
-    h = _plan_hire(apps)
-    res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
-    incoming = ingest.ops_to_applications(res.applications, res.status_events, res.stage_events, *LOAD)
-    return upsert(raw(spark, sf_dir)["applications"], incoming, ["ghap_application_id"], columns=list(UPSERT_COLUMNS))
+    before, after, status_events, stage_events = _hired_state(spark, sf_dir)
+    incoming = ingest.ops_to_applications(before, status_events, stage_events, *EARLIER_LOAD).unionByName(
+        ingest.ops_to_applications(after, status_events, stage_events, *LOAD))
+    landed = raw(spark, sf_dir)["applications"].filter(F.coalesce(F.col("ghap_status"), F.lit("")) != "rejected")
+    return upsert(landed, incoming, ["ghap_application_id"], columns=list(UPSERT_COLUMNS),
+                  incoming_order=[F.col("_ingested_at")])

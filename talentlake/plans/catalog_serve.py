@@ -251,15 +251,15 @@ def q_serve_breaches(spark, sf_dir):
 DISPLAY_CTE = """
 display AS (
   SELECT application_id, candidate_id,
-    coalesce(nullif(trim(candidate_full_name), ''), nullif(trim(candidate_name), ''),
-             CASE WHEN candidate_id IS NOT NULL THEN 'Candidate ' || CAST(candidate_id AS VARCHAR) END) AS candidate_display,
+    nullif(trim(coalesce(nullif(candidate_full_name, ''), nullif(candidate_name, ''),
+             CASE WHEN candidate_id IS NOT NULL THEN 'Candidate ' || CAST(candidate_id AS VARCHAR) END)), '') AS candidate_display,
     job_id,
-    coalesce(nullif(trim(job_title), ''), CASE WHEN job_id IS NOT NULL THEN 'Job ' || CAST(job_id AS VARCHAR) END) AS job_display,
+    nullif(trim(coalesce(nullif(job_title, ''), CASE WHEN job_id IS NOT NULL THEN 'Job ' || CAST(job_id AS VARCHAR) END)), '') AS job_display,
     CASE WHEN trim(status) = '' THEN NULL ELSE status END AS status,
     CASE WHEN trim(current_stage) = '' THEN NULL ELSE current_stage END AS current_stage,
-    coalesce(nullif(trim(office_name), ''), nullif(trim(office), '')) AS office,
-    coalesce(nullif(trim(department_name), ''), nullif(trim(department), '')) AS department,
-    coalesce(nullif(trim(recruiter_name), ''), nullif(trim(recruiter), '')) AS recruiter,
+    nullif(trim(coalesce(nullif(office_name, ''), nullif(office, ''))), '') AS office,
+    nullif(trim(coalesce(nullif(department_name, ''), nullif(department, ''))), '') AS department,
+    nullif(trim(coalesce(nullif(recruiter_name, ''), nullif(recruiter, ''))), '') AS recruiter,
     updated_at, created_at, applied_at
   FROM {src}
 )"""
@@ -294,7 +294,7 @@ def _search_sql(kind: str) -> str:
 
 def _search(spark, sf_dir):
     apps = ops_apps(spark, sf_dir)
-    return serve.candidate_search(apps, changes.eligible_hire(apps, "Late-stage candidates"), stages=SEARCH["stages"],
+    return serve.candidate_search(changes.eligible_hire(apps, "Late-stage candidates"), stages=SEARCH["stages"],
                                   text=SEARCH["text"], departments=SEARCH["departments"], cap=SEARCH["cap"])
 
 

@@ -60,9 +60,12 @@ from talentlake.config import (
     STATUS_ACTIVE,
     STATUS_HIRED,
     STATUS_REJECTED,
+    UNKNOWN_DEPARTMENT,
+    UNKNOWN_OFFICE,
+    UNKNOWN_RECRUITER,
     StageConfig,
 )
-from talentlake.functions.scalar import clamp, lookup, stage_rank
+from talentlake.functions.scalar import clamp, lookup, merge_json, stage_rank
 
 # Workflow labels written into events and requests.
 WORKFLOW_SOURCE = "supabase_admin_workflow"
@@ -337,6 +340,57 @@ def plan_stage_change(
     return Plan(request, items)
 
 
+def plan_record_form(apps: DataFrame, jobs: DataFrame, sequence: Sequence[str], requested_limit: int,
+                     selection_mode: str = MODE_FOCUSED, request_id: str = "request") -> Plan:
+    """plan a stage change in record form.
+
+    Candidates are the distinct active applications with a known job that are
+    not at the final stage (status and stage compared trimmed, in any case);
+    NULL and '' scope parts read "Unknown ...". Focused mode takes the largest
+    (recruiter, office, department) scope, ties by name; global mode takes
+    every candidate. Items are the first ``requested_limit`` by application id.
+    The request row carries ``eligible_count``, the chosen scope and
+    ``selected_group_count`` (both NULL in global mode). ``jobs`` has ``job_id``.
+    """
+    def clean(col: str) -> Column:
+        return F.lower(F.trim(F.coalesce(F.col(col).cast("string"), F.lit(""))))
+
+    def named(col: str, unknown: str) -> Column:
+        return F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(unknown)).alias(col)
+
+    scope = ("recruiter", "office", "department")
+    valid = apps.filter(F.col("application_id").isNotNull() & (clean("status") == STATUS_ACTIVE))
+    if sequence:
+        valid = valid.filter(clean("current_stage") != sequence[-1].lower())
+    rows = valid.join(jobs.select("job_id"), "job_id", "left_semi").select(
+        "application_id", "job_id", "status", "current_stage", named("recruiter", UNKNOWN_RECRUITER),
+        named("office", UNKNOWN_OFFICE), named("department", UNKNOWN_DEPARTMENT),
+    )
+    rest = [c for c in rows.columns if c != "application_id"]
+    candidates = rows.groupBy("application_id").agg(F.min(F.struct(*rest)).alias("_r")).select("application_id", "_r.*")
+    sizes = candidates.groupBy(*scope).agg(F.count(F.lit(1)).alias("group_count"))
+    eligible = F.coalesce(F.sum("group_count"), F.lit(0)).alias("eligible_count")
+    focused = selection_mode != MODE_GLOBAL
+    if focused:
+        # the largest group, as one aggregate: the smallest (-count, names)
+        top = F.min(F.struct((-F.col("group_count")).alias("n"), *scope)).alias("_g")
+        request = sizes.agg(eligible, top).select(
+            "eligible_count", *[F.col(f"_g.{c}").alias(c) for c in scope],
+            F.coalesce(-F.col("_g.n"), F.lit(0)).alias("selected_group_count"))
+        # one row at every size
+        pool = candidates.join(F.broadcast(request.select(*scope)), list(scope), "left_semi")
+    else:
+        nothing = F.lit(None).cast("string")
+        request = sizes.agg(eligible).select("eligible_count", *[nothing.alias(c) for c in scope],
+                                             F.lit(None).cast("bigint").alias("selected_group_count"))
+        pool = candidates
+    items = pool.orderBy("application_id").limit(requested_limit).select(
+        F.lit(request_id).alias("request_id"), "application_id", "job_id", "current_stage", *scope,
+        F.array(*[F.lit(stage) for stage in sequence]).alias("planned_stage_sequence"),
+    )
+    return Plan(request.select(F.lit(request_id).alias("request_id"), F.lit(selection_mode).alias("selection_mode"), "*"), items)
+
+
 def _plan_outcome(apps: DataFrame, stages_for_mode: tuple[str, ...], selection_mode: str, reason: str | None,
                   application_ids, manual_requires_eligible: bool):
     """Ordered candidates, the count basis and the manual ineligible rows of an outcome plan."""
@@ -490,6 +544,15 @@ def _close_request(request: DataFrame, items: DataFrame, as_of: str, outcome: bo
     ).withColumn("applied_at", F.lit(as_of).cast("timestamp"))
 
 
+REQUEST_COUNTS = ("applied_count", "skipped_count", "failed_count")
+
+
+def request_metadata(requests: DataFrame, counts: Sequence[str] = REQUEST_COUNTS) -> DataFrame:
+    """``metadata`` (JSON text) of applied requests with their item counts merged in."""
+    before = F.col("metadata") if "metadata" in requests.columns else F.lit(None).cast("string")
+    return requests.withColumn("metadata", merge_json(before, F.to_json(F.struct(*counts))))
+
+
 def _update_applications(apps: DataFrame, changes: DataFrame, set_cols: dict[str, Column]) -> DataFrame:
     """Apply per-application changes (one row per application) to the applications table."""
     renamed = changes.select("application_id", *[expr.alias(f"_new_{c}") for c, expr in set_cols.items()])
@@ -683,62 +746,72 @@ COMMAND_ACTION = {
 }
 
 
-def events_from_commands(commands: DataFrame, events: DataFrame, applications: DataFrame, organization_id: int) -> DataFrame:
+MSG_UNKNOWN_APPLICATION = "Application not found"
+MSG_NO_TARGET_STAGE = "Stage change requires new_stage or current_stage."
+# Equal event times: the event that was loaded last counts as the latest.
+EVENT_ARRIVAL = ("_ingested_at", "_ingestion_batch_id", "current_stage", "current_status")
+
+
+def events_from_commands(commands: DataFrame, events: DataFrame, applications: DataFrame, organization_id: int,
+                         arrival: Sequence[str] = EVENT_ARRIVAL) -> DataFrame:
     """commands (stage change / reject / hire) → new webhook events.
 
     ``commands``: application_id, command, new_stage, current_status, reason,
     issued_at. Each command starts from the application's latest event (else
-    the application row); commands on one application chain in issue order
-    (equal times: by command, then stage).
+    the application row; equal times by ``arrival``); commands on one
+    application chain in issue order (equal times: by command, then stage).
+    A command on an unknown application, or a stage change without a target,
+    gives a row with ``error_message`` and no event; later commands ignore it.
     """
     from talentlake.plans.ingest import latest_event_per_application
 
     ids = commands.select("application_id").distinct()
     typed_events = events.withColumn("application_id", F.col("application_id").try_cast("long"))
-    latest = latest_event_per_application(typed_events.join(ids, "application_id", "left_semi")).select(
-        "application_id", F.col("current_stage").alias("_ev_stage"), F.col("current_status").alias("_ev_status"),
-        F.lit(True).alias("_has_event"),
-    )
+    latest = latest_event_per_application(typed_events.join(ids, "application_id", "left_semi"), tiebreak=arrival).select(
+        "application_id", F.struct("current_stage", "current_status").alias("_event"))
     app_state = applications.select(
         F.col("ghap_application_id").try_cast("long").alias("application_id"),
-        F.col("ghap_application_current_stage").alias("_app_stage"),
-        F.col("ghap_status").alias("_app_status"),
+        F.struct(F.col("ghap_application_current_stage").alias("current_stage"),
+                 F.col("ghap_status").alias("current_status")).alias("_app"),
     ).join(ids, "application_id", "left_semi")
     base = latest.join(app_state, "application_id", "full_outer").select(
-        "application_id",
-        F.when(F.col("_has_event"), F.col("_ev_stage")).otherwise(F.col("_app_stage")).alias("_start_stage"),
-        F.when(F.col("_has_event"), F.col("_ev_status")).otherwise(F.col("_app_status")).alias("_start_status"),
-    )
+        "application_id", F.coalesce("_event", "_app").alias("_start"))
     cmd = commands.join(base, "application_id", "left")
     is_stage = F.col("command") == COMMAND_STAGE
+    error = F.when(F.col("_start").isNull(), F.lit(MSG_UNKNOWN_APPLICATION)).when(
+        is_stage & (F.coalesce(F.col("new_stage"), F.lit("")) == ""), F.lit(MSG_NO_TARGET_STAGE))
     result_status = (
         F.when(is_stage, F.col("current_status"))
         .when(F.col("command") == COMMAND_REJECT, F.lit(STATUS_REJECTED))
         .otherwise(F.lit(STATUS_HIRED))
     )
+    cmd = cmd.withColumn("error_message", error)
+    ok = F.col("error_message").isNull()
     # commands per application within one batch are few; the window is per application
     w = Window.partitionBy("application_id").orderBy("issued_at", "command", "new_stage")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    cmd = cmd.withColumn("_result_status", result_status).withColumn(
-        "_stage_before",
-        F.coalesce(F.last(F.when(is_stage, F.col("new_stage")), ignorenulls=True).over(earlier), F.col("_start_stage")),
-    ).withColumn(
-        "_status_before",
-        F.coalesce(F.lag("_result_status").over(w), F.col("_start_status")),
+    moved = F.last(F.when(ok & is_stage, F.col("new_stage")), ignorenulls=True).over(earlier)
+    decided = F.last(F.when(ok, F.struct(result_status.alias("status"))), ignorenulls=True).over(earlier)
+    cmd = cmd.select(
+        "*", result_status.alias("_result_status"),
+        F.coalesce(moved, F.col("_start.current_stage")).alias("_stage_before"),
+        F.when(decided.isNotNull(), decided["status"]).otherwise(F.col("_start.current_status")).alias("_status_before"),
     )
+    is_reject = F.col("command") == COMMAND_REJECT
     return cmd.select(
         F.lit(organization_id).cast("long").alias("organization_id"),
         F.col("command").alias("command"),
-        lookup("command", COMMAND_ACTION).alias("action"),
+        F.when(ok, lookup("command", COMMAND_ACTION)).alias("action"),
         "application_id",
-        F.col("_status_before").alias("previous_status"),
-        F.col("_result_status").alias("current_status"),
+        F.when(ok, F.col("_status_before")).alias("previous_status"),
+        F.when(ok, F.col("_result_status")).alias("current_status"),
         F.col("issued_at").alias("last_activity_at"),
-        F.when(F.col("command") == COMMAND_REJECT, F.col("issued_at")).alias("rejected_at"),
-        F.when(F.col("command") == COMMAND_REJECT, F.col("reason")).alias("rejection_reason"),
+        F.when(ok & is_reject, F.col("issued_at")).alias("rejected_at"),
+        F.when(ok & is_reject, F.col("reason")).alias("rejection_reason"),
         F.lit(None).cast("string").alias("rejection_details"),
-        F.col("_stage_before").alias("previous_stage"),
-        F.when(is_stage, F.col("new_stage")).otherwise(F.col("_stage_before")).alias("current_stage"),
+        F.when(ok, F.col("_stage_before")).alias("previous_stage"),
+        F.when(ok & is_stage, F.col("new_stage")).when(ok, F.col("_stage_before")).alias("current_stage"),
+        "error_message",
     )
 
 
