@@ -269,3 +269,4 @@ from talentlake.plans import catalog_ops  # noqa: E402,F401  (registers workflow
 from talentlake.plans import catalog_serve  # noqa: E402,F401  (registers fractional and serving queries)
 from talentlake.plans import catalog_quality  # noqa: E402,F401  (registers data-quality queries)
 from talentlake.plans import catalog_streaming  # noqa: E402,F401  (registers streaming queries)
+from talentlake.plans import catalog_more  # noqa: E402,F401  (registers filters, orders, texts, manual plans, audit rows)
