@@ -52,14 +52,13 @@ def lag_by_key(
     first row of a bucket is the last row of the nearest earlier bucket.
     """
     part = [
-        F.coalesce(F.col(key).cast("long"), F.lit(_MIN_LONG)).alias("_pk"),
-        F.col(key).isNull().alias("_pn"),
+        F.col(key).alias("_pk"),
         F.coalesce(
             F.floor(F.unix_micros(F.col(time_col)) / F.lit(bucket_seconds * 1_000_000)),
             F.lit(_MIN_LONG),
         ).alias("_bucket"),
     ]
-    keys = ["_pk", "_pn", "_bucket"]
+    keys = ["_pk", "_bucket"]
     order = [F.col(time_col).asc_nulls_first(), *[t.asc_nulls_first() for t in tiebreak]]
 
     base = df.select("*", *part)
@@ -76,10 +75,11 @@ def lag_by_key(
     else:
         last = F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(F.col(time_col), *tiebreak))
     last_row = base.groupBy(*keys).agg(last.alias("_last"))
-    across = Window.partitionBy("_pk", "_pn").orderBy("_bucket")
-    boundary = last_row.select(*keys, F.lag("_last").over(across).alias("_prev"))
+    across = Window.partitionBy("_pk").orderBy("_bucket")
+    boundary = last_row.select(*[F.col(k).alias(f"_b{k}") for k in keys], F.lag("_last").over(across).alias("_prev"))
 
-    joined = base.join(boundary, on=keys, how="left")
+    same = F.col("_pk").eqNullSafe(F.col("_b_pk")) & (F.col("_bucket") == F.col("_b_bucket"))
+    joined = base.join(boundary, same, "left")
     return joined.select(
         *df.columns,
         *[

@@ -163,7 +163,8 @@ def fact_stage_transition(
 
     ``id_hash``: ``xxhash64`` (64-bit surrogate) or ``md5`` (text, engine-portable).
     """
-    events = stg_events_df.select(
+    # a row without a time ends no interval and starts none
+    events = stg_events_df.filter(F.col("event_at").isNotNull()).select(
         "application_id", "action", "previous_status", "current_status",
         "previous_stage", "current_stage", "event_at", "ingested_at",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from talentlake.config import DRIVER_TABLE_STAGES, OPERATIONAL_SOURCE_MARKER
 from talentlake.oracle import AS_OF, with_base
 from talentlake.plans.warehouse import Warehouse
-from talentlake.session import ensure_session_defaults
+from talentlake.session import ensure_session_defaults, freeze
 from talentlake.sources.driver_tables import RawTables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return Warehouse(RawTables(spark, sf_dir), DRIVER_TABLE_STAGES, as_of=AS_OF, transition_id_hash="md5")
 
 
+def facts_written(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The models with ``fact_application`` written once, for those that read it several times."""
+    w = warehouse(spark, sf_dir)
+    w.__dict__["fact_application"] = freeze(w.fact_application)
+    return w
+
+
 def register(name: str, oracle: str | None = None):
     def wrap(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
@@ -259,9 +266,11 @@ MART_SQL = {
     "mart_sla_breaches": K8_SQL,
     "mart_tth_diagnostics": K9_SQL,
 }
+SEVERAL_FACT_READS = ("mart_exec_overview", "mart_exec_overview_by_scope", "mart_recruiter_workload")
 for _model, _sql in MART_SQL.items():
     register(_model, _cte_select(_sql))(
-        (lambda m: (lambda spark, sf_dir: warehouse(spark, sf_dir).model(m)))(_model)
+        (lambda m, models: (lambda spark, sf_dir: models(spark, sf_dir).model(m)))(
+            _model, facts_written if _model in SEVERAL_FACT_READS else warehouse)
     )
 
 

@@ -10,7 +10,7 @@ from talentlake.functions import scalar
 from talentlake.operators import quality, serve
 from talentlake.oracle import AS_OF, _in, long_sql, with_base, with_ops
 from talentlake.plans import changes
-from talentlake.plans.catalog import K1_SQL, K3_SQL, K4_SQL, K5_SQL, K7_SQL, register, warehouse
+from talentlake.plans.catalog import K1_SQL, K3_SQL, K4_SQL, K5_SQL, K7_SQL, facts_written, register, warehouse
 from talentlake.plans.catalog_ops import (
     APPLY_SQL, APPROVER, HIRE, HIRE_SQL, MANUAL_IDS_SQL, REJECT, _manual_ids, _plan_hire, _reject_then_hire,
     frozen_apps, ops_apps, raw,
@@ -141,7 +141,7 @@ SELECT office_name, department_name,
     / nullif(recruiter_owned_stage_cases, 0)), 1)), 'N/A') AS recruiter_sla_compliance
 FROM k3""", extra_ctes=_mart_cte("k3", K3_SQL)))
 def q_kpi_texts(spark, sf_dir):
-    return serve.kpi_texts(warehouse(spark, sf_dir).mart_exec_overview_by_scope)
+    return serve.kpi_texts(facts_written(spark, sf_dir).mart_exec_overview_by_scope)
 
 
 @register("request_metadata", with_ops(f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from talentlake.operators import quality
 from talentlake.oracle import _in, long_sql, with_base
-from talentlake.plans.catalog import MART_SQL, register, warehouse
+from talentlake.plans.catalog import MART_SQL, facts_written, register, warehouse
 from talentlake.plans.catalog_serve import _mart_cte
 from talentlake.sources.driver_tables import RawTables
 
@@ -15,7 +15,7 @@ SQL_NAMES = {"raw_application_events": "raw_events"}
 
 
 def _models(spark, sf_dir):
-    w = warehouse(spark, sf_dir)
+    w = facts_written(spark, sf_dir)
     raw = RawTables(spark, sf_dir)
 
     def get(name: str):
@@ -59,7 +59,7 @@ SELECT 'stg_events', 'application_id', 'relationships', CAST(count(*) AS BIGINT)
 FROM stg_events e WHERE e.application_id IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM fact_application a WHERE a.application_id = e.application_id)"""))
 def q_dq_referential(spark, sf_dir):
-    w = warehouse(spark, sf_dir)
+    w = facts_written(spark, sf_dir)
     return (
         quality.referential(w.fact_application, "job_id", w.dim_job, "job_id", "fact_application")
         .unionByName(quality.referential(w.fact_offer, "application_id", w.fact_application, "application_id", "fact_offer"))

@@ -6,7 +6,7 @@ from talentlake.config import DRIVER_TABLE_STAGES, HIRE_ELIGIBLE_STAGES
 from talentlake.operators import fractional, serve
 from talentlake.oracle import _in, rank_sql, with_base, with_ops
 from talentlake.plans import changes
-from talentlake.plans.catalog import K1_SQL, K3_SQL, K4_SQL, K5_SQL, K7_SQL, K8_SQL, register, warehouse
+from talentlake.plans.catalog import K1_SQL, K3_SQL, K4_SQL, K5_SQL, K7_SQL, K8_SQL, facts_written, register, warehouse
 from talentlake.plans.catalog_ops import HIRE_SQL, _plan_hire, ops_apps, raw
 
 STAGES = DRIVER_TABLE_STAGES
@@ -184,7 +184,7 @@ SELECT {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in serve
     / sum(hired_applications_with_valid_time_to_hire) FILTER (WHERE avg_time_to_hire_days IS NOT NULL AND hired_applications_with_valid_time_to_hire > 0), 6) AS avg_time_to_hire_days
 FROM k3 WHERE {DEP}""", extra_ctes=_mart_cte("k3", K3_SQL)))
 def q_serve_overview_scoped(spark, sf_dir):
-    return serve.overview_scoped(warehouse(spark, sf_dir).mart_exec_overview_by_scope, None, SCOPE_DEPARTMENTS)
+    return serve.overview_scoped(facts_written(spark, sf_dir).mart_exec_overview_by_scope, None, SCOPE_DEPARTMENTS)
 
 
 @register("serve_status", with_base(f"""
@@ -215,7 +215,7 @@ SELECT recruiter_name, CAST(sum(total_applications) AS BIGINT) AS total_applicat
   CAST(sum(sla_breached_cases) AS BIGINT) AS sla_breached_cases FROM k5 WHERE {DEP_REC} GROUP BY recruiter_name""",
                                       extra_ctes=_mart_cte("k5", K5_SQL)))
 def q_serve_workload(spark, sf_dir):
-    return serve.workload_chart(warehouse(spark, sf_dir).mart_recruiter_workload, None, SCOPE_DEPARTMENTS, SCOPE_RECRUITERS)
+    return serve.workload_chart(facts_written(spark, sf_dir).mart_recruiter_workload, None, SCOPE_DEPARTMENTS, SCOPE_RECRUITERS)
 
 
 @register("serve_workload_table", with_base(f"""
@@ -225,7 +225,7 @@ SELECT recruiter_name, office_name, department_name, total_applications, active_
   round_even(avg_recruiter_stage_duration_days, 2) AS avg_recruiter_stage_duration_days, total_offers, accepted_offers
 FROM k5 WHERE {DEP_REC}""", extra_ctes=_mart_cte("k5", K5_SQL)))
 def q_serve_workload_table(spark, sf_dir):
-    return serve.workload_table(warehouse(spark, sf_dir).mart_recruiter_workload, None, SCOPE_DEPARTMENTS, SCOPE_RECRUITERS)
+    return serve.workload_table(facts_written(spark, sf_dir).mart_recruiter_workload, None, SCOPE_DEPARTMENTS, SCOPE_RECRUITERS)
 
 
 @register("serve_performance", with_base(f"""
