@@ -51,14 +51,18 @@ def lag_by_key(
     monotone in that order (NULL time → smallest bucket), so the row before the
     first row of a bucket is the last row of the nearest earlier bucket.
     """
+    # the key without NULLs, so that the window's exchange serves the boundary join too
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    pk = F.coalesce(F.col(key).cast("long"), F.lit(_MIN_LONG)) if whole else F.coalesce(F.col(key).cast("string"), F.lit(""))
     part = [
-        F.col(key).alias("_pk"),
+        pk.alias("_pk"),
+        F.col(key).isNull().alias("_pn"),
         F.coalesce(
             F.floor(F.unix_micros(F.col(time_col)) / F.lit(bucket_seconds * 1_000_000)),
             F.lit(_MIN_LONG),
         ).alias("_bucket"),
     ]
-    keys = ["_pk", "_bucket"]
+    keys = ["_pk", "_pn", "_bucket"]
     order = [F.col(time_col).asc_nulls_first(), *[t.asc_nulls_first() for t in tiebreak]]
 
     base = df.select("*", *part)
@@ -75,11 +79,10 @@ def lag_by_key(
     else:
         last = F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(F.col(time_col), *tiebreak))
     last_row = base.groupBy(*keys).agg(last.alias("_last"))
-    across = Window.partitionBy("_pk").orderBy("_bucket")
-    boundary = last_row.select(*[F.col(k).alias(f"_b{k}") for k in keys], F.lag("_last").over(across).alias("_prev"))
+    across = Window.partitionBy("_pk", "_pn").orderBy("_bucket")
+    boundary = last_row.select(*keys, F.lag("_last").over(across).alias("_prev"))
 
-    same = F.col("_pk").eqNullSafe(F.col("_b_pk")) & (F.col("_bucket") == F.col("_b_bucket"))
-    joined = base.join(boundary, same, "left")
+    joined = base.join(boundary, on=keys, how="left")
     return joined.select(
         *df.columns,
         *[

@@ -321,7 +321,7 @@ SELECT request_id, status, outcome, selection_mode, requested_limit, eligible_co
   '0' AS expected_rejected_kpi_increase
 FROM hire_request""", HIRE_SQL))
 def q_expected_kpi_delta(spark, sf_dir):
-    p = _plan_hire(ops_apps(spark, sf_dir))
+    p = changes.freeze_plan(_plan_hire(ops_apps(spark, sf_dir)))
     return serve.expected_kpi_delta(p.request, p.items)
 
 

@@ -28,3 +28,21 @@ def test_transitions_of_untouched_applications_stay(spark):
         updater(last, 1)
         assert spark.read.parquet(updater.transitions_path).count() == 201
         assert spark.read.parquet(updater.events_path).count() == 401
+
+
+def test_watermark_evicts_and_drops_late_events(spark):
+    """Copies within the watermark are dropped, events older than it are late, other events stay."""
+    root = tempfile.mkdtemp(prefix="tl-t1-")
+    move = "candidate_stage_change"
+    batches = [
+        [("1", move, None, "Offer", "2025-01-01 00:00:00", "a"), ("1", move, None, "Offer", "2025-01-01 00:00:00", "b")],
+        [("1", move, None, "Offer", "2025-01-01 00:00:00", "c"), ("2", move, None, "Offer", "2025-01-10 00:00:00", "c")],
+        [("1", move, None, "Offer", "2025-01-01 00:00:00", "d"), ("3", move, None, "Offer", "2025-01-02 00:00:00", "d"),
+         ("4", move, None, "Offer", "2025-01-09 00:00:00", "d")],
+    ]
+    for rows in batches:  # one run a batch, so the watermark moves in between
+        _raw(spark, rows).write.mode("append").parquet(f"{root}/in")
+        stream = st.dedup_stream(st.read_event_stream(spark, f"{root}/in"), "2 days")
+        st.run_available_now(stream, f"{root}/ckpt", f"{root}/out")
+    kept = sorted(r.application_id for r in spark.read.parquet(f"{root}/out").collect())
+    assert kept == [1, 2, 4]  # 3 came more than two days behind the newest event

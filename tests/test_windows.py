@@ -57,3 +57,11 @@ def test_hot_key_is_split_by_time_bucket(spark):
     buckets = df.filter("k = 1").select(F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))).distinct().count()
     assert buckets > 80  # 2000 hourly rows → ~84 day buckets, i.e. ~84 window groups instead of one
     assert out.filter("k = 1 AND lag_v IS NULL").count() == 1  # still exactly one first row
+
+
+def test_text_key(spark):
+    """A key that is no number keeps its own values; '' and NULL are different keys."""
+    rows = [(k, datetime(2024, 1, day), day) for k in ("a1", "", None) for day in (1, 2, 5)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id int")
+    out = lag_by_key(df, "k", "ts", [F.col("id")], ["id"]).collect()
+    assert {(r.k, r.id, r.lag_id) for r in out} == {(k, d, p) for k in ("a1", "", None) for d, p in ((1, None), (2, 1), (5, 2))}
