@@ -8,7 +8,9 @@
 4. Every passage (overlapping runs of about an item's length) is a whitened
    latent vector; cosine with the items gives candidates.  Words of no item
    are dimensions orthogonal to all items: a passage with too small a share of
-   its weight in the items' words is far from each and needs no vector.
+   its weight in the items' words is far from each and needs no vector.  The
+   share is also taken on runs no longer than the scale's items, which an item
+   that stands word for word fills alone, whatever stands around it.
 5. A candidate counts when the longest common subsequence of words covers
    enough of the item, or a smaller share and the item's answer.
 """
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from talentlake.llm.common import as_texts, small_batches, written
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SCALES = (16, 32, 64)  # passage lengths; an item is compared with its nearest
+SCALES = (*range(1, 12), 16, 32, 64)  # passage lengths; an item is compared with its nearest
+PASSAGE = 32  # words of the passages behind the weights and the latent space
 ITEMS_A_BLOCK = 2_000  # items that go with the tasks at once; more make further rounds
 
 
@@ -34,6 +37,20 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_TABLE).split()
 
 
+def scale_of(length: int) -> int:
+    return min(SCALES, key=lambda n: abs(np.log(n / length)))
+
+
+def step_of(scale: int) -> int:
+    """Words between the starts of two passages; short ones start at every word."""
+    return 1 if scale < 16 else scale // 4
+
+
+# Words of the runs whose share counts: no item of the scale is shorter, and some passage holds a
+# run of every item that stands word for word.
+RUNS = {n: min(next(k for k in range(1, n + 1) if scale_of(k) == n), n - step_of(n) + 1) for n in SCALES}
+
+
 @dataclass(frozen=True)
 class Settings:
     rank: int = 48            # latent dimensions
@@ -60,7 +77,7 @@ class Items:
             np.array([self.rank[w] for w in a], np.int64) if a else s[-settings.answer_words :]
             for (_, _, a), s in zip(seqs, self.seqs)
         ]
-        self.scale = [min(SCALES, key=lambda n: abs(np.log(n / len(s)))) for s in self.seqs]
+        self.scale = [scale_of(len(s)) for s in self.seqs]
         self.kind = np.dtype("<u2") if self.none < 1 << 16 else np.dtype("<u4")
 
 
@@ -221,10 +238,14 @@ def _search(terms: DataFrame, items: Items, idf: np.ndarray, projection: np.ndar
         total = np.concatenate([[0.0], np.cumsum(weight[t])])
         best: dict[int, tuple[float, int]] = {}
         for n in scales:
-            step = max(1, n // 4)
+            step = step_of(n)
             begin = np.arange(0, max(len(t) - n + step, 1), step)
             end = np.minimum(begin + n, len(t))
             near = known[end] - known[begin] >= settings.share * (total[end] - total[begin])
+            size = min(RUNS[n], len(t))
+            dense = known[size:] - known[:-size] >= settings.share * (total[size:] - total[:-size])
+            upto = np.concatenate([[0], np.cumsum(dense)])
+            near |= upto[np.maximum(end - size + 1, begin)] > upto[begin]
             begin, end = begin[near], end[near]
             if not len(begin):
                 continue
@@ -299,8 +320,8 @@ def decontaminate(
             part = terms.selectExpr("doc_id", "0L n_items", "cast(null as long) item_id", "0D covered", "false answer")
         else:
             terms = written(terms, "terms")
-            idf = _idf(terms, items, SCALES[1])
-            part = _search(terms, items, idf, _latent(terms, items, idf, SCALES[1], settings), settings)
+            idf = _idf(terms, items, PASSAGE)
+            part = _search(terms, items, idf, _latent(terms, items, idf, PASSAGE, settings), settings)
         found = part if found is None else found.unionByName(part)
     if len(all_items) > ITEMS_A_BLOCK:
         found = found.groupBy("doc_id").agg(

@@ -207,6 +207,21 @@ def test_decontamination(spark, docs_of):
     assert not any(r.contaminated for r in op09_decontam.decontaminate(docs_of(rows[:9]), bench.limit(0)).collect())
 
 
+def test_decontamination_of_short_items(spark, docs_of):
+    """Items of 3 to 10 words word for word in foreign text, and of common words among rare ones."""
+    rnd = np.random.default_rng(10)
+    foreign = lambda n: " ".join(f"f{k}" for k in rnd.integers(0, 5000, n))
+    items = [(i, " ".join(f"v{k}" for k in rnd.choice(600, 3 + i % 8, replace=False))) for i in range(48)]
+    items += [(48 + i, " ".join(f"c{k}" for k in rnd.choice(60, n, replace=False))) for i, n in enumerate((12, 14, 24, 46))]
+    rows = [(i, f"{foreign(int(rnd.integers(0, 90)))} {t} {foreign(int(rnd.integers(0, 90)))}") for i, t in items]
+    rows += [(100 + i, " ".join(f"{foreign(30)} {w}" for w in t.split())) for i, t in items]  # its words, far apart
+    rows += [(200 + i, " ".join(f"{foreign(6)} c{k}" for k in range(60))) for i in range(40)]  # the c words are common
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in op09_decontam.decontaminate(docs_of(rows), bench).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {i for i, _ in items}
+    assert all(got[i].item_id == i and got[i].covered == 1 for i, _ in items)
+
+
 def test_pipeline(spark, docs_of, corpus, tmp_path):
     """The stages by hand on a small folder: quality, one of each group, no leak, mix, files."""
     import corpus_pipeline
