@@ -62,27 +62,61 @@ class Settings:
     seed: int = 11
 
 
+class Vocabulary:
+    """Numbers of the words of all items and answers; the last stands for a word of no item."""
+
+    def __init__(self, words: list[bytes]):
+        self.rank = {w: k for k, w in enumerate(sorted(words))}
+        self.none = len(self.rank)
+        self.kind = np.dtype("<u2") if self.none < 1 << 16 else np.dtype("<u4")
+
+
 class Items:
-    """A block of benchmark items: vocabulary, term sequences and answers."""
+    """A block of benchmark items: term sequences and answers."""
 
-    def __init__(self, rows: list[tuple[int, str | None, str | None]], settings: Settings):
+    def __init__(self, rows: list[tuple[int | None, str | None, str | None]], vocab: Vocabulary, settings: Settings):
         seqs = [(i, words_of(t or ""), words_of(a or "")) for i, t, a in rows]
         seqs = [x for x in seqs if x[1]]
-        vocab = sorted({w for _, s, a in seqs for w in (*s, *a)})
-        self.rank = {w: k for k, w in enumerate(vocab)}
-        self.none = len(vocab)  # number of a word of no item
+        rank = vocab.rank
         self.ids = [i for i, _, _ in seqs]
-        self.seqs = [np.array([self.rank[w] for w in s], np.int64) for _, s, _ in seqs]
+        self.seqs = [np.array([rank[w] for w in s], np.int64) for _, s, _ in seqs]
         self.answers = [
-            np.array([self.rank[w] for w in a], np.int64) if a else s[-settings.answer_words :]
+            np.array([rank[w] for w in a], np.int64) if a else s[-settings.answer_words :]
             for (_, _, a), s in zip(seqs, self.seqs)
         ]
         self.scale = [scale_of(len(s)) for s in self.seqs]
-        self.kind = np.dtype("<u2") if self.none < 1 << 16 else np.dtype("<u4")
 
 
-def _terms(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    rank, none, kind = items.rank, items.none, items.kind
+def _vocabulary(bench: DataFrame) -> Vocabulary:
+    """Words of the whole benchmark (i, t, a); the driver gets each distinct word once."""
+
+    def run(batches):
+        for batch in batches:
+            words: set[bytes] = set()
+            for text, answer in zip(as_texts(batch.column(0)), as_texts(batch.column(1))):
+                own = words_of(text)
+                if own:
+                    words.update(own, words_of(answer))
+            yield pa.record_batch([pa.array(list(words), pa.binary())], names=["word"])
+
+    return Vocabulary([bytes(r.word) for r in bench.select("t", "a").mapInArrow(run, "word binary").distinct().collect()])
+
+
+def _blocks(bench: DataFrame):
+    """Items (i, t, a) in lists of up to ``ITEMS_A_BLOCK``, read one partition at a time."""
+    held = []
+    for r in bench.toLocalIterator():
+        held.append((r.i, r.t, r.a))
+        if len(held) == ITEMS_A_BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _terms(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, terms and row, a key of the input row that holds once it is written."""
+    rank, none, kind = vocab.rank, vocab.none, vocab.kind
 
     def run(batches):
         get = rank.get
@@ -93,9 +127,10 @@ def _terms(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFra
                 out.append(np.fromiter((get(w, none) for w in words), kind, len(words)).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "terms"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(
         run, "doc_id long, terms binary"
     )
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def _tiles(raw: bytes, kind: np.dtype, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +156,8 @@ def _sum_rows(rows: DataFrame, run, width: int) -> DataFrame:
     return parts.groupBy("term").agg(*cols)
 
 
-def _idf(terms: DataFrame, items: Items, size: int) -> np.ndarray:
-    none, kind = items.none, items.kind
+def _idf(terms: DataFrame, vocab: Vocabulary, size: int) -> np.ndarray:
+    none, kind = vocab.none, vocab.kind
 
     def run(batches):
         df, n = np.zeros((none + 1, 1)), 0
@@ -142,9 +177,9 @@ def _idf(terms: DataFrame, items: Items, size: int) -> np.ndarray:
     return np.log((1 + n) / (1 + df)) + 0.1
 
 
-def _latent(terms: DataFrame, items: Items, idf: np.ndarray, size: int, settings: Settings) -> np.ndarray:
+def _latent(terms: DataFrame, vocab: Vocabulary, idf: np.ndarray, size: int, settings: Settings) -> np.ndarray:
     """Projection (term -> whitened latent vector) from one randomised pass over all passages."""
-    none, kind, rank = items.none, items.kind, min(settings.rank, max(items.none, 1))
+    none, kind, rank = vocab.none, vocab.kind, min(settings.rank, max(vocab.none, 1))
     gauss = np.random.default_rng(settings.seed).standard_normal((none, rank)).astype(np.float32)
 
     def run(batches):
@@ -217,8 +252,10 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(terms: DataFrame, items: Items, idf: np.ndarray, projection: np.ndarray, settings: Settings) -> DataFrame:
-    none, kind = items.none, items.kind
+def _search(
+    terms: DataFrame, items: Items, kind: np.dtype, idf: np.ndarray, projection: np.ndarray, settings: Settings
+) -> DataFrame:
+    """row, n_items, covered, known (the item has an id), item (its id times -1) and answer of every row with an item."""
     inside = np.append(idf**2, 0.0)
     weight = np.append(idf**2, np.median(idf) ** 2)  # a word of no item weighs like the items' median word
     table = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
@@ -280,17 +317,19 @@ def _search(terms: DataFrame, items: Items, idf: np.ndarray, projection: np.ndar
     def run(batches):
         for batch in batches:
             out = []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = matches(np.frombuffer(raw, kind).astype(np.int64))
-                top = max(found, key=lambda x: (x[1], -x[0]), default=(None, 0.0, 0))
-                out.append((doc, len(found), top[0], top[1], bool(top[2])))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_items", "item_id", "covered", "answer"]
-            )
-
-    return terms.mapInArrow(run, "doc_id long, n_items long, item_id long, covered double, answer boolean")
+                if found:
+                    best = max((c, i is not None, -(i or 0), bool(a)) for i, c, a in found)
+                    out.append((row, len(found), *best))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    names = ["row", "n_items", "covered", "known", "item", "answer"]
+    return terms.select("row", "terms").mapInArrow(
+        run, "row long, n_items long, covered double, known boolean, item long, answer boolean"
+    )
 
 
 def decontaminate(
@@ -301,32 +340,37 @@ def decontaminate(
 
     Whole texts are searched; an item stands against all passages of about its
     length.  ``answer_col`` names the items' answers; without one the last
-    words of an item are its answer.  Items go with the tasks in blocks of
-    ``ITEMS_A_BLOCK``.  Null or empty texts and items match nothing; a null id
-    stays null; repeated rows give repeated results (the same one); other
-    columns are ignored; empty tables give no rows or no matches.
+    words of an item are its answer.  Every benchmark row is an item: one with
+    a null id contaminates and counts too, and item_id is null where it alone
+    is best covered (of equally covered items the smallest id is given).
+    Vocabulary, weights and latent space are the whole benchmark's; its
+    distinct words pass through the driver.  Items go with the tasks in blocks
+    of ``ITEMS_A_BLOCK``, whose size changes no result.  Null or empty texts
+    and items match nothing; a null id stays null; repeated rows give repeated
+    results (the same one); other columns are ignored; empty tables give no
+    rows or no matches.
     """
     small_batches(docs.sparkSession)
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    rows = benchmark.select(
+    bench = benchmark.select(
         F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"), answer.alias("a")
-    ).where("i is not null").orderBy("i", "t")
-    all_items = [(r.i, r.t, r.a) for r in rows.toLocalIterator()]
+    )
+    vocab = _vocabulary(bench)
+    terms = written(_terms(docs, vocab, id_col, text_col), "terms")
     found = None
-    for k in range(0, max(len(all_items), 1), ITEMS_A_BLOCK):
-        items = Items(all_items[k : k + ITEMS_A_BLOCK], settings)
-        terms = _terms(docs, items, id_col, text_col)
-        if not items.ids:
-            part = terms.selectExpr("doc_id", "0L n_items", "cast(null as long) item_id", "0D covered", "false answer")
-        else:
-            terms = written(terms, "terms")
-            idf = _idf(terms, items, PASSAGE)
-            part = _search(terms, items, idf, _latent(terms, items, idf, PASSAGE, settings), settings)
-        found = part if found is None else found.unionByName(part)
-    if len(all_items) > ITEMS_A_BLOCK:
-        found = found.groupBy("doc_id").agg(
-            F.sum("n_items").alias("n_items"), F.max_by("item_id", "covered").alias("item_id"),
-            F.max("covered").alias("covered"), F.max_by("answer", "covered").alias("answer"),
-        )
-    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "covered", "answer")
-
+    if vocab.none:
+        idf = _idf(terms, vocab, PASSAGE)
+        projection = _latent(terms, vocab, idf, PASSAGE, settings)
+        for rows in _blocks(bench):
+            items = Items(rows, vocab, settings)
+            if items.ids:
+                part = written(_search(terms, items, vocab.kind, idf, projection, settings), "found")
+                found = part if found is None else found.unionByName(part)
+    if found is None:
+        return terms.selectExpr("doc_id", "false contaminated", "0L n_items", "cast(null as long) item_id", "0D covered", "false answer")
+    best = found.groupBy("row").agg(F.sum("n_items").alias("n"), F.max(F.struct("covered", "known", "item", "answer")).alias("b"))
+    n = F.coalesce("n", F.lit(0))
+    return terms.select("row", "doc_id").join(best, "row", "left").select(
+        "doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), F.when(F.col("b.known"), -F.col("b.item")).alias("item_id"),
+        F.coalesce("b.covered", F.lit(0.0)).alias("covered"), F.coalesce("b.answer", F.lit(False)).alias("answer"),
+    )

@@ -222,6 +222,27 @@ def test_decontamination_of_short_items(spark, docs_of):
     assert all(got[i].item_id == i and got[i].covered == 1 for i, _ in items)
 
 
+def test_decontamination_in_blocks(spark, docs_of, monkeypatch):
+    """The block size changes no row: repeated rows, rows and items without an id, answers and ties."""
+    rnd = np.random.default_rng(12)
+    text = lambda n: " ".join(f"v{k}" for k in rnd.integers(0, 900, n))
+    texts = [text(int(rnd.integers(5, 60))) for _ in range(23)]
+    items = [(i if i % 5 else None, t) for i, t in enumerate(texts)] + [(77, texts[1]), (None, texts[2])]
+    rows = [(i, f"{text(40)} {t} {text(25)} {texts[(i + 7) % 23] if i % 3 else ''}") for i, t in enumerate(texts)]
+    rows += [(100 + i, text(200)) for i in range(10)] + [rows[4]] * 3 + [(None, t) for _, t in rows[:6]] * 2 + [(None, text(90))]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(rows)
+    run = lambda: sorted(map(str, op09_decontam.decontaminate(docs, bench).collect()))
+    whole = run()
+    got = op09_decontam.decontaminate(docs, bench).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 13
+    assert sum(r.contaminated for r in got) == 23 + 3 + 12 and {r.doc_id for r in got if not r.contaminated} == {*range(100, 110), None}
+    best = {r.doc_id: r for r in got}
+    assert best[1].item_id == 1 and best[1].n_items == 3  # twice in the benchmark, and its neighbour
+    assert best[0].item_id is None and best[0].covered == 1 and best[0].n_items == 1  # an item without an id
+    monkeypatch.setattr(op09_decontam, "ITEMS_A_BLOCK", 4)
+    assert run() == whole
+
+
 def test_pipeline(spark, docs_of, corpus, tmp_path):
     """The stages by hand on a small folder: quality, one of each group, no leak, mix, files."""
     import corpus_pipeline
