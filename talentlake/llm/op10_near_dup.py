@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from talentlake.llm.common import WordHash, as_bytes, mix64, small_batches, window_hashes, written
 from talentlake.llm.components import connected_components
+from talentlake.llm.op02_line_dedup import text_stamp
 
 ROWS, HALVES = 3, 14
 FLUSH = 1_000_000  # shingles a map task holds before it deals them out
@@ -57,7 +58,7 @@ def _signature(shingles: np.ndarray, rows: int, halves: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, rows: int, halves: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set (s1, s2) and the half-band hashes."""
+    """doc_id, stamp (of the text), n_shingles, a 128-bit key of the set (s1, s2) and the half-band hashes."""
     small_batches(docs.sparkSession)
 
     def sign(batches):
@@ -72,12 +73,12 @@ def signatures(docs: DataFrame, size: int, rows: int, halves: int, id_col: str,
                 s2.append(int.from_bytes(digest[8:], "little", signed=True))
                 bands.append(_signature(s, rows, halves).astype(np.int64) if len(s) else None)
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "stamp", "n_shingles", "s1", "s2", "bands"],
             )
 
-    rows_ = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return rows_.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    rows_ = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").withColumn("stamp", text_stamp(F.col("text")))
+    return rows_.mapInArrow(sign, "doc_id long, stamp long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def tensored_keys(classes: DataFrame, halves: int) -> DataFrame:
@@ -131,21 +132,59 @@ def near_duplicates(
     Sets: distinct ``size``-word shingles, with fewer words the whole sequence
     as one, without words empty and linked with nothing.  Two documents are
     linked at 100 * intersection >= percent * union; component_id is the
-    smallest doc_id reachable.  Equal sets are one class, of which only the
-    smallest doc_id is compared; a doc_id is expected to name one text.  Rows
-    with a null id are linked with nothing (component_id null, kept).  Repeated rows give repeated results.  Null text counts as
-    empty; other columns are ignored; an empty table gives an empty result.
+    smallest doc_id reachable.  Equal sets are one class, which is compared
+    once; texts that share a doc_id are compared each on its own.  Rows with a
+    null id are linked with nothing (component_id null, kept).  Repeated rows
+    give repeated results.  Null text counts as empty; other columns are
+    ignored; an empty table gives an empty result.
     """
     signed = written(signatures(docs, size, rows, halves, id_col, text_col), "signatures")
     known = signed.where("doc_id is not null and n_shingles > 0")
-    # Written, so that the joins below are plain ones, whose hot keys Spark can split.
-    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    heads = known.join(classes, ["s1", "s2"]).where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "bands")
+    linked = _linked(docs, known, size, percent, halves, id_col, text_col)
+    own = known.select("doc_id", "n_shingles", "s1", "s2").join(linked, ["s1", "s2"])
+    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = own.select("doc_id", "n_shingles", F.col("first_id").alias("component_id")).unionByName(rest)
+    return out.withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def row_marks(
+    docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, halves: int = HALVES,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row per distinct (doc_id, stamp of the text) that has words: doc_id, stamp, n_rows, kept.
+
+    Unlike ``near_duplicates`` all rows are compared, those without an id too,
+    and a single (doc_id, stamp) of each group is kept: that of the smallest
+    doc_id (null is the last), then of the smallest stamp.
+    """
+    signed = written(signatures(docs, size, rows, halves, id_col, text_col), "signatures")
+    known = signed.where("n_shingles > 0")
+    linked = _linked(docs, known, size, percent, halves, id_col, text_col)
+    distinct = known.groupBy("doc_id", "stamp", "s1", "s2").agg(F.count("*").alias("n_rows"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("stamp") == F.col("first_stamp"))
+    return written(distinct, "rows").join(linked, ["s1", "s2"]).select("doc_id", "stamp", "n_rows", kept.alias("kept"))
+
+
+def _linked(docs: DataFrame, known: DataFrame, size: int, percent: int, halves: int, id_col: str, text_col: str) -> DataFrame:
+    """s1, s2 of every class of ``known``, first_id and first_stamp: the first row of its component.
+
+    Nodes are numbers of the classes in the order of their first rows, so the
+    smallest node of a component leads to the component's first row.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "stamp")).alias("f")
+    ordered = known.groupBy("s1", "s2").agg(first).select("s1", "s2", "f.*").orderBy("nameless", "doc_id", "stamp", "s1", "s2")
+    # Written, so that the numbers hold and the joins below are plain ones, whose hot keys Spark can split.
+    classes = written(
+        ordered.select("s1", "s2", F.col("doc_id").alias("first_id"), F.col("stamp").alias("first_stamp"), F.monotonically_increasing_id().alias("node")),
+        "classes",
+    )
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("stamp") == F.col("first_stamp"))
+    heads = known.join(classes, ["s1", "s2"]).where(is_first).dropDuplicates(["node"]).select("node", "n_shingles", "bands")
     keys = tensored_keys(heads, halves)
     # Buckets of two classes or more; the smallest node is the first centre.
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     members = written(keys.join(buckets.select("key", "centre"), "key"), "members")
-    texts = _texts(docs, members, id_col, text_col)
+    texts = _texts(docs, classes, members, id_col, text_col)
 
     sizes = members.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
@@ -157,20 +196,18 @@ def near_duplicates(
     if not rest.isEmpty():
         links = links.unionByName(written(verified(rest, texts, size, percent), "links"))
         labels = connected_components(links)
-    linked = written(
-        classes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "linked"
-    )
-    own = known.select("doc_id", "n_shingles", "s1", "s2").join(linked, ["s1", "s2"])
-    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = own.select("doc_id", "n_shingles", "component_id").unionByName(rest)
-    return out.withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = written(classes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")), "components")
+    heads_of = classes.select(F.col("node").alias("component"), "first_id", "first_stamp")
+    return written(own.join(heads_of, "component").select("s1", "s2", "first_id", "first_stamp"), "linked")
 
 
-def _texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts of the classes that share a bucket, written once: all that later joins move."""
-    nodes = members.select("node").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null")
-    return written(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    nodes = classes.join(members.select("node").distinct(), "node").select("node", "first_id", "first_stamp")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_stamp(text).alias("stamp"), text.alias("text"))
+    on = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("stamp") == F.col("first_stamp"))
+    return written(rows.join(nodes, on).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:

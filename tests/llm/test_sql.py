@@ -78,3 +78,15 @@ def test_residual_pairs_are_complete(docs_of, spark, corpus):
     sets = {r.node: set(op10_near_dup.shingle_set(r.text.encode(), words, 4).tolist()) for r in texts.collect()}
     want = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert found == want and want
+
+
+def test_texts_that_share_an_id(docs_of):
+    """Each text of a repeated id has its own links: no copy is lost, no clean text marked."""
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(5, a), (5, b), (3, a + " end"), (7, b + " end"), (5, c), (8, c + " end"), (2, text("d"))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near(docs_of(order)).collect())
+        assert got == sorted([
+            (5, 37, 3, False), (5, 37, 5, True), (3, 38, 3, True), (7, 38, 5, False), (5, 37, 5, True), (8, 38, 5, False), (2, 37, 2, True)
+        ])
