@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from talentlake.llm.common import written
 
-# A candidate: at least 16 characters of keys, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{16,200}"
+# A candidate: a whole run of at least 16 characters of keys, of any length, with a digit anywhere.
+# Possessive, so each run is read once and long ones need no stack.
+CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 SPACES = r"[\x20\x09-\x0D]+"
 TRAINING_ROWS = 20_000  # labelled findings the forest is fitted on at most, drawn by hash
 DICTIONARY_DOCS = 20    # a dictionary word occurs in this many documents at least

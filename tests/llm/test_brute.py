@@ -1,5 +1,6 @@
 """Operators without SQL, against brute force, exact round trips or planted cases."""
 
+import hashlib
 import re
 import struct
 import zlib
@@ -157,6 +158,17 @@ def test_secrets(docs_of):
     assert [(r.score, r.is_secret) for r in one] == [(1.0, True)]
 
 
+def test_long_secrets_are_whole(docs_of):
+    """Runs over 200 characters are one candidate each, with the whole run's hash, wherever their digit stands."""
+    rnd = np.random.default_rng(6)
+    key = lambda n: "".join(rnd.choice(list("abcdefABCDEF0123456789+/"), n))
+    first = "7" + key(199)
+    runs = [key(200) + "1", key(4999) + "2", first + "x", first + "y", "a" * 300 + "5" + "b" * 20, "k" * 4000 + "9", "9" + "z" * 100_000]
+    rows = [(i, f'token = "{r}" and more') for i, r in enumerate(runs)] + [(50, "n" * 500 + " none")]
+    got = {r.doc_id: (r.length, r.sha256) for r in op05_secrets.scan_secrets(docs_of(rows)).collect()}
+    assert got == {i: (len(r), hashlib.sha256(r.encode()).hexdigest()) for i, r in enumerate(runs)}
+
+
 def test_forest_on_held_out_findings(docs_of):
     rnd = np.random.default_rng(4)
     rows = []
