@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import as_texts, small_batches, written
+from talentlake.llm.op02_line_dedup import text_stamp
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCALES = (*range(1, 12), 16, 32, 64)  # passage lengths; an item is compared with its nearest
@@ -115,7 +116,7 @@ def _blocks(bench: DataFrame):
 
 
 def _terms(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, terms and row, a key of the input row that holds once it is written."""
+    """doc_id, terms, stamp (of the text) and row, a key of the input row that holds once it is written."""
     rank, none, kind = vocab.rank, vocab.none, vocab.kind
 
     def run(batches):
@@ -125,11 +126,12 @@ def _terms(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Da
             for text in as_texts(batch.column(1)):
                 words = words_of(text)
                 out.append(np.fromiter((get(w, none) for w in words), kind, len(words)).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "terms"])
+            yield pa.record_batch(
+                [batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "terms", "stamp"]
+            )
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(
-        run, "doc_id long, terms binary"
-    )
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    rows = rows.withColumn("stamp", text_stamp(F.col("text"))).mapInArrow(run, "doc_id long, terms binary, stamp long")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -335,8 +337,10 @@ def _search(
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
+    stamp: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, contaminated, n_items, item_id (best covered), covered, answer.
+    """One row per input row: doc_id, contaminated, n_items, item_id (best covered), covered, answer;
+    with ``stamp`` the stamp of the row's text too, which tells apart rows of one id or of none.
 
     Whole texts are searched; an item stands against all passages of about its
     length.  ``answer_col`` names the items' answers; without one the last
@@ -357,7 +361,7 @@ def decontaminate(
     )
     vocab = _vocabulary(bench)
     terms = written(_terms(docs, vocab, id_col, text_col), "terms")
-    found = None
+    found, more = None, ("stamp",) if stamp else ()
     if vocab.none:
         idf = _idf(terms, vocab, PASSAGE)
         projection = _latent(terms, vocab, idf, PASSAGE, settings)
@@ -367,10 +371,12 @@ def decontaminate(
                 part = written(_search(terms, items, vocab.kind, idf, projection, settings), "found")
                 found = part if found is None else found.unionByName(part)
     if found is None:
-        return terms.selectExpr("doc_id", "false contaminated", "0L n_items", "cast(null as long) item_id", "0D covered", "false answer")
+        none = "false contaminated", "0L n_items", "cast(null as long) item_id", "0D covered", "false answer"
+        return terms.selectExpr("doc_id", *none, *more)
     best = found.groupBy("row").agg(F.sum("n_items").alias("n"), F.max(F.struct("covered", "known", "item", "answer")).alias("b"))
     n = F.coalesce("n", F.lit(0))
-    return terms.select("row", "doc_id").join(best, "row", "left").select(
+    return terms.select("row", "doc_id", *more).join(best, "row", "left").select(
         "doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), F.when(F.col("b.known"), -F.col("b.item")).alias("item_id"),
         F.coalesce("b.covered", F.lit(0.0)).alias("covered"), F.coalesce("b.answer", F.lit(False)).alias("answer"),
+        *more,
     )

@@ -275,3 +275,32 @@ def test_pipeline(spark, docs_of, corpus, tmp_path):
     assert states[4].count() == sum(r.copies for r in taken)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(out) == states[4].count() and {r.doc_id for r in out} == ids[4]
+
+
+def test_pipeline_rows_without_or_with_one_id(spark, docs_of, tmp_path):
+    """Null and repeated ids through every stage: each text is decided on its own, one row of a group stays."""
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(14)
+    text = lambda n=60: " ".join(f"w{k}" for k in rnd.integers(0, 3000, n))
+    leak, a, b, c, d, e, f = text(20), text(), text(), text(), text(), text(), text()
+    rows = [(None, f"{text(30)} {leak} {text(30)}"), (None, a), (None, a), (None, a + " end"), (None, b), (1, b + " end")]
+    rows += [(2, c), (2, c), (2, d), (3, d + " end"), (2, f"{text(30)} {leak}"), (4, e), (None, f), (2, "too short"), (None, None)]
+    docs_of(rows).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    state = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    states = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        state = stage(spark, state, str(tmp_path))
+        states.append([(r.doc_id, r.text) for r in state.collect()])
+    assert sorted(states[0], key=str) == sorted(rows[:-2], key=str)
+    one_a = [r for r in states[1] if r in rows[1:4]]
+    assert len(one_a) == 1 and sorted([r for r in states[1] if r not in one_a], key=str) == sorted(
+        [rows[0], (1, b + " end"), (2, c), (2, d), rows[10], (4, e), (None, f)], key=str
+    )
+    assert sorted(states[2], key=str) == sorted([r for r in states[1] if r not in (rows[0], rows[10])], key=str)
+    mixed = corpus_pipeline.mix(spark, state, str(tmp_path))
+    kept = [(r.doc_id, r.text) for r in mixed.collect()]
+    assert set(kept) <= set(states[2])
+    files = corpus_pipeline.token_files(spark, mixed, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in files), key=str) == sorted((k for k, _ in kept), key=str)
