@@ -103,12 +103,18 @@ def weak_labels(rows: DataFrame) -> DataFrame:
 
 
 def fit_forest(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 20, depth: int = 6, seed: int = 7):
-    """Random forest on at most ``rows`` labelled findings (those with the smallest hashes); None
-    unless both labels occur."""
-    order = F.xxhash64("candidate", "doc_id", "word", "nth")
-    sample = written(labelled.orderBy(order, "candidate", "doc_id", "word", "nth").limit(rows).select(*FEATURES, "label"), "findings")
-    if sample.select("label").distinct().count() < 2:
+    """Random forest on at most ``rows`` labelled findings: half of each label (those with the
+    smallest hashes), more where the other label has fewer; None unless both labels occur."""
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return None
+    order = F.xxhash64("candidate", "doc_id", "word", "nth")
+    drawn = None
+    for label, n in sorted(counts.items()):
+        take = min(n, max(rows // 2, rows - (sum(counts.values()) - n)))
+        part = labelled.where(F.col("label") == label).orderBy(order, "candidate", "doc_id", "word", "nth").limit(take)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    sample = written(drawn.select(*FEATURES, "label"), "findings")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample.coalesce(1))
 
