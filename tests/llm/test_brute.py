@@ -184,13 +184,13 @@ def test_forest_on_held_out_findings(docs_of):
 
 def test_forest_sample_holds_rare_labels(docs_of):
     """A few positives among many negatives are all drawn, so the forest is fitted and finds them."""
-    rnd = np.random.default_rng(8)
+    rnd = np.random.default_rng(31)
     key = lambda: "".join(rnd.choice(list("0123456789abcdef"), 32))
     rows = [(i, f'set api_key = "{key()}" here') for i in range(4)]
     rows += [(10 + i, f"order number {rnd.integers(10**15, 10**16)} was sent") for i in range(400)]
     found = op05_secrets.features(op05_secrets.candidates(docs_of(rows)), op05_secrets.dictionary(docs_of(rows)))
     labelled = found.withColumn("label", (F.col("doc_id") < 10).cast("double"))
-    model = op05_secrets.fit_forest(labelled, rows=16)
+    model = op05_secrets.fit_forest(labelled, rows=8)
     assert model is not None
     assert model.transform(labelled.where("doc_id < 10")).where("prediction = 1").count() == 4
 
