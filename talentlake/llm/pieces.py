@@ -36,7 +36,7 @@ def _plain_pattern(pattern: str) -> re.Pattern:
 class PieceEncoder:
     """Encodes with one tokenizer file; created once per Python worker."""
 
-    MEMO = 700_000  # pre-tokens kept at most
+    MEMO = 700_000  # pre-tokens whose lengths are kept at most
     _made: dict[str, PieceEncoder] = {}
 
     @classmethod
@@ -45,16 +45,21 @@ class PieceEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @classmethod
+    def release(cls) -> None:
+        """Let go of this worker's encoders and their memos."""
+        cls._made.clear()
+
     def __init__(self, path: str):
         self._lengths: dict[str, int] = {}
-        self._bytes: dict[str, bytes] = {}
-        self._word_bytes = _Memo(self._pack_word)
+        self._word_bytes = BoundedMemo(self._pack_word)
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.vocab, self.mode = model.get_piece_size(), "whole"
             self._encode = lambda texts: model.encode(texts, num_threads=1) if texts else []
+            self._pack = _packer(self.id_type)
             return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -91,21 +96,20 @@ class PieceEncoder:
         """
         out: list = [None] * len(texts)
         words, rest = self._word_bytes, []
-        if len(words) > self.MEMO:
-            _shrink(words, self.MEMO)
+        words.shrink()
         for k, text in enumerate(texts):
             if self.mode != "whole" and self._is_plain(text):
                 out[k] = b"".join(map(words.__getitem__, self._words(text)))
             else:
                 rest.append(k)
         if rest:
-            for k, raw in zip(rest, self._each([texts[k] for k in rest], self._bytes, _packer(self.id_type), b"".join)):
+            for k, raw in zip(rest, self._each([texts[k] for k in rest], {}, self._pack, b"".join)):
                 out[k] = raw
         return out
 
     def _pack_word(self, word: str) -> bytes:
         """Ids of one pre-token; byte-level models read its bytes as printable characters."""
-        return self._pack([t.id for t in self._model.tokenize("".join(map(_BYTE_CHARS.__getitem__, word.encode())))])
+        return self._pack([t.id for t in self._model.tokenize("".join(map(BYTE_CHARS.__getitem__, word.encode())))])
 
     def _is_plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
@@ -138,17 +142,35 @@ class PieceEncoder:
         return pieces if self.mode == "drop" else [pieces[0], *(" " + p for p in pieces[1:])]
 
 
-class _Memo(dict):
-    """Values by key, made on first use."""
+class BoundedMemo(dict):
+    """Bytes by key, made on first use; bounded in bytes, and long keys are not kept."""
+
+    LIMIT = 48 << 20
+    LONGEST = 48
+    ENTRY = 220  # a key's and a value's object and their place in the table
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
-    def __missing__(self, key: str):
-        value = self[key] = self.make(key)
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self[key] = value
+            self.size += len(key) + len(value) + self.ENTRY
         return value
 
+    def shrink(self) -> None:
+        """Beyond the limit, keep the short keys, which are the frequent ones, if they are under half of it."""
+        if self.size > self.LIMIT:
+            short = {k: v for k, v in self.items() if len(k) <= 9}
+            size = sum(len(k) + len(v) + self.ENTRY for k, v in short.items())
+            self.clear()
+            self.size = 0
+            if size <= self.LIMIT // 2:
+                self.update(short)
+                self.size = size
+
 
 def _shrink(memo: dict, limit: int) -> None:
     """Keep the short pre-tokens, which are the frequent ones."""
@@ -166,7 +188,12 @@ def _byte_chars() -> list[str]:
     return [chr(b if b in own else next(other)) for b in range(256)]
 
 
-_BYTE_CHARS = _byte_chars()
+BYTE_CHARS = _byte_chars()
+
+
+def id_width(path: str) -> int:
+    """Bytes of an id in payload files: 2 where the vocabulary allows, else 4."""
+    return PieceEncoder(path).id_type.itemsize
 
 
 def _packer(kind: np.dtype):

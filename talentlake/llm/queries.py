@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talentlake.llm import op01_license, op02_line_dedup, op03_mixing, op04_token_counts, op05_secrets
 from talentlake.llm import op06_token_files, op07_quality, op08_substring, op09_decontam, op10_near_dup
+from talentlake.llm import op11_alignment, op12_hard_negatives, op13_fingerprints
 from talentlake.llm.common import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +182,49 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_near_dup.near_duplicates(documents(spark, sf_dir), size=SHINGLE_WORDS, percent=80)
 
 
+@register("op11_alignment")
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = op11_alignment.align(documents(spark, sf_dir), *paths)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@register("op12_hard_negatives", OP12_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return op12_hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=5, low=80, high=100, label=label)
+
+
+@register("op13_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op13_fingerprints.edited_likeness(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
