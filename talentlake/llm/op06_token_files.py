@@ -6,7 +6,8 @@ Files below one folder:
   allows, else 32), documents in ascending doc_id order, shards in range order;
 * ``index/bucket-*.mph``: minimal perfect hash of the keys of one hash bucket,
   with a fingerprint, shard, offset and length per slot;
-* ``entries`` and ``shards``: Parquet tables of all documents and shards.
+* ``entries`` and ``shards``: Parquet tables of all documents and shards; the
+  latter says how wide the ids are, so readers need no tokenizer.
 
 A key is (doc_id, copy): copy counts the rows of one doc_id from 0.  Files are
 written by ``pyarrow.fs`` under a name of their own per task attempt; only
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import as_texts, mix64, shared_path, small_batches
-from talentlake.llm.pieces import PieceEncoder, by_bytes
+from talentlake.llm.pieces import PieceEncoder, by_bytes, id_width
 
 MAGIC = b"TLMPH001"
 KEYS_A_BUCKET = 100_000
@@ -185,7 +186,8 @@ def write_corpus(
     # As many rows as shards: their ids' running sum places every shard in the whole id stream.
     shards = kept.groupBy("shard", "file").agg(F.sum("length").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{root}/shards")
+    placed = shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    placed.withColumn("id_width", F.lit(id_width(tokenizer))).write.parquet(f"{root}/shards")
     return root
 
 
@@ -241,26 +243,32 @@ def lookup(keys: DataFrame, root: str) -> DataFrame:
                     names=["doc_id", "copy", "shard", "offset", "length"],
                 )
 
+    # all keys of a bucket in one task, so that each index file is read once
     routed = keys.select("doc_id", "copy").withColumn("bucket", _bucket(n_buckets)).join(files.drop("n_buckets"), "bucket")
-    return routed.sortWithinPartitions("bucket").select("doc_id", "copy", "file").mapInArrow(
+    return routed.repartition("bucket").sortWithinPartitions("bucket").select("doc_id", "copy", "file").mapInArrow(
         find, "doc_id long, copy long, shard long, offset long, length long"
     )
 
 
-def read_ids(places: DataFrame, root: str, tokenizer: str) -> DataFrame:
+def _shards(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("shard long, file string, n_ids long, start long, id_width int").parquet(f"{root}/shards")
+
+
+def read_ids(places: DataFrame, root: str) -> DataFrame:
     """doc_id, copy, start, n_tokens and ids_crc32 (ids as little-endian 32-bit integers) of each
     place, read from the payload; ``start`` counts the ids of all documents before."""
     spark = places.sparkSession
     local = _open(root)[1]
-    shards = spark.read.schema("shard long, file string, n_ids long, start long").parquet(f"{root}/shards")
+    shards = _shards(spark, root)
 
     def read(batches):
-        kind = PieceEncoder.at(tokenizer).id_type
+        PieceEncoder.release()  # of a worker that has written before
         name, source = None, None
         for batch in batches:
             t = batch.to_pydict()
             crcs = []
-            for file, offset, length in zip(t["file"], t["offset"], t["length"]):
+            for file, offset, length, width in zip(t["file"], t["offset"], t["length"], t["id_width"]):
+                kind = np.dtype(f"<u{width}")
                 if file != name:
                     if source is not None:
                         source.close()
@@ -275,14 +283,14 @@ def read_ids(places: DataFrame, root: str, tokenizer: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    rows = places.select("doc_id", "copy", "shard", "offset", "length").join(shards.select("shard", "file", "start"), "shard")
+    rows = places.select("doc_id", "copy", "shard", "offset", "length").join(shards.select("shard", "file", "start", "id_width"), "shard")
     rows = rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return rows.select("doc_id", "copy", "offset", "file", "length", "start").mapInArrow(
+    return rows.select("doc_id", "copy", "offset", "file", "length", "start", "id_width").mapInArrow(
         read, "doc_id long, copy long, start long, n_tokens long, ids_crc32 long"
     )
 
 
-def corpus_rows(docs: DataFrame, root: str, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
+def corpus_rows(docs: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of ``docs``, read back through the index
     (rows without an id, which have no key, through their entries)."""
     spark = docs.sparkSession
@@ -291,18 +299,17 @@ def corpus_rows(docs: DataFrame, root: str, tokenizer: str, id_col: str = "doc_i
     keys = copies.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     entries = spark.read.schema("doc_id long, copy long, shard long, offset long, length long, file string").parquet(f"{root}/entries")
     nameless = entries.where("doc_id is null").select("doc_id", "copy", "shard", "offset", "length")
-    return read_ids(lookup(keys, root).unionByName(nameless), root, tokenizer).drop("copy")
+    return read_ids(lookup(keys, root).unionByName(nameless), root).drop("copy")
 
 
-def open_key(spark: SparkSession, root: str, tokenizer: str, doc_id: int, copy: int = 0) -> np.ndarray | None:
+def open_key(spark: SparkSession, root: str, doc_id: int, copy: int = 0) -> np.ndarray | None:
     """The ids of one document by keyed access, or None."""
     keys = spark.range(1).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(copy).cast("long").alias("copy"))
     hit = lookup(keys, root).first()
     if hit is None:
         return None
-    shards = spark.read.schema("shard long, file string, n_ids long, start long").parquet(f"{root}/shards")
-    file = shards.where(F.col("shard") == hit["shard"]).first()["file"]
-    kind = PieceEncoder.at(tokenizer).id_type
+    shard = _shards(spark, root).where(F.col("shard") == hit["shard"]).first()
+    kind = np.dtype(f"<u{shard['id_width']}")
     fs, local = _open(root)
-    with fs.open_input_file(f"{local}/payload/{file}") as f:
+    with fs.open_input_file(f"{local}/payload/{shard['file']}") as f:
         return np.frombuffer(f.read_at(hit["length"] * kind.itemsize, hit["offset"] * kind.itemsize), kind)

@@ -81,7 +81,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokenizer = documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
     root = op06_token_files.write_corpus(docs, tokenizer, END_ID)
-    return op06_token_files.corpus_rows(docs, root, tokenizer)
+    return op06_token_files.corpus_rows(docs, root)
 
 
 OP7_SQL = r"""

@@ -95,7 +95,7 @@ def test_token_files(spark, docs_of):
     rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(6, ODD[2]), (None, "no id here"), (None, "nor here")]
     docs = docs_of(rows)
     root = op06_token_files.write_corpus(docs, path, 2)
-    got = sorted(map(tuple, op06_token_files.corpus_rows(docs, root, path).collect()), key=lambda r: r[1])
+    got = sorted(map(tuple, op06_token_files.corpus_rows(docs, root).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k))
     text, start = dict(rows[: len(ODD)]), 0
     for doc_id, begin, n, crc in got:
@@ -104,10 +104,26 @@ def test_token_files(spark, docs_of):
         if doc_id is not None:
             ids = [*tok.encode(text[doc_id] or "", add_special_tokens=False).ids, 2]
             assert (n, crc) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
-    assert op06_token_files.open_key(spark, root, path, 9).tolist() == [*tok.encode(ODD[3], add_special_tokens=False).ids, 2]
-    assert op06_token_files.open_key(spark, root, path, 10) is None
+    assert op06_token_files.open_key(spark, root, 9).tolist() == [*tok.encode(ODD[3], add_special_tokens=False).ids, 2]
+    assert op06_token_files.open_key(spark, root, 10) is None
     empty = docs_of([])
-    assert op06_token_files.corpus_rows(empty, op06_token_files.write_corpus(empty, path, 2), path).count() == 0
+    assert op06_token_files.corpus_rows(empty, op06_token_files.write_corpus(empty, path, 2)).count() == 0
+
+
+def test_each_index_file_is_read_once(spark, docs_of, monkeypatch):
+    """Keys of a bucket meet in one task: with many buckets, as many file reads as buckets, and long words are not kept."""
+    monkeypatch.setattr(op06_token_files, "KEYS_A_BUCKET", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = docs_of([(i, f"text number {i}") for i in range(600)])
+    root = op06_token_files.write_corpus(docs.repartition(7), path, 2)
+    keys = docs.selectExpr("doc_id", "0L copy").repartition(9)
+    n_buckets = spark.read.parquet(f"{root}/index_files").count()
+    found = op06_token_files.lookup(keys, root).withColumn("task", F.spark_partition_id()).withColumn("bucket", op06_token_files._bucket(n_buckets))
+    assert n_buckets == 15 and found.select("bucket", "task").distinct().count() == n_buckets and found.count() == 600
+    assert op06_token_files.corpus_rows(docs, root).count() == 600
+    encoder = PieceEncoder(path)
+    encoder.id_bytes(["x" * 500 + " short"])
+    assert list(encoder._word_bytes) == ["short"]
 
 
 def test_source_targets():
