@@ -70,7 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id shards and their index; one row per document, read back from the files, with or without an id."""
     tokenizer = public_tokenizers.path(TOKENIZER)
-    return op06_token_files.corpus_rows(docs, op06_token_files.write_corpus(docs, tokenizer, END_ID), tokenizer)
+    return op06_token_files.corpus_rows(docs, op06_token_files.write_corpus(docs, tokenizer, END_ID))
 
 
 STAGES = [
