@@ -222,9 +222,15 @@ def json_field(col: ColumnOrName, name: str) -> Column:
     return F.get_json_object(_c(col), f"$.{name}")
 
 
-def clamp(value: int | None, default: int, low: int, high: int) -> int:
-    """``least(greatest(coalesce(value, default), low), high)`` on the driver."""
-    return min(max(default if value is None else int(value), low), high)
+def clamp(value: int | None, default: int | None, low: int, high: int | None) -> int | None:
+    """``least(greatest(coalesce(value, default), low), high)`` on the driver.
+
+    Without a ceiling (``high`` None), a value that is not given and has no default is no limit at all (None).
+    """
+    given = default if value is None else int(value)
+    if given is None:
+        return high
+    return max(given, low) if high is None else min(max(given, low), high)
 
 
 def clean_stage_list(col: ColumnOrName) -> Column:

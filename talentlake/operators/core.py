@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talentlake.config import DEFAULT_STAGES, STATUS_ACTIVE, STATUS_HIRED, STATUS_REJECTED, StageConfig
 from talentlake.functions.scalar import in_set, lookup, stage_rank, surrogate_key, whole_units_between
-from talentlake.functions.windows import lag_by_key
+from talentlake.functions.windows import HotKeys, lag_by_key
 
 
 def dim_candidate(stg_candidates: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def fact_stage_transition(
     fact_app: DataFrame,
     stages: StageConfig = DEFAULT_STAGES,
     id_hash: str = "xxhash64",
-    bucket_seconds: int = 86_400,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """C14: interval between consecutive events of an application.
 
@@ -161,6 +161,7 @@ def fact_stage_transition(
     without one or without a previous stage are dropped. Durations are whole
     hours; days = hours / 24. ``sla_met`` is NULL for stages without a target.
 
+    ``hot``: applications whose events are split over tasks (default: a sketch of the events).
     ``id_hash``: ``xxhash64`` (64-bit surrogate) or ``md5`` (text, engine-portable).
     """
     # a row without a time ends no interval and starts none
@@ -170,7 +171,7 @@ def fact_stage_transition(
     )
     events = lag_by_key(
         events, "application_id", "event_at", event_order_tiebreak(stages), ["event_at"],
-        bucket_seconds=bucket_seconds, prefix="previous_",
+        prefix="previous_", hot=hot,
     )
     owned = in_set("previous_stage", stages.owned)
     hours = whole_units_between("HOUR", F.col("previous_event_at"), F.col("event_at"))

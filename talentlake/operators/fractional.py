@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from talentlake.config import DEFAULT_STAGES, StageConfig
 from talentlake.functions.scalar import fractional_hours_between, full_name, in_set, lookup, safe_rate, safe_timestamp
-from talentlake.functions.windows import lag_by_key, latest_per_key
+from talentlake.functions.windows import hot_keys, lag_by_key, latest_per_key
 from talentlake.operators.core import event_order_tiebreak
 from talentlake.operators.staging import EVENT_DEDUP_KEY, stg_events_typed
 
@@ -60,16 +60,16 @@ TRANSITION_COLUMNS = (
 )
 
 
-def stage_transitions(raw_events: DataFrame, stages: StageConfig = DEFAULT_STAGES,
-                      bucket_seconds: int = 86_400) -> DataFrame:
+def stage_transitions(raw_events: DataFrame, stages: StageConfig = DEFAULT_STAGES) -> DataFrame:
     """One row per distinct event with the time since the application's previous event."""
     typed = stg_events_typed(raw_events)
     distinct = latest_per_key(typed, EVENT_DEDUP_KEY, [F.col("ingested_at"), F.col("_ingestion_batch_id")])
     ev = distinct.select(
         "application_id", "action", "previous_status", "current_status", "previous_stage", "current_stage", "event_at",
     )
-    ev = lag_by_key(ev, "application_id", "event_at", event_order_tiebreak(stages), ["event_at"],
-                    bucket_seconds=bucket_seconds, prefix="entered_")
+    order = event_order_tiebreak(stages)
+    hot = hot_keys(typed, "application_id", "event_at", order)
+    ev = lag_by_key(ev, "application_id", "event_at", order, ["event_at"], prefix="entered_", hot=hot)
     stage = F.coalesce(F.col("previous_stage"), F.col("current_stage"))
     hours = fractional_hours_between(F.col("entered_event_at"), F.col("event_at"))
     days = hours / F.lit(24.0)

@@ -6,7 +6,7 @@ duplicate event deliveries, keeping the latest load.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentlake.functions.scalar import full_name, safe_double, safe_long, safe_timestamp
@@ -46,6 +46,14 @@ def stg_events_typed(raw_events: DataFrame) -> DataFrame:
     )
 
 
+def event_load_order() -> list[Column]:
+    """Complete order of deliveries of one event: load time, then the remaining columns."""
+    return [F.col(c) for c in (
+        "ingested_at", "_ingestion_batch_id", "organization_id", "organization_name", "rejected_at", "rejection_reason",
+        "rejection_details", "_source_system", "_source_object", "_loaded_by",
+    )]
+
+
 def stg_events(raw_events: DataFrame) -> DataFrame:
     """Typed events, one row per 7-column key, latest load wins.
 
@@ -53,20 +61,7 @@ def stg_events(raw_events: DataFrame) -> DataFrame:
     is deterministic. Implemented as a grouped ``max_by`` (skew-safe: copies
     are merged before the shuffle).
     """
-    typed = stg_events_typed(raw_events)
-    order = [
-        F.col("ingested_at"),
-        F.col("_ingestion_batch_id"),
-        F.col("organization_id"),
-        F.col("organization_name"),
-        F.col("rejected_at"),
-        F.col("rejection_reason"),
-        F.col("rejection_details"),
-        F.col("_source_system"),
-        F.col("_source_object"),
-        F.col("_loaded_by"),
-    ]
-    return latest_per_key(typed, EVENT_DEDUP_KEY, order)
+    return latest_per_key(stg_events_typed(raw_events), EVENT_DEDUP_KEY, event_load_order())
 
 
 def stg_applications(raw: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from talentlake.config import DEFAULT_STAGES, StageConfig
+from talentlake.functions.windows import HotKeys, hot_keys
 from talentlake.operators import core, marts, staging
 
 STAGING_MODELS = ("stg_events", "stg_applications", "stg_candidates", "stg_jobs", "stg_offers", "stg_openings")
@@ -31,13 +32,13 @@ class Warehouse:
     """Models over one set of raw tables (``raw[name]`` → all-string DataFrame)."""
 
     def __init__(self, raw: Mapping[str, DataFrame], stages: StageConfig = DEFAULT_STAGES, as_of=None,
-                 transition_id_hash: str = "xxhash64", lag_bucket_seconds: int = 86_400,
+                 transition_id_hash: str = "xxhash64",
                  overrides: Mapping[str, DataFrame] | None = None):
         self.raw = raw
         self.stages = stages
         self.as_of = as_of
         self.transition_id_hash = transition_id_hash
-        self.lag_bucket_seconds = lag_bucket_seconds
+        self.written_events = "stg_events" in (overrides or {})
         # materialised models (e.g. published core tables) replace their definition
         for name, df in (overrides or {}).items():
             self.__dict__[name] = df
@@ -70,6 +71,12 @@ class Warehouse:
     def stg_openings(self) -> DataFrame:
         return staging.stg_openings(self.raw["openings"])
 
+    @cached_property
+    def event_hot_keys(self) -> HotKeys:
+        """Applications whose events are split: sketched from the written events, or else before the de-duplication."""
+        events = self.stg_events if self.written_events else staging.stg_events_typed(self.raw["application_events"])
+        return hot_keys(events, "application_id", "event_at", core.event_order_tiebreak(self.stages))
+
     # -- core --
     @cached_property
     def dim_candidate(self) -> DataFrame:
@@ -103,7 +110,7 @@ class Warehouse:
     def fact_stage_transition(self) -> DataFrame:
         return core.fact_stage_transition(
             self.stg_events, self.fact_application, self.stages,
-            id_hash=self.transition_id_hash, bucket_seconds=self.lag_bucket_seconds,
+            id_hash=self.transition_id_hash, hot=self.event_hot_keys,
         )
 
     # -- marts --

@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentlake.functions.windows import lag_by_key, latest_per_key
+from talentlake.functions import windows
+from talentlake.functions.windows import first_rows, hot_keys, lag_by_key, latest_per_key
 
 
 def _events(spark, n=600, seed=7):
@@ -20,15 +21,21 @@ def _events(spark, n=600, seed=7):
     return spark.createDataFrame(rows, "k long, ts timestamp, tb int, id int, v string")
 
 
+def _hot(df, tiebreak, **how):
+    return hot_keys(df, "k", "ts", tiebreak, **{"small_bytes": 0, **how})
+
+
 def test_lag_by_key_equals_window_lag(spark):
     df = _events(spark)
     tiebreak = [F.col("tb"), F.col("id")]
     w = Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_first(), F.col("tb").asc_nulls_first(), F.col("id").asc_nulls_first())
     expected = {r.id: (r.lag_v, r.lag_ts) for r in df.select("id", F.lag("v").over(w).alias("lag_v"), F.lag("ts").over(w).alias("lag_ts")).collect()}
-    for bucket in (3600, 86_400, 7 * 86_400):
-        got = lag_by_key(df, "k", "ts", tiebreak, ["v", "ts"], bucket_seconds=bucket)
-        actual = {r.id: (r.lag_v, r.lag_ts) for r in got.collect()}
-        assert actual == expected, bucket
+    for least in (1, 70, 10**9):  # every key split, the largest only, none
+        hot = _hot(df, tiebreak, min_rows=least)
+        assert (hot.table is None) == (least == 10**9)
+        got = lag_by_key(df, "k", "ts", tiebreak, ["v", "ts"], hot=hot)
+        assert got.columns == [*df.columns, "lag_v", "lag_ts"]
+        assert {r.id: (r.lag_v, r.lag_ts) for r in got.collect()} == expected, least
 
 
 def test_latest_per_key_equals_row_number(spark):
@@ -39,24 +46,43 @@ def test_latest_per_key_equals_row_number(spark):
     assert got == expected
 
 
-def test_lag_plan_has_no_unpartitioned_window(spark):
-    df = _events(spark)
-    plan = lag_by_key(df, "k", "ts", [F.col("id")], ["v"])._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_key_is_split_by_time_bucket(spark):
-    """One key with most rows: the window exchange partitions on (key, bucket), so the hot key spans tasks."""
-    base = datetime(2024, 1, 1)
-    rows = [(1, base + timedelta(hours=i), i, "x") for i in range(2000)] + [(2, base, 0, "y")]
-    df = spark.createDataFrame(rows, "k long, ts timestamp, id int, v string")
-    out = lag_by_key(df, "k", "ts", [F.col("id")], ["v"])
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    window_exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(_pk" in line]
-    assert window_exchanges and all("_bucket" in line or "_pn" in line for line in window_exchanges)
-    buckets = df.filter("k = 1").select(F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))).distinct().count()
-    assert buckets > 80  # 2000 hourly rows → ~84 day buckets, i.e. ~84 window groups instead of one
-    assert out.filter("k = 1 AND lag_v IS NULL").count() == 1  # still exactly one first row
+def test_lag_reads_and_shuffles_once(spark, tmp_path):
+    """Without hot keys: one scan, one exchange, one window."""
+    _events(spark).write.parquet(f"{tmp_path}/e")
+    plan = _plan(lag_by_key(spark.read.parquet(f"{tmp_path}/e"), "k", "ts", [F.col("id")], ["v"]))
+    assert plan.count("FileScan") == plan.count("Exchange") == 1 and "SinglePartition" not in plan
+
+
+def test_hot_key_of_one_day_is_spread(spark):
+    """One key holds 90% of the rows, all on one day and many at one instant: its largest part stays small."""
+    rows = spark.range(60_000).selectExpr(
+        "if(id % 10 = 0, id, 1) k", "timestamp_micros(1704067200000000 + if(id % 3 = 0, 0, id * 400000)) ts", "cast(id as int) id", "cast(id as string) v")
+    hot = _hot(rows, [F.col("id")], min_rows=20_000)
+    assert [len(r._cuts) > 500 for r in hot.table.collect()] == [True]
+    out = lag_by_key(rows, "k", "ts", [F.col("id")], ["id"], hot=hot)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = rows.withColumn("lag_id", F.lag("id").over(w))
+    assert out.exceptAll(want).isEmpty() and out.count() == 60_000
+    own = F.struct(F.unix_micros("ts").alias("t"), F.col("id").alias("b0"))
+    parts = rows.where("k = 1").join(hot.table, F.xxhash64("k") == F.col("_h")).groupBy(windows._cuts_up_to("_cuts", own)).count()
+    assert parts.agg(F.max("count")).first()[0] < 0.01 * 54_000
+    plan = _plan(out)
+    assert all("_range" in line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line)
+
+
+def test_first_rows(spark):
+    """A large limit is cut from a sorted table and gives the same rows as a top-k; no limit gives all."""
+    df = spark.range(50_000).selectExpr("id", "id % 7 g").repartition(6)
+    order = [F.col("g").desc(), F.col("id")]
+    want = {r.id for r in df.orderBy(*order).limit(30_000).collect()}
+    got = first_rows(df, order, 30_000)
+    assert "TakeOrdered" not in _plan(got) and {r.id for r in got.collect()} == want
+    assert first_rows(df, order, 10).count() == 10 and first_rows(df, order, None).count() == first_rows(df, order, 60_000).count() == 50_000
+    assert first_rows(df, order, 0).count() == 0
 
 
 def test_text_key(spark):
