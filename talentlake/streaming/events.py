@@ -1,31 +1,34 @@
 """Incremental event ingestion with Structured Streaming.
 
-* T1 ``dedup_stream``: typed events, duplicates on the 7-column key dropped
-  within a watermark (state is bounded by the watermark). A stream keeps
-  the *first* arrival where the batch model keeps the latest load; only
-  non-key columns can differ.
+* T1 ``LatestEvents``: a ``foreachBatch`` sink that keeps the batch model's
+  staged events current in a bucketed table: per 7-column key the latest load,
+  so a later delivery replaces the earlier one however late it comes.  A batch
+  rewrites the buckets it touches.  ``dedup_stream`` is the bounded form: it
+  keeps the *first* arrival and forgets keys behind the watermark.
 * T2 ``funnel_stream``: distinct (application, stage) pairs, counted per
-  stage; the state holds one entry per pair (bounded by applications × stages).
-* T3 ``TransitionsUpdater``: a ``foreachBatch`` sink. Each micro-batch is
-  written to an events table under its batch id (a retried batch replaces
-  itself), partitioned by a hash bucket of the typed application id; the
-  stage transitions of the touched buckets are rebuilt from all their events
-  (so late and re-delivered events are handled) and written with dynamic
-  partition overwrite into buckets of the same hash, so a batch rewrites
-  exactly the buckets it touched.
+  stage; the state holds one entry per pair (bounded by applications x stages).
+* T3 ``TransitionsUpdater``: a ``foreachBatch`` sink over two bucketed tables.
+  A batch is appended to the event log under its id; the stage transitions of
+  the touched buckets are rebuilt from all their events (so late and
+  re-delivered events are handled) and replace these buckets in one commit.
+  The log is compacted when a bucket has many folders.
+
+Every write is a commit with the batch's id: a killed batch is repeated without
+doubling rows, and readers see whole batches only.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.config import DEFAULT_STAGES, StageConfig
-from talentlake.functions.scalar import safe_long
 from talentlake.operators import core, marts, staging
+from talentlake.sources.buckets import BucketedTable
 from talentlake.sources.raw import RAW_COLUMNS, METADATA_COLUMNS, string_schema
 
 RAW_EVENT_COLUMNS = tuple(RAW_COLUMNS["application_events"]) + METADATA_COLUMNS
@@ -41,7 +44,7 @@ def read_event_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def dedup_stream(raw_stream: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Typed events without duplicate deliveries (within ``watermark`` of event time)."""
+    """T1, bounded form: the first delivery of each event; later ones within ``watermark`` of event time are dropped."""
     typed = staging.stg_events_typed(raw_stream)
     return typed.withWatermark("event_at", watermark).dropDuplicatesWithinWatermark(list(staging.EVENT_DEDUP_KEY))
 
@@ -58,38 +61,52 @@ def funnel_stream(raw_stream: DataFrame, stages: StageConfig = DEFAULT_STAGES) -
     )
 
 
-def bucket_of(application_id, buckets: int):
-    """Bucket of a typed (bigint) application id; both T3 tables use it."""
-    return F.pmod(F.xxhash64(application_id.cast("bigint")), F.lit(buckets)).cast("int")
+TYPED_APPLICATION = "try_cast(application_id as bigint)"  # decides the bucket in both T3 tables
+
+
+class LatestEvents:
+    """``foreachBatch`` handler keeping the staged events of everything delivered so far."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        schema = staging.stg_events_typed(spark.createDataFrame([], string_schema(RAW_EVENT_COLUMNS))).schema
+        self.table = BucketedTable(spark, path, schema, staging.EVENT_DEDUP_KEY, buckets)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        typed = staging.stg_events_typed(batch)
+        self.table.merge_latest(typed, f"batch-{batch_id}", staging.EVENT_DEDUP_KEY, staging.event_load_order())
+
+    def read(self) -> DataFrame:
+        return self.table.read()
 
 
 class TransitionsUpdater:
     """``foreachBatch`` handler keeping a stage-transition table current."""
 
-    def __init__(self, events_path: str, transitions_path: str, fact_application: Callable[[], DataFrame],
-                 stages: StageConfig = DEFAULT_STAGES, buckets: int = 64, id_hash: str = "xxhash64"):
-        self.events_path = events_path
-        self.transitions_path = transitions_path
+    def __init__(self, spark: SparkSession, events_path: str, transitions_path: str, fact_application: Callable[[], DataFrame],
+                 stages: StageConfig = DEFAULT_STAGES, buckets: int = 64, id_hash: str = "xxhash64", folders: int = 8):
         self.fact_application = fact_application
         self.stages = stages
-        self.buckets = buckets
         self.id_hash = id_hash
+        self.folders = folders
+        raw = spark.createDataFrame([], string_schema(RAW_EVENT_COLUMNS))
+        self.events = BucketedTable(spark, events_path, raw.schema, [TYPED_APPLICATION], buckets)
+        schema = self._transitions(raw).schema
+        self.transitions = BucketedTable(spark, transitions_path, schema, [TYPED_APPLICATION], buckets)
+
+    def _transitions(self, events: DataFrame) -> DataFrame:
+        return core.fact_stage_transition(staging.stg_events(events), self.fact_application(), self.stages, id_hash=self.id_hash)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        landed = batch.select(*RAW_EVENT_COLUMNS).withColumn("bucket", bucket_of(safe_long("application_id"), self.buckets))
-        part = f"{self.events_path}/batch={batch_id}"
-        landed.write.mode("overwrite").partitionBy("bucket").parquet(part)
-        # the touched buckets: at most ``buckets`` small ints reach the driver
-        if batch.isEmpty():
-            return
-        touched = [r.bucket for r in spark.read.parquet(part).select("bucket").distinct().collect()]
-        events = spark.read.parquet(self.events_path).filter(F.col("bucket").isin(touched))
-        deduped = staging.stg_events(events.drop("bucket", "batch"))
-        transitions = core.fact_stage_transition(deduped, self.fact_application(), self.stages, id_hash=self.id_hash)
-        out = transitions.withColumn("bucket", bucket_of(F.col("application_id"), self.buckets))
-        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("bucket").parquet(self.transitions_path)
+        commit = f"batch-{batch_id}"
+        touched = self.events.append(batch.select(*RAW_EVENT_COLUMNS), commit)
+        if touched:
+            self.transitions.replace(self._transitions(self.events.read(buckets=touched)), touched, commit)
+        folders = Counter(b for b, *_ in self.events.manifest().entries)
+        if max(folders.values(), default=0) > self.folders:
+            self.events.compact(f"compact-{batch_id}", self.folders // 2)
+
+    def read(self) -> DataFrame:
+        return self.transitions.read()
 
 
 def run_available_now(stream: DataFrame, checkpoint: str, sink: str | None = None, fmt: str = "parquet",
