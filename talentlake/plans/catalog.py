@@ -279,3 +279,4 @@ from talentlake.plans import catalog_serve  # noqa: E402,F401  (registers fracti
 from talentlake.plans import catalog_quality  # noqa: E402,F401  (registers data-quality queries)
 from talentlake.plans import catalog_streaming  # noqa: E402,F401  (registers streaming queries)
 from talentlake.plans import catalog_more  # noqa: E402,F401  (registers filters, orders, texts, manual plans, audit rows)
+from talentlake.plans import catalog_tables  # noqa: E402,F401  (registers stored tables: merges, logs, pages, catalog layers)

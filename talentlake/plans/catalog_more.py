@@ -210,7 +210,7 @@ FROM record_top""", RECORD_CTE))(lambda spark, sf_dir: _record_plan(spark, sf_di
 
 # -- F8, F9: manual modes ---------------------------------------------------------------------------
 
-MANUAL_LIMIT = 1_000_000_000  # every selected id is planned
+UNLIMITED = (None, 1, None)  # every selected id is planned
 
 
 def _manual_outcome_sql(rid: str, outcome: str, stages) -> str:
@@ -228,15 +228,15 @@ def _waiting(apps: DataFrame, stages) -> DataFrame:
 @register("plan_hire_manual", _manual_outcome_sql("req-hire-manual", "hired", HIRE_ELIGIBLE_STAGES))
 def q_plan_hire_manual(spark, sf_dir):
     apps = ops_apps(spark, sf_dir)
-    return changes.plan_hire(apps, MODE_MANUAL_OUTCOME, MANUAL_LIMIT, "Offers signed", _waiting(apps, HIRE_ELIGIBLE_STAGES),
-                             "req-hire-manual", bounds=(10, 1, MANUAL_LIMIT)).items
+    return changes.plan_hire(apps, MODE_MANUAL_OUTCOME, None, "Offers signed", _waiting(apps, HIRE_ELIGIBLE_STAGES),
+                             "req-hire-manual", bounds=UNLIMITED).items
 
 
 @register("plan_reject_manual", _manual_outcome_sql("req-reject-manual", "rejected", REJECT_ELIGIBLE_STAGES))
 def q_plan_reject_manual(spark, sf_dir):
     apps = ops_apps(spark, sf_dir)
-    return changes.plan_reject(apps, MODE_MANUAL_OUTCOME, MANUAL_LIMIT, "Jobs closed", _waiting(apps, REJECT_ELIGIBLE_STAGES),
-                               "req-reject-manual", bounds=(1, 1, MANUAL_LIMIT)).items
+    return changes.plan_reject(apps, MODE_MANUAL_OUTCOME, None, "Jobs closed", _waiting(apps, REJECT_ELIGIBLE_STAGES),
+                               "req-reject-manual", bounds=UNLIMITED).items
 
 
 # -- F12 with two requests, F15, F16 ------------------------------------------------------------------

@@ -193,13 +193,13 @@ def _stage_plan_sql(rid, target, next_stage, mode, limit, reason, pool_sql, orde
     ctes = f"""
 eligible AS ({eligible}),
 {pool_sql},
-chosen AS (SELECT * FROM pool ORDER BY {order_sql} LIMIT {limit}),
+chosen AS (SELECT * FROM pool {f'ORDER BY {order_sql} LIMIT {limit}' if limit else ''}),
 plan_items AS (
   SELECT '{rid}' AS request_id, application_id, current_stage AS previous_stage, {seq} AS planned_stage_sequence,
     'pending' AS apply_status, CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS TIMESTAMP) AS applied_at
   FROM chosen),
 plan_request AS (
-  SELECT {STAGE_REQUEST_COLS.format(rid=rid, target=target, next_sql=next_sql, mode=mode, limit=limit, reason=reason)},
+  SELECT {STAGE_REQUEST_COLS.format(rid=rid, target=target, next_sql=next_sql, mode=mode, limit=limit or 'CAST(NULL AS INTEGER)', reason=reason)},
     (SELECT count(*) FROM ({basis_sql})) AS eligible_count,
     (SELECT count(*) FROM plan_items) AS selected_count,
     {check_sql or 'CAST(NULL AS VARCHAR)'} AS error_message
@@ -220,7 +220,7 @@ FOCUSED = dict(rid="req-stage-focused", target="Hiring Manager Review", next_sta
 GLOBAL = dict(rid="req-stage-global", target="Offer", next_stage=None, mode=MODE_GLOBAL, limit=20,
               reason="Quarter-end push")
 MANUAL = dict(rid="req-stage-manual", target="Hiring Manager Review", next_stage=None, mode=MODE_MANUAL_STAGE,
-              limit=1_000_000_000, reason="Selected from search")  # every selected id is planned
+              limit=None, reason="Selected from search")  # every selected id is planned
 # Manual selection ids: the applications a recruiter found by searching the
 # candidate name for a segment, restricted to those waiting in Recruiter Interview.
 MANUAL_SEARCH = "machinery"
@@ -257,7 +257,7 @@ def _plan(spark, sf_dir, spec) -> changes.Plan:
     ids = _manual_ids(apps) if spec["mode"] == MODE_MANUAL_STAGE else None
     return changes.plan_stage_change(apps, spec["target"], spec["next_stage"], spec["limit"], spec["mode"],
                                      spec["reason"], application_ids=ids, request_id=spec["rid"],
-                                     bounds=(100, 10, max(500, spec["limit"])))
+                                     bounds=(100, 10, 500) if spec["limit"] else (None, 10, None))
 
 
 for _name, _spec, _sql in [("focused", FOCUSED, FOCUSED_SQL), ("global", GLOBAL, GLOBAL_SQL), ("manual", MANUAL, MANUAL_SQL)]:

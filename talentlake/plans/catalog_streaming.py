@@ -14,16 +14,10 @@ from pyspark.sql import functions as F
 from talentlake.config import DRIVER_TABLE_STAGES
 from talentlake.oracle import with_base
 from talentlake.plans.catalog import K6_SQL, register, warehouse
-from talentlake.session import ensure_session_defaults
+from talentlake.session import ensure_session_defaults, freeze
 from talentlake.sources.driver_tables import FIRST_LOAD, REDELIVERY_LOAD, event_records
 from talentlake.sources.raw import normalise_raw
 from talentlake.streaming import events as st
-from talentlake.operators.staging import EVENT_DEDUP_KEY
-
-# The watermark covers the whole landed history here, so nothing is late and
-# the stream must equal the batch; production runs use the re-delivery lag.
-HISTORY_WATERMARK = "400 days"
-
 
 def land_events(spark: SparkSession, sf_dir: str) -> str:
     """Write the raw event loads as files in arrival order; returns the folder."""
@@ -48,13 +42,18 @@ def land_few(spark: SparkSession, sf_dir: str, path: str) -> None:
     again.where(F.col("application_id") == one).write.mode("append").parquet(path)
 
 
-@register("stream_events_dedup", with_base(f"SELECT {', '.join(EVENT_DEDUP_KEY)} FROM stg_events"))
+@register("stream_events_dedup", with_base("SELECT * FROM stg_events"))
 def q_stream_events_dedup(spark, sf_dir):
+    """All columns of the staged events after both loads; the second, later load replaces rows of the first
+    however old they are, and is delivered twice."""
     src = land_events(spark, sf_dir)
-    sink = st.scratch_path(spark, "t1-sink")
-    stream = st.dedup_stream(st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark)), HISTORY_WATERMARK)
-    st.run_available_now(stream, st.scratch_path(spark, "t1-ckpt"), sink)
-    return spark.read.parquet(sink).select(*EVENT_DEDUP_KEY)
+    sink = st.LatestEvents(spark, st.scratch_path(spark, "t1-events"), buckets=16)
+    stream = st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark))
+    checkpoint = st.scratch_path(spark, "t1-ckpt")
+    st.run_available_now(stream, checkpoint, foreach_batch=sink)
+    land_few(spark, sf_dir, src)
+    st.run_available_now(stream, checkpoint, foreach_batch=sink)
+    return sink.read()
 
 
 @register("stream_funnel", with_base(K6_SQL))
@@ -71,17 +70,17 @@ def q_stream_funnel(spark, sf_dir):
 def q_stream_transitions(spark, sf_dir):
     src = land_events(spark, sf_dir)
     w = warehouse(spark, sf_dir)
+    facts = freeze(w.fact_application)  # read by every batch
     updater = st.TransitionsUpdater(
-        st.scratch_path(spark, "t3-events"), st.scratch_path(spark, "t3-transitions"),
-        lambda: w.fact_application, DRIVER_TABLE_STAGES, buckets=16, id_hash="md5",
+        spark, st.scratch_path(spark, "t3-events"), st.scratch_path(spark, "t3-transitions"),
+        lambda: facts, DRIVER_TABLE_STAGES, buckets=16, id_hash="md5", folders=4,
     )
     stream = st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark))
     checkpoint = st.scratch_path(spark, "t3-ckpt")
     st.run_available_now(stream, checkpoint, foreach_batch=updater)
     land_few(spark, sf_dir, src)  # a batch that touches one application must leave the others alone
     st.run_available_now(stream, checkpoint, foreach_batch=updater)
-    out = spark.read.parquet(updater.transitions_path)
-    return out.select(*[c for c in out.columns if c != "bucket"])
+    return updater.read()
 
 
 @register("read_events_json", with_base("SELECT * FROM stg_events"))

@@ -66,6 +66,9 @@ from talentlake.config import (
     StageConfig,
 )
 from talentlake.functions.scalar import clamp, lookup, merge_json, stage_rank
+from talentlake.functions.windows import first_rows
+from talentlake.session import freeze
+from talentlake.sources.buckets import BucketedTable
 
 # Workflow labels written into events and requests.
 WORKFLOW_SOURCE = "supabase_admin_workflow"
@@ -242,13 +245,14 @@ def plan_stage_change(
     request_id: str = "request",
     requested_by: str | None = None,
     stages: StageConfig = DEFAULT_STAGES,
-    bounds: tuple[int, int, int] = STAGE_LIMIT,
+    bounds: tuple[int | None, int, int | None] = STAGE_LIMIT,
 ) -> Plan:
     """dry-run a stage change; modes Manual / Global impact / Focused group.
 
-    ``bounds`` are the default, floor and ceiling of ``requested_limit``; the
-    request's ``selected_count`` against its ``eligible_count`` shows what a
-    limit left out.
+    ``bounds`` are the default, floor and ceiling of ``requested_limit``; with
+    neither a limit nor a default nor a ceiling (None) everything selected is
+    planned, without a sort.  The request's ``selected_count`` against its
+    ``eligible_count`` shows what a limit left out.
     """
     if not (reason or "").strip():
         raise ValueError("Reason is required")
@@ -274,11 +278,8 @@ def plan_stage_change(
             F.col("status").isNull() | (F.col("status") != STATUS_ACTIVE) | ~_differs("current_stage", final_stage)
         )
         manual_limit = clamp(requested_limit, bounds[0], STAGE_MANUAL_LIMIT_FLOOR, bounds[2])
-        chosen = (
-            eligible.join(ids, "application_id", "left_semi")
-            .orderBy(F.col("updated_at").asc_nulls_last(), F.col("application_id").asc())
-            .limit(manual_limit)
-        )
+        order = [F.col("updated_at").asc_nulls_last(), F.col("application_id").asc()]
+        chosen = first_rows(eligible.join(ids, "application_id", "left_semi"), order, manual_limit)
         eligible_count = F.count_if(F.col("_t") == "e")
         basis = ids
     else:
@@ -300,7 +301,7 @@ def plan_stage_change(
                 [F.coalesce(F.col(c), F.lit("")) == F.col(f"_g_{c}") for c in ("recruiter", "office", "department")],
                 "inner",
             ).drop("_g_recruiter", "_g_office", "_g_department")
-        chosen = pool.orderBy(F.col("updated_at").desc_nulls_first(), F.col("application_id").asc()).limit(limit)
+        chosen = first_rows(pool, [F.col("updated_at").desc_nulls_first(), F.col("application_id").asc()], limit)
         basis = eligible
 
     items = chosen.select(
@@ -325,7 +326,7 @@ def plan_stage_change(
             "target_stage": target_stage,
             "next_stage": next_stage,
             "selection_mode": selection_mode,
-            "requested_limit": limit,
+            "requested_limit": F.lit(limit).cast("int"),
             "reason": reason,
             "status": REQ_DRY_RUN,
             "source": OPERATIONAL_SOURCE_MARKER,
@@ -333,13 +334,18 @@ def plan_stage_change(
         error,
     )
     if selection_mode == MODE_MANUAL_STAGE:
-        # an ineligible id rejects the whole request: no items are planned
-        request = request.withColumn("selected_count", F.when(F.col("error_message").isNull(), F.col("selected_count")).otherwise(F.lit(0)))
-        ok = request.filter(F.col("error_message").isNull()).select("request_id")
-        items = items.join(F.broadcast(ok), "request_id", "left_semi")
+        request, items = _all_or_nothing(request, items)
     return Plan(request, items)
 
 
+def _all_or_nothing(request: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An ineligible id rejects the whole manual request: its one row is decided now, and then no items are planned."""
+    selected = F.when(F.col("error_message").isNull(), F.col("selected_count")).otherwise(F.lit(0))
+    request = freeze(request.withColumn("selected_count", selected))
+    refused = request.select("error_message").first()[0] is not None
+    return request, items.where(F.lit(not refused))
+
+
 def plan_record_form(apps: DataFrame, jobs: DataFrame, sequence: Sequence[str], requested_limit: int,
                      selection_mode: str = MODE_FOCUSED, request_id: str = "request") -> Plan:
     """plan a stage change in record form.
@@ -384,7 +390,7 @@ def plan_record_form(apps: DataFrame, jobs: DataFrame, sequence: Sequence[str],
         request = sizes.agg(eligible).select("eligible_count", *[nothing.alias(c) for c in scope],
                                              F.lit(None).cast("bigint").alias("selected_group_count"))
         pool = candidates
-    items = pool.orderBy("application_id").limit(requested_limit).select(
+    items = first_rows(pool, [F.col("application_id")], requested_limit).select(
         F.lit(request_id).alias("request_id"), "application_id", "job_id", "current_stage", *scope,
         F.array(*[F.lit(stage) for stage in sequence]).alias("planned_stage_sequence"),
     )
@@ -393,7 +399,7 @@ def plan_record_form(apps: DataFrame, jobs: DataFrame, sequence: Sequence[str],
 
 def _plan_outcome(apps: DataFrame, stages_for_mode: tuple[str, ...], selection_mode: str, reason: str | None,
                   application_ids, manual_requires_eligible: bool):
-    """Ordered candidates, the count basis and the manual ineligible rows of an outcome plan."""
+    """Candidates, their order, the count basis and the manual ineligible rows of an outcome plan."""
     if not (reason or "").strip():
         raise ValueError("Reason is required")
     if selection_mode == MODE_MANUAL_OUTCOME and not _has_ids(application_ids):
@@ -414,20 +420,19 @@ def _plan_outcome(apps: DataFrame, stages_for_mode: tuple[str, ...], selection_m
         # three-valued: a NULL stage makes the test NULL, which does not count as ineligible
         ineligible = live.filter(F.coalesce(bad, F.lit(False)))
         pool = (eligible if manual_requires_eligible else apps).join(ids, "application_id", "left_semi")
-        ordered = pool.orderBy(F.col("application_id").asc())
+        order = [F.col("application_id").asc()]
         eligible_count = F.count_if(F.col("_t") == "e")
         basis = ids
     else:
-        ordered = eligible.orderBy(
-            late_stage_priority().desc(), F.col("updated_at").asc_nulls_last(), F.col("application_id").asc()
-        )
+        pool = eligible
+        order = [late_stage_priority().desc(), F.col("updated_at").asc_nulls_last(), F.col("application_id").asc()]
         basis = eligible
-    return ordered, basis, ineligible, eligible_count
+    return pool, order, basis, ineligible, eligible_count
 
 
-def _finish_outcome(apps, ordered, basis, ineligible, eligible_count, outcome, selection_mode, limit, reason,
+def _finish_outcome(apps, pool, order, basis, ineligible, eligible_count, outcome, selection_mode, limit, reason,
                     request_id, requested_by, source) -> Plan:
-    items = ordered.limit(limit).select(
+    items = first_rows(pool, order, limit).select(
         F.lit(request_id).alias("request_id"),
         "application_id",
         F.col("status").alias("previous_status"),
@@ -449,7 +454,7 @@ def _finish_outcome(apps, ordered, basis, ineligible, eligible_count, outcome, s
             "requested_by": requested_by,
             "outcome": outcome,
             "selection_mode": selection_mode,
-            "requested_limit": limit,
+            "requested_limit": F.lit(limit).cast("int"),
             "reason": reason,
             "status": REQ_DRY_RUN,
             "source": source,
@@ -457,16 +462,14 @@ def _finish_outcome(apps, ordered, basis, ineligible, eligible_count, outcome, s
         error,
     )
     if selection_mode == MODE_MANUAL_OUTCOME:
-        request = request.withColumn("selected_count", F.when(F.col("error_message").isNull(), F.col("selected_count")).otherwise(F.lit(0)))
-        ok = request.filter(F.col("error_message").isNull()).select("request_id")
-        items = items.join(F.broadcast(ok), "request_id", "left_semi")
+        request, items = _all_or_nothing(request, items)
     return Plan(request, items)
 
 
 def plan_hire(apps: DataFrame, selection_mode: str = "Offer only", requested_limit: int | None = 10,
               reason: str | None = None, application_ids=None, request_id: str = "request",
               requested_by: str | None = None,
-              bounds: tuple[int, int, int] = HIRE_LIMIT) -> Plan:
+              bounds: tuple[int | None, int, int | None] = HIRE_LIMIT) -> Plan:
     """F8: dry-run a hiring outcome (Offer only / Late-stage candidates / Manual)."""
     stages_for_mode = hire_stages(selection_mode)
     parts = _plan_outcome(apps, stages_for_mode, selection_mode, reason, application_ids, True)
@@ -477,7 +480,7 @@ def plan_hire(apps: DataFrame, selection_mode: str = "Offer only", requested_lim
 def plan_reject(apps: DataFrame, selection_mode: str = "Reference Check only", requested_limit: int | None = 1,
                 reason: str | None = None, application_ids=None, request_id: str = "request",
                 requested_by: str | None = None,
-                bounds: tuple[int, int, int] = REJECT_LIMIT) -> Plan:
+                bounds: tuple[int | None, int, int | None] = REJECT_LIMIT) -> Plan:
     """dry-run a rejection outcome (Early / Reference Check / Late-stage / Manual).
 
     Manual mode inserts the requested ids that passed the (three-valued)
@@ -525,6 +528,14 @@ class Applied:
     applications: DataFrame
     items: DataFrame
     request: DataFrame
+    changed: DataFrame  # the changed applications only: their id and new values
+
+
+def merge_applied(table: BucketedTable, applied: Applied, commit: str) -> list[int]:
+    """The changes of an apply merged into a bucketed applications table: it rewrites the buckets that hold
+    changed applications, and nothing if the commit has been done before."""
+    columns = [c for c in applied.changed.columns if c != "application_id"]
+    return table.merge(applied.changed, commit, ["application_id"], columns)
 
 
 def _item_counts(items: DataFrame) -> DataFrame:
@@ -553,8 +564,10 @@ def request_metadata(requests: DataFrame, counts: Sequence[str] = REQUEST_COUNTS
     return requests.withColumn("metadata", merge_json(before, F.to_json(F.struct(*counts))))
 
 
-def _update_applications(apps: DataFrame, changes: DataFrame, set_cols: dict[str, Column]) -> DataFrame:
-    """Apply per-application changes (one row per application) to the applications table."""
+def _update_applications(apps: DataFrame, changes: DataFrame, set_cols: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Apply per-application changes (one row per application) to the applications table; and the changes alone."""
+    alone = changes.join(apps.select("application_id"), "application_id", "left_semi").select(
+        "application_id", *[expr.cast(apps.schema[c].dataType).alias(c) for c, expr in set_cols.items()])
     renamed = changes.select("application_id", *[expr.alias(f"_new_{c}") for c, expr in set_cols.items()])
     marked = renamed.withColumn("_changed", F.lit(True))
     joined = apps.join(marked, "application_id", "left")
@@ -564,7 +577,7 @@ def _update_applications(apps: DataFrame, changes: DataFrame, set_cols: dict[str
             cols.append(F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    return joined.select(*cols)
+    return joined.select(*cols), alone
 
 
 def _request_order(*first: Column):
@@ -611,7 +624,7 @@ def apply_stage_change(request: DataFrame, items: DataFrame, apps: DataFrame, as
     final = ok.withColumn("_later", later).filter(F.col("_later").isNull()).select(
         "application_id", F.element_at("planned_stage_sequence", -1).alias("current_stage"), now.alias("updated_at")
     )
-    new_apps = _update_applications(apps, final, {"current_stage": F.col("current_stage"), "updated_at": now})
+    new_apps, changed = _update_applications(apps, final, {"current_stage": F.col("current_stage"), "updated_at": now})
     done = todo.select(
         "request_id", "application_id", "previous_stage", "planned_stage_sequence",
         F.when(F.col("_error").isNull(), F.lit(ITEM_APPLIED)).otherwise(F.lit(ITEM_FAILED)).alias("apply_status"),
@@ -621,7 +634,7 @@ def apply_stage_change(request: DataFrame, items: DataFrame, apps: DataFrame, as
     untouched = items.join(done.select("request_id", "application_id"), ["request_id", "application_id"], "left_anti")
     new_items = untouched.select(*ITEM_STAGE_SCHEMA).unionByName(done.select(*ITEM_STAGE_SCHEMA))
     new_request = _close_request(request.join(approved, "request_id", "left_semi"), done, as_of, False)
-    return Applied(events, None, new_apps, new_items, new_request)
+    return Applied(events, None, new_apps, new_items, new_request, changed)
 
 
 STAGE_EVENT_SCHEMA = (
@@ -668,8 +681,8 @@ def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of:
         meta = F.create_map(F.lit("previous_stage"), F.col("previous_stage"), F.lit("new_stage"), F.lit("Offer"),
                             F.lit("workflow"), F.lit("hiring_outcome"))
         changes = applied.select("application_id")
-        new_apps = _update_applications(apps, changes, {"status": F.lit(STATUS_HIRED), "current_stage": F.lit("Offer"),
-                                                        "hired_at": now, "updated_at": now})
+        new_apps, changed = _update_applications(apps, changes, {"status": F.lit(STATUS_HIRED), "current_stage": F.lit("Offer"),
+                                                                 "hired_at": now, "updated_at": now})
         stage_events = applied.select(
             "application_id", "previous_stage", F.lit("Offer").alias("new_stage"),
             F.lit(changed_by).alias("changed_by_email"), now.alias("changed_at"), F.lit(WORKFLOW_SOURCE).alias("source"),
@@ -679,7 +692,7 @@ def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of:
         meta = F.create_map(F.lit("previous_stage"), F.col("previous_stage"), F.lit("workflow"), F.lit("rejection_outcome"),
                             F.lit("rejection_reason"), F.col("_reason"), F.lit("selection_mode"), F.col("_mode"))
         changes = applied.select("application_id")
-        new_apps = _update_applications(apps, changes, {"status": F.lit(STATUS_REJECTED), "updated_at": now})
+        new_apps, changed = _update_applications(apps, changes, {"status": F.lit(STATUS_REJECTED), "updated_at": now})
         stage_events = apps.sparkSession.createDataFrame([], STAGE_EVENT_SCHEMA)  # a rejection moves no stage
     status_events = applied.select(
         "application_id", "previous_status", F.lit(outcome).alias("new_status"),
@@ -691,7 +704,7 @@ def _apply_outcome(request: DataFrame, items: DataFrame, apps: DataFrame, as_of:
     new_items = untouched.select(*ITEM_OUTCOME_SCHEMA).unionByName(done_rows.select(*ITEM_OUTCOME_SCHEMA))
     new_request = _close_request(request.join(approved.select("request_id"), "request_id", "left_semi"),
                                  done_rows, as_of, True)
-    return Applied(stage_events, status_events, new_apps, new_items, new_request)
+    return Applied(stage_events, status_events, new_apps, new_items, new_request, changed)
 
 
 def apply_hire(request: DataFrame, items: DataFrame, apps: DataFrame, as_of: str,
@@ -825,8 +838,6 @@ def freeze_plan(plan: Plan) -> Plan:
     makes approve / apply / every output derive from the same selection, and
     a lost executor re-reads the checkpoint instead of re-planning.
     """
-    from talentlake.session import freeze
-
     return Plan(freeze(plan.request), freeze(plan.items))
 
 

@@ -14,7 +14,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 def spark():
     from talentlake.session import build_session
 
-    s = build_session("local[*]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tl-test-ckpt-")})
+    s = build_session("local[*]", 8, extra={"spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tl-test-ckpt-")})
     yield s
     s.stop()
 

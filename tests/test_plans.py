@@ -1,9 +1,10 @@
 """Plan checks: no Python UDF anywhere, no un-partitioned window, filters reach the scan."""
 
+import re
+
+from talentlake.functions import windows
 from talentlake.plans.catalog import warehouse
 
-# A manual plan whose ids are not all eligible has no items: its one request row gates them.
-ONE_ROW_GATE = {"plan_stage_change_manual", "plan_hire_manual", "plan_reject_manual"}
 STREAMING = {"stream_events_dedup", "stream_funnel", "stream_transitions"}
 
 
@@ -31,11 +32,11 @@ def unpartitioned_windows(df):
 def check_plan(name, df):
     """No Python UDF, no cross or nested-loop join and no un-partitioned window in a query's physical plan."""
     plan = _plan(df)
-    if name not in ONE_ROW_GATE:
-        assert "NestedLoopJoin" not in plan, name
-    for marker in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+    for marker in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert marker not in plan, f"{name}: {marker}"
     assert not unpartitioned_windows(df), name
+    for limit in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan):
+        assert int(limit) <= windows.TOP_K, name  # its buffers are sized by the limit
 
 
 def test_projection_is_pruned_at_the_scan(spark, sf_dir):
