@@ -29,7 +29,7 @@ from talentlake.llm.common import written
 
 SHARD_ROWS = 2048
 BLOCK_ANCHORS = 2048
-FIRST_DEPTH = 8  # entries of each list in the first round; later rounds double the depth
+FIRST_DEPTH = 64  # entries of each list in the first round; later rounds double the depth
 LIMIT = 2**63 - 1
 
 
