@@ -1,9 +1,10 @@
 """License scan: exact set-similarity join of license templates with text blocks.
 
-A block is a run of ``BLOCK`` words, starting every ``STRIDE`` words, so that
-every run of up to ``BLOCK - STRIDE + 1`` words lies whole in some block.
-A template matches a block that holds at least the threshold share of the
-template's distinct words.  Candidates come from the prefix, length and
+A block is a run of words, starting every half block, so that every run of up
+to half a block lies whole in some block; blocks have ``BLOCK`` words, or twice
+the longest template's.  A template matches a block that holds at least the
+threshold share of its distinct words; templates of fewer than ``SHORT`` distinct
+words must be there with all of them, for their other words are common ones.  Candidates come from the prefix, length and
 positional filters over globally frequency-ordered words (rarest first); each
 is then verified on the full sets.  No pair above the threshold is missed.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from talentlake.llm.common import as_bytes, small_batches
 
-BLOCK, STRIDE = 256, 128
+BLOCK = 256  # words, at least
+SHORT = 8
 MAX_TEMPLATE_BYTES = 1 << 20  # the templates go with the tasks; more are joined in blocks of this size
 
 # Words: A-Z lower-cased; every ASCII character but digits and letters separates words.
@@ -73,7 +75,10 @@ class TemplateIndex:
         self.templates = templates
         self.seqs = [np.array([self.rank[w] for w in s], np.int64) for s in seqs]
         self.sets = [np.unique(s) for s in self.seqs]
-        self.need = [max(1, math.ceil(t.threshold * len(s) - 1e-9)) for t, s in zip(templates, self.sets)]
+        self.block = max(BLOCK, 2 * max(map(len, seqs), default=0))
+        self.stride = self.block // 2
+        share = [1.0 if len(s) < SHORT else t.threshold for t, s in zip(templates, self.sets)]
+        self.need = [max(1, math.ceil(x * len(s) - 1e-9)) for x, s in zip(share, self.sets)]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, s in enumerate(self.sets):
             for pos in range(len(s) - self.need[k] + 1 if len(s) else 0):
@@ -102,12 +107,13 @@ class TemplateIndex:
         at = np.flatnonzero(self.is_prefix[ranks])
         if not len(at):
             return [], set(), set(), 0.0
-        last = max(0, -(-(n - BLOCK) // STRIDE))  # number of the last block
-        blocks = np.unique(np.concatenate([np.clip(at // STRIDE - j, 0, last) for j in range(BLOCK // STRIDE)]))
+        block, stride = self.block, self.stride
+        last = max(0, -(-(n - block) // stride))  # number of the last block
+        blocks = np.unique(np.concatenate([np.clip(at // stride - j, 0, last) for j in range(block // stride)]))
         places, base, labels, best = [], set(), set(), 0.0
         for b in blocks:
-            begin = int(b) * STRIDE
-            part = ranks[begin : begin + BLOCK]
+            begin = int(b) * stride
+            part = ranks[begin : begin + block]
             present = np.unique(part[part < none])
             for k in self.candidates(present):
                 t = self.templates[k]
@@ -116,7 +122,7 @@ class TemplateIndex:
                     continue
                 if t.phrase:
                     seq = self.seqs[k]
-                    own = len(part) if b == last else STRIDE  # each start belongs to one block
+                    own = len(part) if b == last else stride  # each start belongs to one block
                     starts = min(own, len(part) - len(seq) + 1)
                     if starts <= 0:
                         continue

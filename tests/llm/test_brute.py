@@ -48,12 +48,27 @@ def test_license_places(docs_of):
         blocks = [set(w[b : b + 256]) for b in range(0, max(len(w), 1), 128)]
         for t in op01_license.LICENSES:
             s = set(words(t.text))
-            if any(len(s & b) >= t.threshold * len(s) for b in blocks):
+            if any(len(s & b) >= (1.0 if len(s) < op01_license.SHORT else t.threshold) * len(s) for b in blocks):
                 assert t.label in r.labels
     assert got[9].labels == got[10].labels == "mit" and got[9].score == 1.0
     assert op01_license.license_scan(docs_of([])).count() == 0
 
 
+def test_short_and_long_templates(docs_of):
+    """Common words of a short template are not enough; a template of any length lies whole in some block."""
+    texts = [
+        "This file is released under the terms of the GNU General Public License.",
+        "the software is under review and will be released once the license is bought", "Released under the MIT License.",
+    ]
+    got = {r.doc_id: r.labels for r in op01_license.license_scan(docs_of(list(enumerate(texts)))).collect()}
+    assert "mit" not in got[0] + got[1] and got[2] == "mit"
+    long = " ".join(f"word{k}" for k in range(700))
+    own = (op01_license.Template("own", long, 0.9),)
+    shifted = [(k, "x " * n + long + " y" * n) for k, n in enumerate((0, 300, 650, 699, 700, 1399))] + [(9, long[: len(long) // 2])]
+    got = {r.doc_id: r.labels for r in op01_license.license_scan(docs_of(shifted), licenses=own).collect()}
+    assert got == {**dict.fromkeys(range(6), "own"), 9: ""}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_are_the_library_s(docs_of, name):
     path = public_tokenizers.path(name)
