@@ -146,7 +146,10 @@ OVERVIEW_COLUMNS = (
 def mart_exec_overview(fact_app: DataFrame, dim_job_df: DataFrame, fact_offer_df: DataFrame,
                        fact_transitions: DataFrame, as_of=None) -> DataFrame:
     """K2: one row of KPIs. Compliance = met / owned, NULL when nothing is owned."""
-    agg = _overview_inputs(fact_app, dim_job_df, fact_offer_df, fact_transitions, []).agg(*_overview_measures())
+    return _overview_row(_overview_inputs(fact_app, dim_job_df, fact_offer_df, fact_transitions, []).agg(*_overview_measures()), as_of)
+
+
+def _overview_row(agg: DataFrame, as_of) -> DataFrame:
     return agg.select(
         _as_of(as_of).alias("generated_at"),
         *[c for c in OVERVIEW_COLUMNS if c != "recruiter_sla_compliance_rate"],
@@ -170,6 +173,11 @@ def mart_exec_overview_by_scope(fact_app: DataFrame, dim_job_df: DataFrame, fact
         .groupBy(*keys)
         .agg(*_overview_measures())
     )
+    return _overview_scopes(agg, dim_job_df, as_of)
+
+
+def _overview_scopes(agg: DataFrame, dim_job_df: DataFrame, as_of) -> DataFrame:
+    keys = ["office_id", "department_id"]
     scope = (
         dim_job_df.filter(F.col("office_id").isNotNull() & F.col("department_id").isNotNull())
         .select("office_id", "office_name", "department_id", "department_name")
@@ -415,3 +423,67 @@ def mart_tth_diagnostics(fact_app: DataFrame, as_of=None) -> DataFrame:
         _count_when(valid & is_marker).alias("supabase_outcome_hired_applications_included"),
         _count_when(hired & F.col("time_to_hire_days").isNull()).alias("hired_applications_excluded_from_avg"),
     ).select(_as_of(as_of).alias("generated_at"), "*")
+
+
+# -- K1, K2, K3, K9 from one scan ------------------------------------------------------------------
+
+CUBE_KEYS = ("office_id", "office_name", "department_id", "department_name", "application_status")
+TOTAL, BY_SCOPE, BY_STATUS = "total", "scope", "status"
+
+
+def overview_cube(fact_app: DataFrame, dim_job_df: DataFrame, fact_offer_df: DataFrame, fact_transitions: DataFrame) -> DataFrame:
+    """The measures of K1, K2, K3 and K9 in one aggregate over one scan of each fact.
+
+    Grouping sets: everything (``grain`` total), (office, department) (scope)
+    and named (office, department, status) (status).  A few rows; the four marts
+    are selections of it.
+    """
+    names = dim_job_df.select(F.col("job_id").alias("_job"), F.col("office_name").alias("_office"), F.col("department_name").alias("_department"))
+    apps = fact_app.join(names, F.col("job_id") == F.col("_job"), "left").select(
+        *fact_app.columns, F.coalesce("_office", F.lit(UNKNOWN_OFFICE)).alias("office_name"),
+        F.coalesce("_department", F.lit(UNKNOWN_DEPARTMENT)).alias("department_name"))
+    own = ["application_id", "office_name", "department_name", "application_status"]
+    none = lambda df: df.select(*[c for c in df.columns if c not in own], *[
+        F.lit(None).cast(apps.schema[c].dataType).alias(c) for c in own])
+    tagged = _overview_inputs(apps, none(dim_job_df), none(fact_offer_df), none(fact_transitions), ["office_id", "department_id", *own])
+    keys = [F.col(c) for c in CUBE_KEYS]
+    sets = [[], [F.col("office_id"), F.col("department_id")], keys]
+    hired = (F.col("src") == "app") & F.col("is_hired")
+    agg = tagged.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_set"), *_overview_measures(),
+        F.count_distinct("application_id").alias("distinct_applications"),
+        _count_when(hired & F.col("time_to_hire_days").isNull()).alias("hired_applications_excluded_from_avg"),
+    )
+    # the sets by the keys they leave out: all five, three, none
+    grain = F.when(F.col("_set") == 0, F.lit(BY_STATUS)).when(F.bit_count("_set") == 3, F.lit(BY_SCOPE)).otherwise(F.lit(TOTAL))
+    return agg.select(grain.alias("grain"), *[c for c in agg.columns if c != "_set"])
+
+
+def status_from_cube(cube: DataFrame) -> DataFrame:
+    """K1."""
+    rows = cube.where((F.col("grain") == BY_STATUS) & (F.col("total_applications") > 0))
+    scope = Window.partitionBy("office_id", "department_id")
+    counts = rows.select(*CUBE_KEYS, F.col("distinct_applications").alias("applications_count"))
+    return counts.select("*", safe_divide(F.col("applications_count"), F.sum("applications_count").over(scope)).alias("status_share"))
+
+
+def overview_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
+    """K2."""
+    return _overview_row(cube.where(F.col("grain") == TOTAL), as_of)
+
+
+def overview_scopes_from_cube(cube: DataFrame, dim_job_df: DataFrame, as_of=None) -> DataFrame:
+    """K3."""
+    rows = cube.where((F.col("grain") == BY_SCOPE) & F.col("office_id").isNotNull() & F.col("department_id").isNotNull())
+    return _overview_scopes(rows.drop("grain", "office_name", "department_name", "application_status"), dim_job_df, as_of)
+
+
+def diagnostics_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
+    """K9."""
+    return cube.where(F.col("grain") == TOTAL).select(
+        _as_of(as_of).alias("generated_at"), F.col("hired_applications").alias("total_hired_applications"),
+        "hired_applications_with_valid_time_to_hire", "avg_time_to_hire_days",
+        F.col("historical_hired_applications_with_valid_time_to_hire").alias("historical_hired_applications_included"),
+        F.col("supabase_outcome_hired_applications_with_valid_time_to_hire").alias("supabase_outcome_hired_applications_included"),
+        "hired_applications_excluded_from_avg",
+    )

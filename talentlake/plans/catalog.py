@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talentlake.config import DRIVER_TABLE_STAGES, OPERATIONAL_SOURCE_MARKER
 from talentlake.oracle import AS_OF, with_base
-from talentlake.plans.warehouse import Warehouse
-from talentlake.session import ensure_session_defaults, freeze
+from talentlake.plans.warehouse import CUBE_MARTS, Warehouse
+from talentlake.session import ensure_session_defaults, stored
 from talentlake.sources.driver_tables import RawTables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,20 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
 def facts_written(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The models with ``fact_application`` written once, for those that read it several times."""
     w = warehouse(spark, sf_dir)
-    w.__dict__["fact_application"] = freeze(w.fact_application)
+    w.__dict__["fact_application"] = stored(w.fact_application, "fact_application")
     return w
 
 
+def models_written(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Warehouse:
+    """The named models (in dependency order) written once, as the refresh job does."""
+    done: dict[str, DataFrame] = {}
+    for name in names:
+        w = Warehouse(RawTables(spark, sf_dir), DRIVER_TABLE_STAGES, as_of=AS_OF, transition_id_hash="md5", overrides=done)
+        done[name] = stored(w.model(name), name)
+    ensure_session_defaults(spark)
+    return Warehouse(RawTables(spark, sf_dir), DRIVER_TABLE_STAGES, as_of=AS_OF, transition_id_hash="md5", overrides=done)
+
+
 def register(name: str, oracle: str | None = None):
     def wrap(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
@@ -274,6 +284,12 @@ for _model, _sql in MART_SQL.items():
     )
 
 
+for _model in CUBE_MARTS:
+    # the same marts from one scan of each fact (grouping sets)
+    register(_model.replace("mart_", "cube_"), _cte_select(MART_SQL[_model]))(
+        (lambda m: lambda spark, sf_dir: facts_written(spark, sf_dir).from_cube(m))(_model))
+
+
 from talentlake.plans import catalog_ops  # noqa: E402,F401  (registers workflow queries)
 from talentlake.plans import catalog_serve  # noqa: E402,F401  (registers fractional and serving queries)
 from talentlake.plans import catalog_quality  # noqa: E402,F401  (registers data-quality queries)

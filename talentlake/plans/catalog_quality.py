@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from talentlake.operators import quality
 from talentlake.oracle import _in, long_sql, with_base
-from talentlake.plans.catalog import MART_SQL, facts_written, register, warehouse
+from talentlake.plans.catalog import MART_SQL, facts_written, models_written, register, warehouse
 from talentlake.plans.catalog_serve import _mart_cte
+from talentlake.plans.warehouse import CUBE_MARTS, MATERIALISED
+from talentlake.session import stored
 from talentlake.sources.driver_tables import RawTables
 
 SUITE = quality.WAREHOUSE_TESTS
@@ -43,7 +45,16 @@ MARTS_SQL = ",\n".join(_mart_cte(k, v) for k, v in MART_SQL.items())
 
 @register("dq_suite", with_base(_suite_sql(SUITE), extra_ctes=MARTS_SQL))
 def q_dq_suite(spark, sf_dir):
-    _, _, get = _models(spark, sf_dir)
+    """All declared tests over models that are written once, the four overview marts from one cube."""
+    w = models_written(spark, sf_dir, MATERIALISED)
+    w.__dict__["overview_cube"] = stored(w.overview_cube, "overview_cube")
+    raw = RawTables(spark, sf_dir)
+
+    def get(name: str):
+        if name in RAW_NAMES:
+            return raw[RAW_NAMES[name]]
+        return w.from_cube(name) if name in CUBE_MARTS else w.model(name)
+
     return quality.run_suite(get, SUITE)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from talentlake.config import DRIVER_TABLE_STAGES
 from talentlake.oracle import with_base
-from talentlake.plans.catalog import K6_SQL, register, warehouse
+from talentlake.plans.catalog import K6_SQL, K7_SQL, _cte_select, register, warehouse
 from talentlake.session import ensure_session_defaults, freeze
 from talentlake.sources.driver_tables import FIRST_LOAD, REDELIVERY_LOAD, event_records
 from talentlake.sources.raw import normalise_raw
@@ -66,6 +66,33 @@ def q_stream_funnel(spark, sf_dir):
     return st.latest_version(spark, sink)
 
 
+def _stored_bitmaps(spark, sf_dir):
+    """Bitmaps of all events, added batch by batch as a stream delivers them; the last delivery repeats events."""
+    from talentlake.operators.funnel_bitmaps import FunnelBitmaps
+
+    src = land_events(spark, sf_dir)
+    sink = FunnelBitmaps(spark, st.scratch_path(spark, "funnel-bitmaps"), folders=2)
+    stream = st.read_event_stream(spark, src, max_files_per_trigger=files_a_batch(spark))
+    st.run_available_now(stream, st.scratch_path(spark, "bitmaps-ckpt"), foreach_batch=sink)
+    return sink
+
+
+@register("funnel_bitmaps", with_base(K6_SQL))
+def q_funnel_bitmaps(spark, sf_dir):
+    from talentlake.operators import funnel_bitmaps
+
+    return funnel_bitmaps.funnel(_stored_bitmaps(spark, sf_dir).read(), DRIVER_TABLE_STAGES)
+
+
+@register("funnel_by_scope_bitmaps", _cte_select(K7_SQL))
+def q_funnel_by_scope_bitmaps(spark, sf_dir):
+    from talentlake.operators import funnel_bitmaps
+
+    w = warehouse(spark, sf_dir)
+    scopes = funnel_bitmaps.scope_bitmaps(w.fact_application, w.dim_job)
+    return funnel_bitmaps.funnel_by_scope(_stored_bitmaps(spark, sf_dir).read(), scopes, DRIVER_TABLE_STAGES)
+
+
 @register("stream_transitions", with_base("SELECT * FROM fact_stage_transition"))
 def q_stream_transitions(spark, sf_dir):
     src = land_events(spark, sf_dir)

@@ -27,6 +27,11 @@ MART_MODELS = (
     "mart_recruiter_workload", "mart_funnel", "mart_funnel_by_scope", "mart_sla_breaches", "mart_tth_diagnostics",
 )
 
+# Written once, in this order, by whatever reads several of them.  De-duplicated events feed the transitions and two
+# funnel marts.
+MATERIALISED = ("stg_events",) + CORE_MODELS
+CUBE_MARTS = ("mart_status_by_scope", "mart_exec_overview", "mart_exec_overview_by_scope", "mart_tth_diagnostics")
+
 
 class Warehouse:
     """Models over one set of raw tables (``raw[name]`` → all-string DataFrame)."""
@@ -158,3 +163,17 @@ class Warehouse:
     @cached_property
     def mart_tth_diagnostics(self) -> DataFrame:
         return marts.mart_tth_diagnostics(self.fact_application, self.as_of)
+
+    # -- marts of one scan --
+    @cached_property
+    def overview_cube(self) -> DataFrame:
+        return marts.overview_cube(self.fact_application, self.dim_job, self.fact_offer, self.fact_stage_transition)
+
+    def from_cube(self, name: str) -> DataFrame:
+        """K1, K2, K3 or K9 as a selection of the cube."""
+        return {
+            "mart_status_by_scope": lambda: marts.status_from_cube(self.overview_cube),
+            "mart_exec_overview": lambda: marts.overview_from_cube(self.overview_cube, self.as_of),
+            "mart_exec_overview_by_scope": lambda: marts.overview_scopes_from_cube(self.overview_cube, self.dim_job, self.as_of),
+            "mart_tth_diagnostics": lambda: marts.diagnostics_from_cube(self.overview_cube, self.as_of),
+        }[name]()
