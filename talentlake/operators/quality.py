@@ -3,8 +3,8 @@
 Every check returns a small DataFrame of failure counts; nothing is
 collected except the final per-test result rows by ``gate`` (one row per
 declared test, a bounded list). A model is scanned once for all its
-not-NULL tests (one aggregate with a ``count_if`` per column); each unique
-test is a grouped count (partially aggregated, so a hot key is merged on
+not-NULL tests (one aggregate with a ``count_if`` per column), or not at all
+where ``WatchedTests`` counts them while it is written; each unique test is a grouped count (partially aggregated, so a hot key is merged on
 the map side).
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RESULT_COLUMNS = ("model", "column_name", "test", "failures")
@@ -151,24 +151,58 @@ def not_null_and_unique(df: DataFrame, not_null_cols: Sequence[str], unique_col:
     )
 
 
+class WatchedTests:
+    """Not-NULL, accepted-value and cast tests of a model, counted by the job that writes it (Q1, Q4, Q5).
+
+    ``df`` is the model with the counts observed; once a job has run it to the
+    end, ``results`` are the failures.  No second read of the model.
+    """
+
+    def __init__(self, df: DataFrame, model: str, not_null: Sequence[str] = (), accepted: Mapping[str, Iterable[str]] | None = None,
+                 castable: Mapping[str, str] | None = None):
+        self.model = model
+        tests = [(c, "not_null", F.col(c).isNull()) for c in not_null]
+        tests += [(c, "accepted_values", F.col(c).isNotNull() & ~F.col(c).isin(list(v))) for c, v in (accepted or {}).items()]
+        tests += [(c, f"castable_{k}", F.col(c).isNotNull() & F.col(c).try_cast(k).isNull()) for c, k in (castable or {}).items()]
+        self.names = [(c, test) for c, test, _ in tests]
+        self._seen = Observation(f"tests_{model}")
+        counts = [F.coalesce(F.count_if(failed), F.lit(0)).alias(f"t{i}") for i, (_, _, failed) in enumerate(tests)]
+        self.df = df.observe(self._seen, *counts) if counts else df
+
+    def results(self) -> list[tuple[str, str, str, int]]:
+        seen = self._seen.get if self.names else {}
+        return [(self.model, c, test, int(seen[f"t{i}"])) for i, (c, test) in enumerate(self.names)]
+
+
+def result_rows(spark: SparkSession, rows: Sequence[tuple[str, str, str, int]]) -> DataFrame:
+    """Observed results (one row per declared test) as a frame like the checks' own."""
+    return spark.createDataFrame(list(rows), "model string, column_name string, test string, failures long")
+
+
 def run_suite(models: Mapping[str, DataFrame] | Callable[[str], DataFrame],
-              tests: Sequence[ModelTests] = WAREHOUSE_TESTS) -> DataFrame:
+              tests: Sequence[ModelTests] = WAREHOUSE_TESTS, watched: Sequence[tuple[str, str, str, int]] = ()) -> DataFrame:
     """All declared tests → one row per (model, column, test) with its failure count.
 
-    A model with a unique test is read once for all its tests.
+    A model with a unique test is read once for all its tests.  ``watched``:
+    results counted while writing; of these models only unique tests are left.
     """
     get = models if callable(models) else models.__getitem__
+    done = {row[0] for row in watched}
     parts: list[DataFrame] = []
     for t in tests:
+        if t.model in done and not t.unique:
+            continue
         df = get(t.model)
-        if t.unique:
+        if t.model in done:
+            parts += [unique(df, [col], t.model) for col in t.unique]
+        elif t.unique:
             parts.append(not_null_and_unique(df, t.not_null, t.unique[0], t.model))
             for col in t.unique[1:]:
                 parts.append(unique(df, [col], t.model))
         elif t.not_null:
             parts.append(not_null(df, t.not_null, t.model))
-    out = parts[0]
-    for p in parts[1:]:
+    out = parts.pop(0) if not watched else result_rows(get(tests[0].model).sparkSession, watched)
+    for p in parts:
         out = out.unionByName(p)
     return out
 

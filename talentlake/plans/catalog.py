@@ -33,16 +33,6 @@ def facts_written(spark: SparkSession, sf_dir: str) -> Warehouse:
     return w
 
 
-def models_written(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Warehouse:
-    """The named models (in dependency order) written once, as the refresh job does."""
-    done: dict[str, DataFrame] = {}
-    for name in names:
-        w = Warehouse(RawTables(spark, sf_dir), DRIVER_TABLE_STAGES, as_of=AS_OF, transition_id_hash="md5", overrides=done)
-        done[name] = stored(w.model(name), name)
-    ensure_session_defaults(spark)
-    return Warehouse(RawTables(spark, sf_dir), DRIVER_TABLE_STAGES, as_of=AS_OF, transition_id_hash="md5", overrides=done)
-
-
 def register(name: str, oracle: str | None = None):
     def wrap(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from talentlake.operators import quality
-from talentlake.oracle import _in, long_sql, with_base
-from talentlake.plans.catalog import MART_SQL, facts_written, models_written, register, warehouse
+from talentlake.config import DRIVER_TABLE_STAGES
+from talentlake.oracle import AS_OF, _in, long_sql, with_base
+from talentlake.plans.catalog import MART_SQL, facts_written, register, warehouse
 from talentlake.plans.catalog_serve import _mart_cte
-from talentlake.plans.warehouse import CUBE_MARTS, MATERIALISED
-from talentlake.session import stored
+from talentlake.plans.warehouse import CUBE_MARTS, MART_MODELS, MATERIALISED, Warehouse
+from talentlake.session import ensure_session_defaults, stored
 from talentlake.sources.driver_tables import RawTables
 
 SUITE = quality.WAREHOUSE_TESTS
@@ -45,17 +46,26 @@ MARTS_SQL = ",\n".join(_mart_cte(k, v) for k, v in MART_SQL.items())
 
 @register("dq_suite", with_base(_suite_sql(SUITE), extra_ctes=MARTS_SQL))
 def q_dq_suite(spark, sf_dir):
-    """All declared tests over models that are written once, the four overview marts from one cube."""
-    w = models_written(spark, sf_dir, MATERIALISED)
-    w.__dict__["overview_cube"] = stored(w.overview_cube, "overview_cube")
-    raw = RawTables(spark, sf_dir)
-
-    def get(name: str):
-        if name in RAW_NAMES:
-            return raw[RAW_NAMES[name]]
-        return w.from_cube(name) if name in CUBE_MARTS else w.model(name)
-
-    return quality.run_suite(get, SUITE)
+    """All declared tests: not-NULL ones counted while the models are written, the overview marts from one cube."""
+    raw, built, watched = RawTables(spark, sf_dir), {}, []
+    ensure_session_defaults(spark)
+    tests = {t.model: t for t in SUITE}
+
+    def model() -> Warehouse:
+        return Warehouse(raw, DRIVER_TABLE_STAGES, as_of=AS_OF, transition_id_hash="md5", overrides=built)
+
+    def build(name: str, df) -> None:
+        seen = quality.WatchedTests(df, name, tests[name].not_null if name in tests else ())
+        built[name] = stored(seen.df, name)
+        watched.extend(seen.results())
+
+    for name in MATERIALISED:
+        build(name, model().model(name))
+    build("overview_cube", model().overview_cube)
+    w = model()
+    for name in MART_MODELS:
+        build(name, w.from_cube(name) if name in CUBE_MARTS else w.model(name))
+    return quality.run_suite(lambda n: raw[RAW_NAMES[n]] if n in RAW_NAMES else built[n], SUITE, watched)
 
 
 @register("dq_referential", with_base("""
