@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talentlake.oracle import AS_OF, with_base, with_ops
+from talentlake.config import ROLE_PRIORITY
+from talentlake.oracle import AS_OF, case_map, with_base, with_ops
 from talentlake.plans import changes, ingest
 from talentlake.plans.catalog import register, warehouse
 from talentlake.plans.catalog_ops import (
-    APPLY_SQL, APPROVER, EARLIER_LOAD, HIRE, LOAD, REJECT, UPSERT_COLUMNS, _hired_state, _plan_hire, _plan_reject, frozen_apps, raw,
+    APPLY_SQL, APPROVER, EARLIER_LOAD, HIRE, HIRE_SQL, LOAD, REJECT, UPSERT_COLUMNS, _hired_state, _plan_hire, _plan_reject, frozen_apps, raw,
 )
 from talentlake.sources import tables
+from talentlake.sources.driver_tables import FIRST_LOAD
 from talentlake.sources.buckets import BucketedTable
 from talentlake.streaming.events import scratch_path
 
 BUCKETS = 16
 
 
+def _same_as(name: str) -> str:
+    from talentlake.plans.catalog import ORACLES
+
+    return ORACLES[name]
+
+
 def _table(spark, df, keys, name, commit="load") -> BucketedTable:
     table = BucketedTable(spark, scratch_path(spark, name), df.schema, keys, BUCKETS)
     table.append(df, commit)
@@ -26,13 +34,7 @@ def _table(spark, df, keys, name, commit="load") -> BucketedTable:
 # -- S10 / S11: copy-on-write merge ------------------------------------------------------------------
 
 
-def _upsert_oracle() -> str:
-    from talentlake.plans.catalog import ORACLES
-
-    return ORACLES["upsert_applications"]
-
-
-@register("merge_applications", _upsert_oracle())
+@register("merge_applications", _same_as("upsert_applications"))
 def q_merge_applications(spark, sf_dir):
     """The landed applications as a bucketed table; both re-ingested loads merged as commits, the later one twice."""
     before, after, status_events, stage_events = _hired_state(spark, sf_dir)
@@ -169,3 +171,82 @@ def q_catalog_join(spark, sf_dir):
     staged = spark.table(names["stg_applications"]).select("application_id", F.col("status").alias("staged_status"))
     return joined.join(staged, "application_id").groupBy("stage_name", "application_status", "staged_status").agg(
         F.count(F.lit(1)).alias("transitions"), F.countDistinct("application_id").alias("applications"))
+
+
+# -- S2, S13, S14, Q6, W7 ---------------------------------------------------------------------------------
+
+
+@register("read_datasets", with_base("SELECT * FROM stg_openings"))
+def q_read_datasets(spark, sf_dir):
+    """Openings landed as CSV, one dataset per table with an all-string schema, read back and staged."""
+    from talentlake.operators.staging import stg_openings
+    from talentlake.sources.raw import METADATA_COLUMNS, RAW_COLUMNS, normalise_raw, read_table
+
+    path = scratch_path(spark, "openings-csv")
+    landed = raw(spark, sf_dir)["openings"].select(*RAW_COLUMNS["openings"])
+    landed.write.option("header", True).option("emptyValue", "").option("nullValue", "(null)").csv(path)
+    again = normalise_raw(read_table(spark, path, "openings"), "openings", *FIRST_LOAD)
+    return stg_openings(again.select(*RAW_COLUMNS["openings"], *[c for c in METADATA_COLUMNS if c in again.columns]))
+
+
+@register("published_mart", _same_as("mart_exec_overview_by_scope"))
+def q_published_mart(spark, sf_dir):
+    """The whole refresh into a version of its own; the mart that readers load once it is published."""
+    from talentlake.config import DRIVER_TABLE_STAGES
+    from talentlake.plans.refresh import load_mart, publish
+
+    out = scratch_path(spark, "published")
+    # what the derived tables have by construction: offers repeat per line, some names are missing
+    known = {("fact_application", "job_id", "not_null"), ("fact_offer", "offer_id", "unique"), ("dim_candidate", "candidate_full_name", "not_null")}
+    publish(spark, raw(spark, sf_dir), out, "v1", DRIVER_TABLE_STAGES, as_of=AS_OF, warn_only=known)
+    return load_mart(spark, out, "mart_exec_overview_by_scope")
+
+
+@register("request_report", with_ops(f"""
+SELECT request_id, 0 AS line, status AS text, CAST(NULL AS BIGINT) AS application_id FROM hire_request
+UNION ALL
+SELECT request_id, 1, apply_status, application_id FROM hire_items""", HIRE_SQL))
+def q_request_report(spark, sf_dir):
+    """A hiring plan as JSON lines, its request first and then its items."""
+    plan = changes.freeze_plan(_plan_hire(frozen_apps(spark, sf_dir)))
+    path = scratch_path(spark, "report")
+    tables.write_request_report(plan.request, plan.items, path)
+    lines = spark.read.schema(
+        "request_id string, line int, request struct<status: string>, item struct<application_id: long, apply_status: string>").json(path)
+    return lines.select("request_id", "line", F.coalesce("request.status", "item.apply_status").alias("text"), "item.application_id")
+
+
+@register("required_columns", with_base("""
+SELECT 'applications' AS dataset, count(*) AS records, count(*) FILTER (WHERE ghap_application_id IS NULL) AS without_id,
+  count(*) FILTER (WHERE ghap_hired_at IS NULL) AS without_hired_at, 'ghap_not_there' AS missing FROM raw_applications"""))
+def q_required_columns(spark, sf_dir):
+    """Q6: applications landed as JSON without their NULL fields; the columns that a job asks for against what it finds."""
+    from talentlake.operators.quality import required_columns
+
+    path = scratch_path(spark, "applications-json")
+    raw(spark, sf_dir)["applications"].write.json(path)
+    found = spark.read.json(path)
+    missing = required_columns(found, ["ghap_application_id", "ghap_hired_at", "ghap_not_there"])
+    return found.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("ghap_application_id").isNull()).alias("without_id"),
+        F.count_if(F.col("ghap_hired_at").isNull()).alias("without_hired_at"),
+    ).select(F.lit("applications").alias("dataset"), "*", F.lit(",".join(missing)).alias("missing"))
+
+
+ROLE_OF = dict(enumerate((*ROLE_PRIORITY, "a_role_without_priority")))
+
+
+@register("current_role", f"""
+WITH roles AS (
+  SELECT c_nationkey AS user_id, CASE c_custkey % {len(ROLE_OF)} {" ".join(f"WHEN {k} THEN '{v}'" for k, v in ROLE_OF.items())} END AS role,
+    c_custkey % 9 <> 0 AS is_active FROM customer
+), ranked AS (SELECT *, {case_map("role", {r: i + 1 for i, r in enumerate(ROLE_PRIORITY)}, "99")} AS place FROM roles WHERE is_active)
+SELECT user_id, role FROM (SELECT DISTINCT ON (user_id) user_id, role FROM ranked ORDER BY user_id, place, role)""")
+def q_current_role(spark, sf_dir):
+    """Role grants derived from the customers of each nation; each user's active role of the highest priority."""
+    from talentlake.operators.serve import current_role
+
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_OF.items() for x in kv]), (F.col("c_custkey") % len(ROLE_OF)).cast("int"))
+    grants = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_nationkey").alias("user_id"), kind.alias("role"), (F.col("c_custkey") % 9 != 0).alias("is_active"))
+    return current_role(grants)

@@ -76,7 +76,8 @@ def page_ranges(pages: DataFrame) -> DataFrame:
     row per block (its highest end), at most ``BLOCKS`` rows an extract.
     """
     own = pages.select("extract", F.col("offset").cast("long"), F.col("items").cast("long"), F.col("total").cast("long"))
-    totals = own.groupBy("extract").agg(F.max("total").alias("_total"), F.max(F.col("offset") + F.col("items")).alias("_end"))
+    end = F.max(F.when(F.col("items") > 0, F.col("offset") + F.col("items")))
+    totals = own.groupBy("extract").agg(F.max("total").alias("_total"), F.coalesce(end, F.lit(0)).alias("_end"))
     width = F.greatest(F.lit(1), F.ceil(F.greatest("_total", "_end") / F.lit(BLOCKS))).cast("long")
     spans = own.where("items > 0").join(totals, "extract").select(
         "extract", F.col("offset").alias("b"), (F.col("offset") + F.col("items")).alias("e"), F.floor(F.col("offset") / width).alias("_block"),
