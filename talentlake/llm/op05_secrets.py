@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import written
@@ -19,10 +19,11 @@ from talentlake.llm.common import written
 CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 SPACES = r"[\x20\x09-\x0D]+"
 TRAINING_ROWS = 20_000  # labelled findings the forest is fitted on at most, drawn by hash
-DICTIONARY_DOCS = 20    # a dictionary word occurs in this many documents at least
-RUN = r"[a-z]{4,12}"    # letters of a candidate that may be a dictionary word
+DICTIONARY_SHARE = 5000  # a dictionary word occurs in one of so many documents, and in two at least
+WORD_LENGTHS = (4, 12)
+PIECE = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+"  # letters of a candidate between case changes, digits and signs
 FEATURES = (
-    "length", "digit_share", "upper_share", "hex_share", "distinct_share", "transitions", "case_changes", "vowel_steps",
+    "length", "digit_share", "upper_share", "hex_share", "distinct_share", "transitions", "case_changes", "likelihood",
     "coverage", "is_path", "has_assignment", "key_before", "quoted", "number_before", "number_after", "long_before",
 )
 KEY_WORDS = r"(?i)(token|secret|passw|api|key|auth|bearer|credential|access)"
@@ -47,12 +48,58 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def dictionary(docs: DataFrame, min_docs: int = DICTIONARY_DOCS, text_col: str = "text") -> DataFrame:
-    """Words of 4 to 12 letters in ``min_docs`` texts or more, counted over the whole corpus."""
+def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """entry, n: words of 4 to 12 letters and the number of their documents, over the whole corpus.
+
+    Words of fewer than one in ``DICTIONARY_SHARE`` documents (or of one) are
+    left out, which bounds the dictionary by ``DICTIONARY_SHARE`` times the
+    distinct words of a mean document at any corpus size.
+    """
+    least = max(2, -(-docs.count() // DICTIONARY_SHARE))
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     words = docs.select(F.explode(F.array_distinct(F.split(text, r"[^a-z]+"))).alias("entry"))
-    words = words.where(F.length("entry").between(4, 12))
-    return words.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("entry")
+    words = words.where(F.length("entry").between(*WORD_LENGTHS))
+    return words.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def _letter_pairs(text: Column) -> Column:
+    """Each two neighbouring characters of a text."""
+    chars = F.split(text, "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
+
+
+def letter_model(words: DataFrame) -> DataFrame:
+    """pair, log_p: log probability of a letter after another in dictionary words (weighted by their documents,
+    each pair counted once more); 26 * 26 rows."""
+    seen = words.select("n", F.explode(_letter_pairs(F.col("entry"))).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    letters = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.char(i))
+    grid = words.sparkSession.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b"))
+    both = grid.select("a", F.concat("a", "b").alias("pair")).join(seen, "pair", "left").select("a", "pair", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    totals = both.groupBy("a").agg(F.sum("n").alias("total"))
+    return both.join(totals, "a").select("pair", F.log(F.col("n") / F.col("total")).alias("log_p"))
+
+
+def _likelihood(distinct: DataFrame, words: DataFrame) -> DataFrame:
+    """candidate, likelihood: mean log probability of its letter transitions."""
+    pairs = distinct.select("candidate", F.explode(_letter_pairs(F.lower("candidate"))).alias("pair")).groupBy("candidate", "pair").agg(F.count("*").alias("times"))
+    known = pairs.join(F.broadcast(letter_model(words)), "pair")  # 676 rows
+    return known.groupBy("candidate").agg((F.sum(F.col("times") * F.col("log_p")) / F.sum("times")).alias("likelihood"))
+
+
+def _covered(distinct: DataFrame, words: DataFrame) -> DataFrame:
+    """candidate, covered: characters in dictionary words that stand inside its pieces."""
+    piece = F.posexplode(F.regexp_extract_all("candidate", F.lit(PIECE), F.lit(0))).alias("piece", "letters")
+    pieces = distinct.select("candidate", piece).where(F.length("letters") >= WORD_LENGTHS[0])
+    starts = pieces.select("candidate", "piece", F.lower("letters").alias("letters"), F.explode(F.sequence(F.lit(1), F.length("letters") - WORD_LENGTHS[0] + 1)).alias("b"))
+    # the letters from a start on are cut once; words of each length are their beginnings
+    tails = starts.select("candidate", "piece", "b", F.substring("letters", F.col("b"), F.lit(WORD_LENGTHS[1])).alias("tail"))
+    sizes = F.explode(F.sequence(F.lit(WORD_LENGTHS[0]), F.length("tail"))).alias("size")
+    parts = tails.select("candidate", "piece", "b", "tail", sizes).select("candidate", "piece", "b", (F.col("b") + F.col("size")).alias("e"), F.substring("tail", F.lit(1), F.col("size")).alias("entry"))
+    longest = parts.join(words.select("entry"), "entry").groupBy("candidate", "piece", "b").agg(F.max("e").alias("e"))
+    before = Window.partitionBy("candidate", "piece").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("e") - F.greatest("b", F.coalesce(F.max("e").over(before), F.lit(0))))
+    return longest.select("candidate", new.alias("new")).groupBy("candidate").agg(F.sum("new").alias("covered"))
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -60,13 +107,12 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """The candidates with ``FEATURES``; ``coverage`` is the share of characters in dictionary words."""
+    """The candidates with ``FEATURES``: ``coverage`` is the share of characters in dictionary words,
+    ``likelihood`` the mean log probability of the letter transitions (log(1/26) without any)."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     distinct = found.select("candidate").distinct()
-    runs = distinct.select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(RUN), F.lit(0))).alias("entry"))
-    covered = runs.join(words, "entry").groupBy("candidate").agg(F.sum(F.length("entry")).alias("covered"))
     safe = F.greatest(n, F.lit(1.0))
-    both = found.join(covered, "candidate", "left")
+    both = found.join(_covered(distinct, words), "candidate", "left").join(_likelihood(distinct, words), "candidate", "left")
     before = F.concat_ws(" ", "before2", "before")
     return both.select(
         "doc_id", "word", "nth", "candidate", "around", "before", "before2",
@@ -77,7 +123,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.split(c, ""))) / safe).alias("distinct_share"),
         (_count(c, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])") / safe).alias("transitions"),
         (_count(c, "(?<=[a-z])(?=[A-Z])") / safe).alias("case_changes"),
-        (_count(F.lower(c), "(?<=[aeiou])(?=[b-df-hj-np-tv-z])") / safe).alias("vowel_steps"),
+        F.round(F.coalesce("likelihood", F.log(F.lit(1 / 26))), 9).alias("likelihood"),
         (F.coalesce("covered", F.lit(0)) / safe).alias("coverage"),
         (F.col("around").rlike(r"://|\.[a-z]{2,4}/|/[^/]+/") | c.rlike("/[a-z]+/")).cast("double").alias("is_path"),
         F.col("around").rlike(r"^[\"']?[A-Za-z_]{2,20}[=:]").cast("double").alias("has_assignment"),
@@ -89,17 +135,47 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
+# Formats that decide alone, and the features that restate each: 1 for provider-format and assigned keys,
+# 0 for bare numbers and addresses.
+FORMATS = {
+    "provider": (1.0, ()), "quoted": (1.0, ("key_before", "quoted")), "assigned": (1.0, ("has_assignment", "quoted")),
+    "number": (0.0, ("digit_share",)), "address": (0.0, ("is_path",)),
+}
+
+
 def weak_labels(rows: DataFrame) -> DataFrame:
-    """Labelled findings from formats that decide alone: 1 for assigned or provider-format keys,
-    0 for bare numbers, paths and dictionary words; candidates of no such format have none."""
+    """Labelled findings (``format``, ``label``) of formats that decide alone; other candidates have none."""
     c, a = F.col("candidate"), F.col("around")
-    yes = (
-        c.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bap]-[0-9A-Za-z-]{10,})$")
-        | (F.concat_ws(" ", "before2", "before").rlike(r"(?i)(token|secret|password|api_?key)\s*[=:]$") & a.rlike("^[\"']"))
-        | a.rlike(r"(?i)^[\"']?(token|secret|password|passwd|api_?key)[=:]")
-    )
-    no = c.rlike("^[0-9]+$") | a.rlike("://") | (F.col("coverage") > 0.6)
-    return rows.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
+    provider = c.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bap]-[0-9A-Za-z-]{10,})$")
+    quoted = F.concat_ws(" ", "before2", "before").rlike(r"(?i)(token|secret|password|api_?key)\s*[=:]$") & a.rlike("^[\"']")
+    assigned = a.rlike(r"(?i)^[\"']?(token|secret|password|passwd|api_?key)[=:]")
+    kind = F.when(provider, "provider").when(quoted, "quoted").when(assigned, "assigned").when(c.rlike("^[0-9]+$"), "number").when(a.rlike("://"), "address")
+    label = F.element_at(F.create_map(*[x for k, (v, _) in FORMATS.items() for x in (F.lit(k), F.lit(v))]), F.col("format"))
+    return rows.withColumn("format", kind).where("format is not null").withColumn("label", label)
+
+
+def _blanked(labelled: DataFrame) -> DataFrame:
+    """Each labelled finding, and again with the features that restate its format left out (0), so that the forest
+    has to decide by the others too."""
+    if "format" not in labelled.columns:
+        return labelled
+    restates = {f: [k for k, (_, names) in FORMATS.items() if f in names] for f in FEATURES}
+    blank = [F.when(F.col("format").isin(kinds), F.lit(0.0)).otherwise(F.col(f)).alias(f) if (kinds := restates[f]) else F.col(f) for f in FEATURES]
+    rest = [c for c in labelled.columns if c not in FEATURES]
+    return labelled.unionByName(labelled.select(*rest, *blank))
+
+
+def held_out_formats(labelled: DataFrame) -> DataFrame:
+    """format, label, n, n_right: findings of each format judged by a forest that has seen the other formats only."""
+    out = None
+    for kind in FORMATS:
+        model = fit_forest(labelled.where(F.col("format") != kind))
+        if model is None:
+            continue
+        judged = model.transform(labelled.where(F.col("format") == kind))
+        part = judged.groupBy("format", "label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("n_right"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fit_forest(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 20, depth: int = 6, seed: int = 7):
@@ -114,7 +190,7 @@ def fit_forest(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 20,
         take = min(n, max(rows // 2, rows - (sum(counts.values()) - n)))
         part = labelled.where(F.col("label") == label).orderBy(order, "candidate", "doc_id", "word", "nth").limit(take)
         drawn = part if drawn is None else drawn.unionByName(part)
-    sample = written(drawn.select(*FEATURES, "label"), "findings")
+    sample = written(_blanked(drawn).select(*FEATURES, "label"), "findings")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample.coalesce(1))
 

@@ -200,6 +200,67 @@ def test_long_secrets_are_whole(docs_of):
     assert got == {i: (len(r), hashlib.sha256(r.encode()).hexdigest()) for i, r in enumerate(runs)}
 
 
+def test_secret_features_as_brute_force(docs_of):
+    """Every feature of every candidate by plain Python; words inside camel case count for the coverage."""
+    import math
+
+    known = ["user", "name", "from", "request", "number", "parser", "html", "order", "names"]
+    texts = [f"the {w} of {w} stands here" for w in known for _ in range(3)]
+    found = [
+        "getUserNameFromRequest12", "HTMLParserNumber99x", "usernames_order_7aB", "0123456789abcdef0123", "https://host.example/path/to/order123456789/x",
+        'token = "aB3dE5gH7jK9mN1pQ3"', "password=zzzzqqqqxxxx1111", "9" * 20, "x" * 50 + "1",
+    ]
+    rows = list(enumerate(texts + [f"see {f} there 12 now" for f in found]))
+    words = op05_secrets.dictionary(docs_of(rows))
+    table = {r.entry: r.n for r in words.collect()}
+    assert set(known) <= set(table)
+    pairs = {}
+    for w, n in table.items():
+        for x, y in zip(w, w[1:]):
+            pairs[x + y] = pairs.get(x + y, 0) + n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    log_p = {x + y: math.log((pairs.get(x + y, 0) + 1) / sum(pairs.get(x + z, 0) + 1 for z in letters)) for x in letters for y in letters}
+    got = op05_secrets.features(op05_secrets.candidates(docs_of(rows)), words).collect()
+    assert len(got) >= len(found)
+    for r in got:
+        c, low = r.candidate, r.candidate.lower()
+        covered = set()
+        for m in re.finditer(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", c):
+            piece = m[0].lower()
+            for b in range(len(piece)):
+                for e in range(b + 4, min(len(piece), b + 12) + 1):
+                    if piece[b:e] in table:
+                        covered |= set(range(m.start() + b, m.start() + e))
+        steps = [log_p[x + y] for x, y in zip(low, low[1:]) if x + y in log_p]
+        count = lambda pattern, text=c: len(re.findall(pattern, text)) / len(c)
+        want = {
+            "length": len(c), "digit_share": count("[0-9]"), "upper_share": count("[A-Z]"), "hex_share": count("[0-9a-f]"),
+            "distinct_share": len(set(c)) / len(c), "transitions": count("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"),
+            "case_changes": count("(?<=[a-z])(?=[A-Z])"), "likelihood": sum(steps) / len(steps) if steps else math.log(1 / 26), "coverage": len(covered) / len(c),
+            "is_path": bool(re.search(r"://|\.[a-z]{2,4}/|/[^/]+/", r.around) or re.search("/[a-z]+/", c)),
+            "has_assignment": bool(re.search(r"^[\"']?[A-Za-z_]{2,20}[=:]", r.around)), "quoted": bool(re.search("[\"']", r.around)),
+            "key_before": bool(re.search(op05_secrets.KEY_WORDS, f"{r.before2} {r.before}")), "number_before": False, "number_after": False, "long_before": False,
+        }
+        assert {k: pytest.approx(float(v), abs=1e-8) for k, v in want.items()} == {k: r[k] for k in want}, c
+    by = {r.candidate: r for r in got}
+    assert by["getUserNameFromRequest12"].coverage == pytest.approx(19 / 24) and by["HTMLParserNumber99x"].coverage == pytest.approx(16 / 19)
+
+
+def test_held_out_formats(docs_of):
+    """A forest that has not seen a format judges most of its findings right by the other features."""
+    rnd = np.random.default_rng(9)
+    key = lambda n: "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n)) + "7"
+    rows = []
+    for i in range(80):
+        rows += [f"ghp_{key(35)} is here", f'set api_key = "{key(30)}" now', f"password={key(24)} done", f"call {rnd.integers(10**17, 10**18)} now",
+                 f"see https://host.example/order/number/request-from-user-{i}x/ there", "the order number of the request from the user host example"]
+    docs = docs_of(list(enumerate(rows)))
+    labelled = op05_secrets.weak_labels(op05_secrets.features(op05_secrets.candidates(docs), op05_secrets.dictionary(docs)))
+    got = {r.format: (r.label, r.n_right / r.n) for r in op05_secrets.held_out_formats(labelled).collect()}
+    assert set(got) >= {"provider", "quoted", "assigned", "number"}
+    assert all(share > 0.9 for kind, (label, share) in got.items() if label == 1.0)
+
+
 def test_forest_on_held_out_findings(docs_of):
     rnd = np.random.default_rng(4)
     rows = []
