@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import written
+from talentlake.llm.op02_line_dedup import text_stamp
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -23,6 +24,8 @@ MAX_SOURCES = 100_000  # their totals and multipliers pass through the driver; m
 MOST = 2.0  # copies of a document, and words of a source against its size
 UNIT = 1 << 20  # fixed point of rates
 LN_MOST = math.log(MOST)
+KEY = ("doc_id", "source", "size", "stamp")
+ORDER = "xxhash64(coalesce(doc_id, stamp))"  # of rows of one size; without an id by the text
 
 
 def source_targets(
@@ -51,11 +54,11 @@ def source_targets(
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source and size (words of the text; null text has none) of every row."""
+    """doc_id, source, size (words of the text; null text has none) and stamp of the text of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text_stamp(text).alias("stamp"),
     )
 
 
@@ -103,7 +106,7 @@ def _with(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
 
 
 def _rate():
-    z = F.col("lam") * F.col("weighted") / F.col("mean")
+    z = F.col("lam") * F.col("size") / F.col("mean")
     return F.when(F.col("size") == 0, F.lit(0.0)).when(z >= LN_MOST, F.lit(MOST)).otherwise(F.exp(z))
 
 
@@ -111,18 +114,20 @@ def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, tolerance: float = 1e-4, rounds: int = 60,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """One row per distinct (doc_id, source, size): n_rows, source_size, target, rate, copies (0, 1, 2).
+    """One row per distinct (doc_id, source, text): size, stamp (of the text), n_rows, source_size, target, rate,
+    copies (0, 1, 2) and n_more, how many of its rows get one copy more.
 
-    Rates become copies by systematic rounding along the documents of a source
+    Rates become copies by systematic rounding along the rows of a source
     ordered by size, so rounding errors cancel between neighbours; then up to
-    three documents a source change by one copy to bring its words nearest to
-    the target.  Repeated rows share one decision.  Null source is a source of
-    its own, the last; null id is an id like others; documents without words
-    are not taken; other columns are ignored; an empty table gives no rows.
+    three rows a source change by one copy to bring its words nearest to the
+    target.  Equal rows are rounded together and differ by one copy at most.
+    Null source is a source of its own, the last; null id is an id like others;
+    documents without words are not taken; other columns are ignored; an empty
+    table gives no rows.
     """
-    base = sized(docs, id_col, text_col, source_col).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows"))
+    base = sized(docs, id_col, text_col, source_col).groupBy(*KEY).agg(F.count("*").alias("n_rows"))
     rows = written(base.withColumn("weighted", F.col("size") * F.col("n_rows")), "mix-sizes")
-    totals = rows.groupBy("source").agg(F.sum("weighted").alias("total"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    totals = rows.groupBy("source").agg(F.sum("weighted").alias("total"), F.sum("n_rows").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r.source: r.total for r in totals}
@@ -138,7 +143,7 @@ def mix(
         if not active:
             break
         part = _with(rows, [(s, lam(d), d.mean) for s, d in active.items()], "lam double, mean double").where("lam is not null")
-        rate, z = _rate(), F.col("weighted") / F.col("mean")
+        rate, z = _rate(), F.col("size") / F.col("mean")
         words = F.round(F.col("weighted") * rate * 1024).cast("decimal(28,0)")
         slope = F.when(F.col("lam") * z < LN_MOST, F.round(F.col("weighted") * z * rate * 1024)).otherwise(0).cast("decimal(28,0)")
         for r in part.groupBy("source").agg(F.sum(words).alias("w"), F.sum(slope).alias("d")).collect():
@@ -146,45 +151,47 @@ def mix(
 
     solved = [(s, lam(d), d.mean, d.total, float(targets[s])) for s, d in duals.items()]
     rated = _with(rows, solved, "lam double, mean double, source_size long, target double")
-    rated = rated.withColumn("fixed", F.round(_rate() * UNIT).cast("long")).withColumn("part", F.col("fixed") % UNIT)
+    rated = rated.withColumn("fixed", F.round(_rate() * UNIT).cast("long")).withColumn("part", F.col("fixed") % UNIT * F.col("n_rows"))
     # Systematic rounding: prefix sums of the fractions in two levels, size class by size class.
     n_sub = max(1, math.isqrt(n_docs) // 4)
-    rated = rated.withColumn("class", F.floor(F.log2(F.col("weighted") + 1) * 4)).withColumn(
-        "sub", F.pmod(F.xxhash64("doc_id"), F.lit(n_sub))
+    rated = rated.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 4)).withColumn(
+        "sub", F.pmod(F.expr(ORDER), F.lit(n_sub))
     )
     cell = ["source", "class", "sub"]
     sums = rated.groupBy(*cell).agg(F.sum("part").alias("sum"))
     before = Window.partitionBy("source").orderBy("class", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*(F.col(c).alias(f"_{c}") for c in cell), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    w = Window.partitionBy(*cell).orderBy("weighted", F.xxhash64("doc_id"), "doc_id", "size")
+    w = Window.partitionBy(*cell).orderBy("size", F.expr(ORDER), "doc_id", "stamp")
     inside = rated.withColumn("cum", F.sum("part").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")) & (F.col("sub") == F.col("_sub"))
     placed = inside.join(starts, on).withColumn("upto", F.col("start") + F.col("cum") + UNIT // 2)
     extra = F.floor(F.col("upto") / UNIT) - F.floor((F.col("upto") - F.col("part")) / UNIT)
-    copies = (F.floor(F.col("fixed") / UNIT) + extra).cast("int")
-    out = placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "n_rows", "weighted", "source_size", "target", (F.col("fixed") / UNIT).alias("rate"), "copies"
+    every = F.floor(F.col("fixed") / UNIT) * F.col("n_rows") + extra
+    out = placed.select(*KEY, "n_rows", "source_size", "target", (F.col("fixed") / UNIT).alias("rate"), every.alias("every"))
+    near = _near_target(written(out, "mix-copies"), targets)
+    return near.select(
+        *KEY, "n_rows", "source_size", "target", "rate", F.floor(F.col("every") / F.col("n_rows")).cast("int").alias("copies"),
+        (F.col("every") % F.col("n_rows")).alias("n_more"),
     )
-    return _near_target(written(out, "mix-copies"), targets).drop("weighted")
 
 
 def _near_target(out: DataFrame, targets: dict[str | None, float], rounds: int = 3) -> DataFrame:
-    """Change single documents by one copy where that brings a source nearer to its target."""
+    """Change single rows by one copy where that brings a source nearer to its target (``every``: copies of all equal rows)."""
     changes: list[tuple] = []
     current = out
     for _ in range(rounds):
-        taken = {r.source: r.t for r in current.groupBy("source").agg(F.sum(F.col("weighted") * F.col("copies")).alias("t")).collect()}
+        taken = {r.source: r.t for r in current.groupBy("source").agg(F.sum(F.col("size") * F.col("every")).alias("t")).collect()}
         gaps = [(s, targets[s] - t) for s, t in taken.items() if abs(targets[s] - t) >= 1]
         if not gaps:
             break
-        open_ = _with(current, gaps, "gap double").where("gap is not null and size > 0 and doc_id is not null")
-        can = ((F.col("gap") > 0) & (F.col("copies") < MOST)) | ((F.col("gap") < 0) & (F.col("copies") > 0))
-        off = F.abs(F.abs("gap") - F.col("weighted"))
+        open_ = _with(current, gaps, "gap double").where("gap is not null and size > 0")
+        can = ((F.col("gap") > 0) & (F.col("every") < MOST * F.col("n_rows"))) | ((F.col("gap") < 0) & (F.col("every") > 0))
+        off = F.abs(F.abs("gap") - F.col("size"))
         better = open_.where(can & (off < F.abs("gap")))
         best = better.groupBy("source").agg(
-            F.min(F.struct(off.alias("off"), F.xxhash64("doc_id").alias("h"), "doc_id", "size", F.signum("gap").cast("int").alias("by"))).alias("b")
+            F.min(F.struct(off.alias("off"), F.expr(ORDER).alias("h"), "doc_id", "size", "stamp", F.signum("gap").cast("int").alias("by"))).alias("b")
         )
-        found = [(r.source, r.b.doc_id, r.b.size, r.b.by) for r in best.collect()]
+        found = [(r.source, r.b.doc_id, r.b.size, r.b.stamp, r.b.by) for r in best.collect()]
         if not found:
             break
         changes += found
@@ -195,35 +202,44 @@ def _near_target(out: DataFrame, targets: dict[str | None, float], rounds: int =
 def _changed(out: DataFrame, changes: list[tuple]) -> DataFrame:
     """``out`` with the changes (at most three a source) added to its copies."""
     sums: dict[tuple, int] = {}
-    for source, doc_id, size, by in changes:
-        sums[source, doc_id, size] = sums.get((source, doc_id, size), 0) + by
-    small = out.sparkSession.createDataFrame([(*k, v) for k, v in sums.items()], "_source string, _doc long, _size long, by int")
-    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("doc_id") == F.col("_doc")) & (F.col("size") == F.col("_size"))
-    both = out.join(F.broadcast(small), on, "left")
-    return both.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).select(*out.columns)
+    for *key, by in changes:
+        sums[tuple(key)] = sums.get(tuple(key), 0) + by
+    small = out.sparkSession.createDataFrame([(*k, v) for k, v in sums.items()], "_source string, _doc long, _size long, _stamp long, by int")
+    on = (F.col("size") == F.col("_size")) & (F.col("stamp") == F.col("_stamp"))
+    both = out.join(F.broadcast(small), on & F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return both.withColumn("every", F.col("every") + F.coalesce("by", F.lit(0))).select(*out.columns)
 
 
 def mix_rows(mixed: DataFrame) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies, source."""
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source",
-        F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_row"),
-    ).drop("_row")
+    each = mixed.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    each = each.withColumn("copies", F.col("copies") + (F.col("_row") <= F.col("n_more")).cast("int"))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def mixed_documents(
     docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """The documents themselves, each as often as it has copies (null source and id included)."""
+    """The documents themselves, each as often as it has copies (null source and id included).
+
+    Rows of one id, source and text may differ in other columns; where only
+    some of them get one copy more, it is the row that is first as JSON.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sized_docs = docs.withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    pick = mixed.where("copies > 0").select(
-        F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), F.col("copies").alias("_copies")
-    )
+    sized_docs = docs.withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_stamp", text_stamp(text))
+    names = {"doc_id": "_m_id", "source": "_m_source", "size": "_m_size", "stamp": "_m_stamp"}
     on = (
         F.col(id_col).cast("long").eqNullSafe(F.col("_m_id"))
         & F.col(source_col).cast("string").eqNullSafe(F.col("_m_source"))
-        & (F.col("_size") == F.col("_m_size"))
+        & (F.col("_size") == F.col("_m_size")) & (F.col("_stamp") == F.col("_m_stamp"))
     )
-    copies = sized_docs.join(pick, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copies.select(*(docs[c] for c in docs.columns))
+
+    def picked(often: str) -> DataFrame:
+        return mixed.where(F.col(often) > 0).select(*[F.col(c).alias(n) for c, n in names.items()], F.col(often).cast("long").alias("_copies"))
+
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
+    whole = sized_docs.join(picked("copies"), on).select(*(docs[c] for c in docs.columns), times).drop("_copy")
+    row = F.struct(*(docs[c] for c in docs.columns))
+    first = sized_docs.join(picked("n_more"), on).groupBy(*names.values(), "_copies").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    more = first.select("_row", times).select("_row.*")
+    return whole.unionByName(more)

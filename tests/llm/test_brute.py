@@ -174,6 +174,23 @@ def test_mix_meets_targets(docs_of):
     assert op03_mixing.mix(docs_of([])).count() == 0
 
 
+def test_mix_of_rows_without_an_id(docs_of):
+    """Thousands of rows of one size without an id, equal ones among them, are rounded one by one and meet the targets."""
+    rows = [(None, "w " * 3 + f"x{k}", "a") for k in range(700)] + [(None, "y " * 4, "a")] * 300
+    rows += [(k, "w " * 6, "b") for k in range(40)] + [(7, "z " * 5, None)] * 31
+    docs = docs_of(rows)
+    mixed = op03_mixing.mix(docs)
+    got = op03_mixing.mix_rows(mixed).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    for source in ("a", "b", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    copies = op03_mixing.mixed_documents(docs, mixed)
+    taken = {r.source: r.n for r in copies.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()}
+    assert copies.columns == docs.columns
+    assert taken == {s: sum(r.taken for r in got if r.source == s) for s in taken} and copies.count() == sum(r.copies for r in got)
+
+
 def test_secrets(docs_of):
     rnd = np.random.default_rng(2)
     hexes = ["".join(rnd.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
