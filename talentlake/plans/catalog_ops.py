@@ -22,7 +22,7 @@ from talentlake.config import (
 from talentlake.oracle import AS_OF, _in, case_map, long_sql, rank_sql, uuid5_sql, with_base, with_ops
 from talentlake.plans import changes, ingest
 from talentlake.plans.catalog import _cte_select, register
-from talentlake.session import ensure_session_defaults, freeze
+from talentlake.session import ensure_session_defaults, freeze, stored
 from talentlake.sources.driver_tables import RawTables
 
 APPROVER = "approver@example.com"
@@ -41,7 +41,7 @@ def ops_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frozen_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operational table as written once; a plan and its apply both read this state."""
-    return freeze(ops_apps(spark, sf_dir))
+    return stored(ops_apps(spark, sf_dir), "ops_applications")
 
 
 # -- I1, I3, I4, I5 ------------------------------------------------------------------
