@@ -22,7 +22,7 @@ from talentlake.config import (
 from talentlake.oracle import AS_OF, _in, case_map, long_sql, rank_sql, uuid5_sql, with_base, with_ops
 from talentlake.plans import changes, ingest
 from talentlake.plans.catalog import _cte_select, register
-from talentlake.session import ensure_session_defaults, freeze, stored
+from talentlake.session import ensure_session_defaults, stored
 from talentlake.sources.driver_tables import RawTables
 
 APPROVER = "approver@example.com"
@@ -474,7 +474,7 @@ def _undated(apps: DataFrame) -> DataFrame:
 
 def _hired_state(spark, sf_dir):
     """Operational table before and after a hire, with all its status and stage events."""
-    apps = freeze(_undated(ops_apps(spark, sf_dir)))
+    apps = stored(_undated(ops_apps(spark, sf_dir)), "ops_applications")
     h = changes.freeze_plan(_plan_hire(apps))
     res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
     cols = ("application_id", "changed_at")

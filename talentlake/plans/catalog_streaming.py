@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from talentlake.config import DRIVER_TABLE_STAGES
 from talentlake.oracle import with_base
 from talentlake.plans.catalog import K6_SQL, K7_SQL, _cte_select, register, warehouse
-from talentlake.session import ensure_session_defaults, freeze
+from talentlake.session import ensure_session_defaults, stored
 from talentlake.sources.driver_tables import FIRST_LOAD, REDELIVERY_LOAD, event_records
 from talentlake.sources.raw import normalise_raw
 from talentlake.streaming import events as st
@@ -97,7 +97,7 @@ def q_funnel_by_scope_bitmaps(spark, sf_dir):
 def q_stream_transitions(spark, sf_dir):
     src = land_events(spark, sf_dir)
     w = warehouse(spark, sf_dir)
-    facts = freeze(w.fact_application)  # read by every batch
+    facts = stored(w.fact_application, "fact_application")  # read by every batch
     updater = st.TransitionsUpdater(
         spark, st.scratch_path(spark, "t3-events"), st.scratch_path(spark, "t3-transitions"),
         lambda: facts, DRIVER_TABLE_STAGES, buckets=16, id_hash="md5", folders=4,

@@ -567,7 +567,7 @@ def request_metadata(requests: DataFrame, counts: Sequence[str] = REQUEST_COUNTS
 def _update_applications(apps: DataFrame, changes: DataFrame, set_cols: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Apply per-application changes (one row per application) to the applications table; and the changes alone."""
     alone = changes.join(apps.select("application_id"), "application_id", "left_semi").select(
-        "application_id", *[expr.cast(apps.schema[c].dataType).alias(c) for c, expr in set_cols.items()])
+        "application_id", *[expr.cast(apps.schema[c].dataType).alias(c) for c, expr in set_cols.items() if c in apps.columns])
     renamed = changes.select("application_id", *[expr.alias(f"_new_{c}") for c, expr in set_cols.items()])
     marked = renamed.withColumn("_changed", F.lit(True))
     joined = apps.join(marked, "application_id", "left")
