@@ -43,7 +43,7 @@ class Template:
 
 # The phrases of the contract and openings of public license texts.
 PHRASES = (
-    Template("mit", "the mit license", 1.0, True),
+    Template("mit", "under the mit license", 1.0, True),
     Template("apache-2", "apache license version 2", 1.0, True),
     Template("cc-by-nc", "cc by nc", 1.0, True),
 )

@@ -54,6 +54,19 @@ def test_license_places(docs_of):
     assert op01_license.license_scan(docs_of([])).count() == 0
 
 
+def test_license_base_phrases(docs_of):
+    """The contract's phrases, written out: places of "the mit license" without "under" are no base places."""
+    texts = [
+        "See the MIT license.", "Under the mit-license; UNDER THE MIT LICENSE", "the mit license, under the mit license", "under mit license",
+        "apache license version 2.0 CC-BY-NC 4.0", "under the mit", "x " * 127 + "under the mit license",
+    ]
+    got = [tuple(r)[1:6] for r in op01_license.license_scan(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == [
+        (4, 0, None, None, ""), (8, 2, 0, 4, "mit"), (7, 1, 3, 3, "mit"), (3, 0, None, None, ""),
+        (10, 2, 0, 5, "apache-2,cc-by-nc"), (3, 0, None, None, ""), (131, 1, 127, 127, "mit"),
+    ]
+
+
 def test_short_and_long_templates(docs_of):
     """Common words of a short template are not enough; a template of any length lies whole in some block."""
     texts = [
