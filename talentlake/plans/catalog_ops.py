@@ -34,9 +34,14 @@ def raw(spark: SparkSession, sf_dir: str) -> RawTables:
     return RawTables(spark, sf_dir)
 
 
-def ops_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ops_apps(spark: SparkSession, sf_dir: str, raw_apps: DataFrame | None = None) -> DataFrame:
     r = raw(spark, sf_dir)
-    return ingest.seed_applications(r["applications"], r["jobs"], r["candidates"], AS_OF)
+    return ingest.seed_applications(raw_apps if raw_apps is not None else r["applications"], r["jobs"], r["candidates"], AS_OF)
+
+
+def landed_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw applications written once, for queries that read them several times."""
+    return stored(raw(spark, sf_dir)["applications"], "raw_applications")
 
 
 def frozen_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,14 +477,15 @@ def _undated(apps: DataFrame) -> DataFrame:
     return apps.withColumns({c: F.when(~F.coalesce(rejected, F.lit(False)), F.col(c)) for c in ("applied_at", "created_at")})
 
 
-def _hired_state(spark, sf_dir):
-    """Operational table before and after a hire, with all its status and stage events."""
-    apps = stored(_undated(ops_apps(spark, sf_dir)), "ops_applications")
+def _hired_state(spark, sf_dir, raw_apps: DataFrame | None = None):
+    """Operational table (what a hire and both loads read of it) before and after a hire, and the first of its events."""
+    apps = stored(_undated(ops_apps(spark, sf_dir, raw_apps)).select(*ingest.REINGESTED_COLUMNS), "ops_applications")
     h = changes.freeze_plan(_plan_hire(apps))
     res = changes.apply_hire(changes.approve_requests(h.request, [HIRE["rid"]], APPROVER, AS_OF), h.items, apps, AS_OF)
     cols = ("application_id", "changed_at")
     stages = _seed_events(spark, sf_dir).select(*cols).unionByName(res.stage_events.select(*cols))
-    return apps, res.applications, res.status_events, stages
+    hired, staged = ingest.first_events(res.status_events, stages)
+    return apps, res.applications, stored(hired, "first_hired"), stored(staged, "first_staged")
 
 
 @register("ops_to_applications", with_ops(_reingest_sql("live_after", LOAD), REINGEST_CTE))
@@ -609,9 +615,10 @@ def q_upsert_applications(spark, sf_dir):
     """Both re-ingested loads merged into the raw applications as they were landed."""
     from talentlake.sources.raw import upsert
 
-    before, after, status_events, stage_events = _hired_state(spark, sf_dir)
+    landed = landed_applications(spark, sf_dir)
+    before, after, status_events, stage_events = _hired_state(spark, sf_dir, landed)
     incoming = ingest.ops_to_applications(before, status_events, stage_events, *EARLIER_LOAD).unionByName(
         ingest.ops_to_applications(after, status_events, stage_events, *LOAD))
-    landed = raw(spark, sf_dir)["applications"].filter(F.coalesce(F.col("ghap_status"), F.lit("")) != "rejected")
+    landed = landed.filter(F.coalesce(F.col("ghap_status"), F.lit("")) != "rejected")
     return upsert(landed, incoming, ["ghap_application_id"], columns=list(UPSERT_COLUMNS),
                   incoming_order=[F.col("_ingested_at")])

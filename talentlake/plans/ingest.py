@@ -53,6 +53,18 @@ def _earliest_text(events: DataFrame, value_filter: Column | None = None) -> Dat
     return ev.groupBy("application_id").agg(F.min(F.col("changed_at").cast("string")).alias("first_at"))
 
 
+# Columns of the operational table that ``ops_to_applications`` reads.
+REINGESTED_COLUMNS = ("application_id", "candidate_id", "job_id", "current_stage", "status", "applied_at", "created_at", "hired_at", "updated_at")
+
+
+def first_events(status_events: DataFrame, stage_events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events that ``ops_to_applications`` needs: per application the first "hired" one and the first stage event."""
+    hired = _earliest_text(status_events, F.lower(F.coalesce(F.col("new_status").cast("string"), F.lit(""))) == "hired")
+    staged = _earliest_text(stage_events)
+    return (hired.select("application_id", F.lit("hired").alias("new_status"), F.col("first_at").alias("changed_at")),
+            staged.select("application_id", F.col("first_at").alias("changed_at")))
+
+
 def ops_to_applications(
     ops_applications: DataFrame,
     status_events: DataFrame,
@@ -227,6 +239,6 @@ def latest_event_per_application(events: DataFrame, time_col: str = "last_activi
 
 
 __all__ = [
-    "derive_hired_at", "ops_to_applications", "ops_to_events", "seed_applications", "seed_stage_events",
+    "derive_hired_at", "first_events", "ops_to_applications", "ops_to_events", "seed_applications", "seed_stage_events",
     "latest_event_per_application", "job_context", "candidate_context", "NULL_MARKER",
 ]

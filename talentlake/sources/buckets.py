@@ -1,8 +1,9 @@
 """A bucketed table with versioned manifests: appends, copy-on-write merges, compaction.
 
-Rows are dealt to buckets by a hash of the table's key.  Every commit writes
-Parquet files to a folder of its own and then one manifest, which lists the
-folders that make up each bucket:
+Rows are dealt to buckets by a hash of the table's key, the one by which Spark
+shuffles: a task of a merge by that key holds rows of few buckets and writes
+them without another shuffle.  Every commit writes Parquet files to a folder of
+its own and then one manifest, which lists the folders that make up each bucket:
 
 ``data/<commit folder>/bucket=<b>/part-*.parquet``
 ``_manifest/v<n>.json``       what version n consists of
@@ -11,7 +12,9 @@ folders that make up each bucket:
 * Readers open one manifest, so they see whole commits only; old versions stay
   readable until ``vacuum``.
 * ``merge``, ``merge_latest`` and ``replace`` read and rewrite the touched
-  buckets only; the others keep their files.  ``append`` adds a folder.
+  buckets only; the others keep their files.  ``append`` adds a folder.  What is
+  merged is written first, as it comes and with the needed columns only, so
+  that its buckets are known.
 * A commit has a key: repeating it changes nothing.  A commit that was killed
   has left files that no manifest lists; its repetition starts anew.
 * Manifests have a row per bucket and folder, which ``compact`` bounds; that,
@@ -37,6 +40,7 @@ from talentlake.functions.windows import latest_per_key
 from talentlake.sources.raw import upsert
 
 _BUCKET = "_bucket"
+_ORDER = "_order"
 
 
 class ConcurrentCommit(RuntimeError):
@@ -96,6 +100,7 @@ class Manifest:
     version: int
     commit: str
     entries: tuple[tuple[int, str, int], ...]  # bucket, folder, rows
+    hash: str = "hash"  # tables written before it was noted are dealt by xxhash64
 
     def buckets(self) -> list[int]:
         return sorted({b for b, *_ in self.entries})
@@ -125,10 +130,12 @@ class BucketedTable:
         if text is None:
             return Manifest(0, "", ())
         raw = json.loads(text)
-        return Manifest(raw["version"], raw["commit"], tuple((b, f, n) for b, f, n in raw["entries"]))
+        entries = tuple((b, f, n) for b, f, n in raw["entries"])
+        return Manifest(raw["version"], raw["commit"], entries, raw.get("hash", "xxhash64"))
 
     def bucket_of(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.expr(k) for k in self.keys]), F.lit(self.n_buckets)).cast("int")
+        by = F.xxhash64 if self.manifest().hash == "xxhash64" else F.hash
+        return F.pmod(by(*[F.expr(k) for k in self.keys]), F.lit(self.n_buckets)).cast("int")
 
     def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
         """Whole commits up to a version; only the given buckets' files are opened."""
@@ -153,11 +160,18 @@ class BucketedTable:
     def merge(self, incoming: DataFrame, commit: str, on: Sequence[str], columns: Sequence[str] | None = None,
               order: Sequence[Column] | None = None) -> list[int]:
         """``upsert`` of the touched buckets (``on`` must decide the bucket); returns them."""
-        return self._rewrite(incoming, commit, lambda old, new: upsert(old, new, on, columns, order))
+        if order:
+            incoming = incoming.withColumn(_ORDER, F.struct(*order))
+        if columns is not None:
+            incoming = incoming.select(*dict.fromkeys((*on, *columns)), *([_ORDER] if order else []))
+        else:
+            columns = [c for c in incoming.columns if c not in on and c != _ORDER]
+        by = [F.col(_ORDER)] if order else None
+        return self._rewrite(incoming, commit, on, lambda old, new: upsert(old, new, on, columns, by))
 
     def merge_latest(self, incoming: DataFrame, commit: str, on: Sequence[str], order: Sequence[Column]) -> list[int]:
         """Per key (NULLs are equal) the row with the largest ``order`` among the stored and the incoming rows."""
-        return self._rewrite(incoming, commit, lambda old, new: latest_per_key(old.unionByName(new), on, order))
+        return self._rewrite(incoming, commit, on, lambda old, new: latest_per_key(old.unionByName(new), on, order))
 
     def replace(self, rows: DataFrame, buckets: Sequence[int], commit: str) -> list[int]:
         """New contents of the given buckets (``rows`` holds rows of these only)."""
@@ -214,35 +228,35 @@ class BucketedTable:
             return done
         entries, touched = change(now)
         touched = sorted({b for b, *_ in touched})
-        new = {"version": now.version + 1, "commit": commit, "touched": touched, "entries": sorted(entries)}
+        new = {"version": now.version + 1, "commit": commit, "touched": touched, "entries": sorted(entries), "hash": now.hash}
         self._files.write(f"{self.path}/_manifest/v{now.version + 1:08d}.json", json.dumps(new))
         self._files.write(self._done(commit), json.dumps({"commit": commit, "touched": touched}))
         return touched
 
-    def _rewrite(self, incoming: DataFrame, commit: str, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    def _rewrite(self, incoming: DataFrame, commit: str, on: Sequence[str], merged: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         def change(now: Manifest):
-            landed = self._write(incoming, "landed", whole=False)
-            touched = {b for b, *_ in landed}
+            path = f"{self.path}/data/landed-{uuid.uuid4().hex}"
+            dealt = incoming.withColumn(_BUCKET, self.bucket_of())
+            dealt.write.parquet(path)
+            landed = self.spark.read.schema(dealt.schema).parquet(path)
+            touched = {r[0] for r in landed.select(_BUCKET).distinct().collect()}
             if not touched:
                 return now.entries, []
-            staged = self._read_landed(landed, incoming)
-            new = self._write(merged(self._open([e for e in now.entries if e[0] in touched]), staged), "merged")
-            self._files.delete(f"{self.path}/data/{landed[0][1]}")
+            rows = merged(self._open([e for e in now.entries if e[0] in touched]), landed.drop(_BUCKET))
+            # shuffled by the table's key already, each task has rows of few buckets
+            new = self._write(rows, "merged", even=tuple(on) != self.keys)
+            self._files.delete(path)
             return [*(e for e in now.entries if e[0] not in touched), *new], [(b, "", 0) for b in touched]
         return self._commit(commit, change)
 
-    def _read_landed(self, landed, incoming: DataFrame) -> DataFrame:
-        paths = [f"{self.path}/data/{folder}/{_BUCKET}={b}" for b, folder, _ in landed]
-        return self.spark.read.schema(incoming.schema).parquet(*paths)
-
-    def _write(self, rows: DataFrame, what: str, whole: bool = True) -> list[tuple[int, str, int]]:
-        """Write rows by bucket to a new folder; ``whole``: with all of the table's columns, in its types."""
-        if whole:
-            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+    def _write(self, rows: DataFrame, what: str, even: bool = True) -> list[tuple[int, str, int]]:
+        """Write rows by bucket to a new folder, with all of the table's columns, in its types."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
         folder = f"{what}-{uuid.uuid4().hex}"
         path = f"{self.path}/data/{folder}"
-        # tasks of even size, each with few buckets: a large bucket is dealt to several tasks
-        dealt = rows.withColumn(_BUCKET, self.bucket_of()).hint("rebalance", F.col(_BUCKET))
+        dealt = rows.withColumn(_BUCKET, self.bucket_of())
+        if even:  # tasks of even size, each with few buckets: a large bucket is dealt to several tasks
+            dealt = dealt.hint("rebalance", F.col(_BUCKET))
         dealt.write.partitionBy(_BUCKET).parquet(path)
         names = self._files.names(path)
         if not any(n.startswith(f"{_BUCKET}=") for n in names):

@@ -100,3 +100,48 @@ def test_replace(spark, table):
     assert table.read().count() == 1000 - n + 1
     table.replace(rows.limit(0), [b], "r2")
     assert table.read().count() == 1000 - n and b not in table.manifest().buckets()
+
+
+def test_merge_by_the_key_needs_no_shuffle_to_write(spark, table, monkeypatch):
+    """Incoming rows land as they come, with the needed columns; what is merged by the key is written as the join leaves it."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def spied(self, path, *args, **kwargs):
+        plans.append((path.rsplit("/", 1)[1].split("-")[0], self._df.columns, self._df._jdf.queryExecution().optimizedPlan().toString()))
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    incoming = spark.range(500, 1500).selectExpr("id", "concat('n', id) name", "0 g", "'not needed' extra", "2 t")
+    want = _rows(upsert(table.read(), incoming, ["id"], ["name"], [F.col("t")]))
+    assert len(table.merge(incoming, "m", ["id"], ["name"], [F.col("t")])) == 16
+    assert [p[0] for p in plans] == ["landed", "merged"] and not any("RebalancePartitions" in p[2] for p in plans)
+    assert set(plans[0][1]) == {"id", "name", "_order", "_bucket"}
+    assert _rows(table.read()) == want and table.manifest().rows() == 1500
+    # every row is where its bucket says
+    for b in table.manifest().buckets():
+        assert table.read(buckets=[b]).filter(table.bucket_of() != b).count() == 0
+    empty = table.merge(incoming.limit(0), "none", ["id"], ["name"], [F.col("t")])
+    assert empty == [] and table.manifest().rows() == 1500
+
+
+def test_table_dealt_by_the_former_hash(spark, tmp_path, monkeypatch):
+    import json
+
+    df = spark.range(100).selectExpr("id", "'old' name")
+    t = BucketedTable(spark, f"{tmp_path}/t", df.schema, ["id"], buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr("talentlake.sources.buckets.F.hash", F.xxhash64)
+        t.append(df, "load")
+    path = next((tmp_path / "t" / "_manifest").glob("v*.json"))
+    raw = json.loads(path.read_text())
+    assert raw.pop("hash") == "hash"
+    path.write_text(json.dumps(raw))
+    for crc in (tmp_path / "t" / "_manifest").glob(".*.crc"):
+        crc.unlink()
+    t.merge(spark.range(50, 150).selectExpr("id", "'new' name"), "m", ["id"], ["name"])
+    t.merge(spark.range(40, 60).selectExpr("id", "'newer' name"), "m2", ["id"], ["name"])
+    assert t.manifest().hash == "xxhash64"
+    assert dict(_rows(t.read())) == {i: "newer" if 40 <= i < 60 else "new" if i >= 50 else "old" for i in range(150)}
+    assert t.read().count() == 150

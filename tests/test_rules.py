@@ -311,3 +311,21 @@ def test_manual_bounds_are_a_parameter(spark):
         apps, "Offer", None, 10_000, "Manual application selection", "x", application_ids=ids, request_id="m", **kw)
     assert plan().items.count() == 500
     assert plan(bounds=(100, 10, 10_000)).items.count() == 700
+
+
+def test_first_events_date_applications_as_all_events_do(spark):
+    from talentlake.plans import ingest
+
+    apps = spark.createDataFrame(
+        [(i, 1, 1, "Offer", s, None, None, None, "2026-01-09 00:00:00") for i, s in ((1, "hired"), (2, "active"), (3, "hired"), (None, "hired"))],
+        "application_id long, candidate_id long, job_id long, current_stage string, status string, applied_at string, created_at string, "
+        "hired_at string, updated_at string")
+    status = spark.createDataFrame(
+        [(1, "HIRED", "2026-01-05"), (1, "hired", "2026-01-04"), (1, "active", "2026-01-01"), (2, "active", "2026-01-02"), (3, "hired", None),
+         (None, "hired", "2026-01-01"), (3, None, "2026-01-01")], "application_id long, new_status string, changed_at string")
+    stage = spark.createDataFrame([(1, "2026-01-03"), (1, "2026-01-02"), (2, None), (None, "2026-01-01")], "application_id long, changed_at string")
+    hired, staged = ingest.first_events(status, stage)
+    assert hired.collect() == [(1, "hired", "2026-01-04")] and staged.collect() == [(1, "2026-01-02")]
+    whole = ingest.ops_to_applications(apps, status, stage, "b", "t")
+    reduced = ingest.ops_to_applications(apps.select(*ingest.REINGESTED_COLUMNS), hired, staged, "b", "t")
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, reduced.collect()), key=str)
